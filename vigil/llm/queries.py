@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import fingerprint, neardup, pii, secrets, tokens
+from vigil.llm import decontam, fingerprint, lm, mixing, neardup, pii, quality, secrets, tokens, toxicity
 from vigil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,22 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), lm.good_documents(table(spark, sf_dir, "labels")))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,9 +54,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_neardup, op3_pii, op8_token_ids, op9_secrets)}
+    found = (op1_fingerprint, op2_neardup, op3_pii, op4_quality, op5_toxicity, op6_mixing, op7_lm, op8_token_ids, op9_secrets, op10_decontam)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.oracle()}
