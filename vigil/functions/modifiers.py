@@ -162,7 +162,8 @@ def _windash(value: Text, _: Context) -> Value:
 def _re(value: Text, context: Context) -> Value:
     if not context.first:
         raise ValueTypeError("re must be the first modifier")
-    return Regex(value).checked()
+    # wildcards are ordinary characters of a pattern
+    return Regex(Text.raw(value.plain(escape=False)) if value.has_wildcards else value).checked()
 
 
 def _flagged(flag: RegexFlag) -> Change:
