@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from vigil.llm import tokens
 
@@ -22,6 +24,12 @@ def direct(path, texts):
 ODD = ["", " ", "a  b", "a   b\n", "a \n b", "\n \n x", "x ", " x", "a  b", "a\x1c b", "\t\t a", "it's  he'll", "<|endoftext|> x", "日本語 テキスト", "a\r\n b", "  lead", "end \n", "a　 b", "12 34.5%%% !!", "a\n  b", "a  \nb", "  x", "\x85 y z"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.text(alphabet="ab Z9'.s,\n\t\xa0é—²日ſ\x1c", max_size=30), max_size=6))
+def test_any_text_encodes_as_the_library_does(path, texts):
+    assert [np.frombuffer(x, "<u2").tolist() for x in tokens.encoder(path).encode_all(texts)] == direct(path, texts)
+
+
 def test_chunks_encode_as_the_library_does(path, spark, small):
     texts = ODD + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
     got = [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(path).encode_all(texts)]

@@ -22,6 +22,7 @@ an empty table gives an empty codebook and no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -31,29 +32,97 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import in_id_order, n_partitions, shared_dir, stored
+from vigil.llm.common import in_id_order, mix64, n_partitions, shared_dir, stored
 
 MAX_BITS = 17
 INTERVAL = 128
 BLOCK_IDS = 1 << 16
-CACHE = 300_000
+CACHE = 700_000
 _MAGIC = b"VHF1"
 
-# White space as the tokenizers library has it; str.split and \s differ on some control characters.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_MIXED = re.compile(f"[{_SPACE}] [{_SPACE}]|  | \\Z")
+# White space as the tokenizers library has it, without space and line break.
+_ODD_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = re.escape(_ODD_SPACE) + " \n"
+# The fixed pattern of byte-level pre-tokenisation.
+_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_RUNS = ["".join(x) for x in itertools.product(" \n", repeat=3)]
 
 
-class Encoder:
-    """A tokenizer, with a bounded cache of the ids of space-separated chunks where that is exact.
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b < 127 or b > 160 and b != 173]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+# Classes of bytes. Chunks are cut where a class below _MARK changes; beside the others nothing is cut.
+_LETTER, _DIGIT, _SIGN, _BLANK, _BREAK, _MARK, _WIDE = range(7)
+_CLASS = np.full(256, _WIDE, np.uint8)
+for _b in range(128):
+    _c = chr(_b)
+    _CLASS[_b] = _LETTER if _c.isalpha() else _DIGIT if _c.isdigit() else _BLANK if _c == " " else _BREAK if _c == "\n" else _MARK if _c == "'" or _c in _ODD_SPACE else _SIGN
+
+_RANDOM = np.random.default_rng(50257)
+_BYTE_VALUES = _RANDOM.integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2^64, as many as were needed so far."""
+
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> None:
+        if len(cls.up) < n:
+            size = max(n, 1 << 20)
+            for name, base in (("up", _BASE), ("down", _INVERSE)):
+                factors = np.full(size, base, np.uint64)
+                factors[0] = 1
+                setattr(cls, name, np.cumprod(factors, dtype=np.uint64))
+
 
-    Byte-level pre-tokenisation never joins text across white space but for one
-    leading space. A text whose white space is single spaces or line breaks before
-    words can thus be cut at spaces, and each chunk encoded by itself.
+def _chunks(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks start, and the class of each byte.
+
+    A chunk starts with a document, with a space, with a line break and after it, and
+    where ASCII letters, digits and signs meet. These are all ends of pieces.
+    """
+    kind = _CLASS[data]
+    cut = np.zeros(len(data), bool)
+    cut[doc_starts[doc_starts < len(data)]] = True
+    cut |= (kind == _BLANK) | (kind == _BREAK)
+    before, after = kind[:-1], kind[1:]
+    cut[1:] |= (before == _BREAK) | ((before != after) & (before < _BLANK) & (after < _BLANK))
+    return np.flatnonzero(cut), kind
+
+
+class _Known(dict):
+    """Numbers of chunks by hash; new ones get the next number."""
+
+    def __missing__(self, key: int) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Encoder:
+    """A tokenizer, with a bounded cache of the ids of chunks where that is exact.
+
+    Byte-level pre-tokenisation cuts texts into pieces that are encoded one by one.
+    Texts in which white space comes in runs of three or more, in odd characters, or in a
+    run at the end go to the tokenizer as they are. All others are cut into chunks
+    that begin and end with pieces; chunks are told apart by 64-bit hashes, all of a
+    batch at once, and only new ones are cut into pieces by the fixed pattern and
+    encoded by the tokenizer's model.
     """
 
     def __init__(self, path: str, end_id: int = 0) -> None:
@@ -65,36 +134,103 @@ class Encoder:
         self.chunked = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and about.get("normalizer") is None
         self.special = tuple(x["content"] for x in about.get("added_tokens") or ())
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.end = self._pack([end_id])
-        self.cache: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _chunks(self, text: str) -> list[str]:
-        if _MIXED.search(text):
-            return _CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+        self.end = np.array([end_id], self.dtype).tobytes()
+        self.model = Tokenizer.from_file(path)
+        if self.chunked:
+            self.model.pre_tokenizer = None
+        # letters of each token, as the model sees them
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Known()
+        self.ids = np.zeros(1 << 20, self.dtype)  # of all known chunks, one after the other
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.counts = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _plain(self, text: str) -> bool:
+        """Whether cutting into chunks is exact."""
+        if not self.chunked or any(s in text for s in self.special) or any(s in text for s in _ODD_SPACE):
+            return False
+        return not any(r in text for r in _RUNS) and not text[-2:].isspace() if len(text) > 1 else True
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has. Where pieces end is told from the lengths of tokens."""
+        ids, counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        groups = [[p.encode("utf-8").decode("latin-1").translate(_LETTERS) for p in pieces[i : i + 1000]] for i in range(0, len(pieces), 1000)]
+        for group, e in zip(groups, self.model.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, self.dtype))
+            ends = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))) + 1
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, chunks: list[str], several: list[bool]) -> None:
+        """Append chunks to what is known. Those that may be of several pieces are cut by the pattern."""
+        cut = [_PIECE.findall(c) if s else (c,) for c, s in zip(chunks, several, strict=True)]
+        ids, counts = self._encode_pieces([p for x in cut for p in x])
+        pieces = np.cumsum([0, *map(len, cut)])
+        ends = np.concatenate([[0], np.cumsum(counts)])[pieces]
+        n, first = len(chunks), len(self.known) - len(chunks)
+        while len(self.starts) < first + n:
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.starts[first : first + n] = self.used + ends[:-1]
+        self.counts[first : first + n] = np.diff(ends)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _cut_and_encode(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8") for t in texts]
+        sizes = np.array([len(r) for r in raw])
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        doc_starts = np.cumsum(sizes) - sizes
+        starts, kind = _chunks(data, doc_starts)
+        ends = np.append(starts[1:], len(data))
+        _Powers.upto(len(data))
+        running = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[data] * _Powers.up[: len(data)], out=running[1:])
+        hashes = mix64((running[ends] - running[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE:
+            self._forget()
+        before = len(self.known)
+        numbers = np.fromiter(map(self.known.__getitem__, distinct.tolist()), np.int64, len(distinct))
+        new = np.flatnonzero(numbers >= before)
+        if len(new):
+            at = first[new[np.argsort(numbers[new])]]
+            several = (np.maximum.reduceat(kind, starts) >= _MARK)[at]
+            self._learn([joined[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], several.tolist())
+        number = numbers[inverse]
+        counts = self.counts[number]
+        stops = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.starts[number] - (stops - counts), counts) + np.arange(int(stops[-1]))]
+        edges = np.concatenate([[0], stops])[np.append(np.searchsorted(starts, doc_starts), len(starts))] * self.dtype.itemsize
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, x in enumerate(texts) if self.chunked and not any(s in x for s in self.special)]
-        rest = sorted(set(range(len(texts))) - set(plain))
+        out: list[bytes] = [b""] * len(texts)
+        plain = [self._plain(x) for x in texts]
+        cut = [i for i, x in enumerate(texts) if x and plain[i]]
+        rest = [i for i, x in enumerate(texts) if x and not plain[i]]
         for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = self._pack(e.ids) + self.end
-        chunks = {i: self._chunks(texts[i]) for i in plain}
-        cache = self.cache
-        missing = list({c for x in chunks.values() for c in x if c not in cache})
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = list({c for x in chunks.values() for c in x})
-        for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            cache[c] = self._pack(e.ids)
-        for i, x in chunks.items():
-            out[i] = b"".join(map(cache.__getitem__, x)) + self.end
-        return out
+            out[i] = np.array(e.ids, self.dtype).tobytes()
+        # pieces of about a million characters at a time, one long text at least
+        while cut:
+            size = n = 0
+            while n < len(cut) and (not n or size + len(texts[cut[n]]) <= 1 << 20):
+                size += len(texts[cut[n]])
+                n += 1
+            for i, packed in zip(cut[:n], self._cut_and_encode([texts[i] for i in cut[:n]]), strict=True):
+                out[i] = packed
+            cut = cut[n:]
+        return [x + self.end for x in out]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -251,8 +387,9 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data, width in zip(batch["ids"], batch["width"].to_pylist(), strict=True):
-                more = np.bincount(_unpack(data.as_buffer(), width))
+            for width in set(batch["width"].to_pylist()):
+                own = batch.filter(pc.equal(batch["width"], width))["ids"]
+                more = np.bincount(_unpack(b"".join(own.to_pylist()), width))
                 if len(more) > len(total):
                     more[: len(total)] += total
                     total = more
