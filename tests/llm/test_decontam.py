@@ -24,6 +24,12 @@ def test_copies_and_other_parameters_are_caught(spark):
     assert decontam._SYMBOLS.of(mixed)[0].tolist() == decontam._SYMBOLS.of(changed)[0].tolist()
 
 
+def test_other_case_is_caught(spark):
+    item = "The ship left port. Then the crew slept. All of the cargo was wet by noon. Few of them ever sailed again."
+    docs = [(1, item.lower()), (2, item.upper()), (3, item.replace(".", " ;")), (4, "The ship left port.")]
+    assert {i for i, r in run(spark, docs, [(7, item)]).items() if r.contaminated} == {1, 2, 3}
+
+
 def test_inconsistent_slots_do_not_count(spark):
     item = "so Alice saw Alice and Alice met Alice or Alice hit Alice while Alice ran with Alice then Alice sat near Alice"
     names = iter("Bo Cy Di Ed Fi Gus Hal Ian Jo Kit".split())

@@ -6,8 +6,10 @@ Each benchmark item gives the windows of five symbols of its template. Documents
 windows are hash-joined with these, and the literals behind the placeholders must be
 consistent: within one alignment of an item with a document, a literal of the item
 stands for the same literal of the document each time; windows that break this don't
-count. A document is contaminated if some item has 0.8 or more of its windows
-matched.
+count. Each text has two templates: one with names as placeholders, which finds items
+with other names, and one with names as lower-case words, which finds items in other
+case. A document is contaminated if some item has 0.8 or more of the windows of one
+of its templates matched.
 
 Where the items' window hashes are at most ``BROADCAST_WINDOWS`` they travel with the
 tasks, so that documents' other windows are dropped before the join; beyond that all
@@ -68,6 +70,7 @@ class Symbols(dict):
         self.symbol = np.zeros(_CACHE + 1, U64)  # 0: nothing is left of the word
         self.literal = np.zeros(_CACHE + 1, U64)
         self.slot = np.zeros(_CACHE + 1, bool)
+        self.name = np.zeros(_CACHE + 1, bool)
         self.unit = np.zeros(_CACHE + 1, bool)
         self.full = False
 
@@ -82,13 +85,14 @@ class Symbols(dict):
         number = bool(_NUMBER.match(core))
         self.literal[at] = _hash(lower) if core else 0
         self.slot[at] = bool(core) and (number or name)
+        self.name[at] = name and not number
         self.unit[at] = lower in UNITS
         self.symbol[at] = 0 if not core else _NUM if number else _NAME if name else self.literal[at]
         self[word] = at
         return at
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, literals, and literals where they are slots (else 0)."""
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, literals, literals where they are slots (else 0), and whether they are names."""
         words = (text or "").split()
         try:
             at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -104,7 +108,7 @@ class Symbols(dict):
         slots = np.where(self.slot[at], literal, U64(0))
         after = np.flatnonzero(self.unit[at][1:] & (symbol[:-1] == U64(_NUM))) + 1
         symbol[after], slots[after] = U64(_UNIT), literal[after]
-        return symbol, literal, slots
+        return symbol, literal, slots, self.name[at]
 
 
 _SYMBOLS = Symbols()
@@ -120,11 +124,25 @@ def window_hashes(values: np.ndarray, size: int, salt: int) -> np.ndarray:
     return mix64(total)
 
 
-def _emit(ids: list, hashes: list, at: list, slots: list, id_type: pa.DataType) -> pa.RecordBatch:
-    flat = np.concatenate(slots) if slots else np.empty((0, WORDS), U64)
+def templates(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and slots of the two templates; then, alone, the literals."""
+    symbol, literal, slots, name = _SYMBOLS.of(text)
+    lower = np.where(name, literal, symbol)
+    return [(symbol, slots), (lower, np.where(name, U64(0), slots)), (literal, np.zeros(len(literal), U64))]
+
+
+_NAMES = ["row_id", "hash", "at", "kind", "slots"]
+_TYPES = "row_id long, hash long, at long, kind int, slots array<long>"
+
+
+def _emit(rows: list[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of windows from (row_id, hashes, places, kind, slots)."""
+    sizes = [len(r[1]) for r in rows]
+    flat = np.concatenate([r[4] for r in rows]) if rows else np.empty((0, WORDS), U64)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * WORDS), pa.array(flat.reshape(-1).view(np.int64)))
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-    return pa.RecordBatch.from_arrays([pa.array(join(ids, np.int64), id_type), pa.array(join(hashes, U64).view(np.int64)), pa.array(join(at, np.int64)), lists], ["row_id", "hash", "at", "slots"])
+    joined = [np.concatenate([r[i] for r in rows]) if rows else np.empty(0, U64) for i in (1, 2)]
+    repeated = [np.repeat([r[i] for r in rows], sizes).astype(t) if rows else np.empty(0, t) for i, t in ((0, np.int64), (3, np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(repeated[0]), pa.array(joined[0].view(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(repeated[1]), lists], _NAMES)
 
 
 def _slots_of(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -132,26 +150,24 @@ def _slots_of(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``row_id``, ``hash``, ``at`` and slot literals of the items' windows. ``items``: row_id, text."""
+    """``row_id``, ``hash``, ``at``, ``kind`` of template and slot literals of the items' windows. ``items``: row_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out = []
             for row_id, text in zip(batch["row_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                symbol, literal, slots = _SYMBOLS.of(text)
-                if len(symbol) >= WORDS:
-                    hashes = window_hashes(symbol, WORDS, 0)
-                    at = np.arange(len(hashes))
-                    picked = _slots_of(slots, at)
-                elif len(symbol):
-                    hashes, at, picked = window_hashes(literal, len(literal), len(literal)), np.zeros(1, np.int64), np.zeros((1, WORDS), U64)
-                else:
-                    continue
-                for x, y in zip(out, (np.full(len(at), row_id), hashes, at, picked), strict=True):
-                    x.append(y)
-            yield _emit(*out, pa.int64())
-
-    return items.mapInArrow(run, "row_id long, hash long, at long, slots array<long>")
+                *full, (literal, _) = templates(text)
+                n = len(literal)
+                if n >= WORDS:
+                    for kind, (symbols, slots) in enumerate(full):
+                        hashes = window_hashes(symbols, WORDS, 0)
+                        at = np.arange(len(hashes))
+                        out.append((row_id, hashes, at, kind, _slots_of(slots, at)))
+                elif n:
+                    out.append((row_id, window_hashes(literal, n, n), np.zeros(1, np.int64), 2, np.zeros((1, WORDS), U64)))
+            yield _emit(out)
+
+    return items.mapInArrow(run, _TYPES)
 
 
 def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
@@ -161,37 +177,41 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
     doc_id and text; each document also has a row with its ``doc_id`` and no hash.
     """
 
+    def found(row_id: int, text: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]:
+        *full, (literal, _) = templates(text)
+        same = bool(np.array_equal(full[0][0], full[1][0]))
+        wanted = [(kind, symbols, slots, WORDS, 0) for kind, (symbols, slots) in enumerate(full)] + [(2, literal, None, s, s) for s in sizes]
+        at = hashes = None
+        for kind, symbols, slots, size, salt in wanted:
+            if not (kind == 1 and same):
+                hashes = window_hashes(symbols, size, salt)
+                at = np.arange(len(hashes))
+                if known is not None:
+                    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    at = at[known[place] == hashes]
+            if not len(at):
+                continue
+            picked = np.zeros((len(at), WORDS), U64) if slots is None else _slots_of(slots, at)
+            # inside a run of equal windows only the ends are kept
+            equal = (hashes[at][1:] == hashes[at][:-1]) & (np.diff(at) == 1) & (picked[1:] == picked[:-1]).all(axis=1)
+            inner = np.zeros(len(at), bool)
+            inner[1:-1] = equal[1:] & equal[:-1]
+            yield row_id, hashes[at][~inner], at[~inner], kind, picked[~inner]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for row_id, text in zip(part["row_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    symbol, literal, slots = _SYMBOLS.of(text)
-                    for size, hashes in [(WORDS, window_hashes(symbol, WORDS, 0)), *((s, window_hashes(literal, s, s)) for s in sizes)]:
-                        at = np.arange(len(hashes))
-                        if known is not None:
-                            if not len(known):
-                                continue
-                            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                            at = at[known[place] == hashes]
-                        if not len(at):
-                            continue
-                        picked = _slots_of(slots, at) if size == WORDS else np.zeros((len(at), WORDS), U64)
-                        # inside a run of equal windows only the ends are kept
-                        same = (hashes[at][1:] == hashes[at][:-1]) & (np.diff(at) == 1) & (picked[1:] == picked[:-1]).all(axis=1)
-                        inner = np.zeros(len(at), bool)
-                        inner[1:-1] = same[1:] & same[:-1]
-                        keep = ~inner
-                        for x, y in zip(out, (np.full(int(keep.sum()), row_id), hashes[at][keep], at[keep], picked[keep]), strict=True):
-                            x.append(y)
-                n = part.num_rows
-                found = _emit(*out, pa.int64())
-                yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64())], [*found.schema.names, "doc_id"])
-                nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part["row_id"], *nothing, part["doc_id"]], [*found.schema.names, "doc_id"])
-
-    return docs.mapInArrow(run, "row_id long, hash long, at long, slots array<long>, doc_id long")
+                out = []
+                if known is None or len(known):
+                    for row_id, text in zip(part["row_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                        out += found(row_id, text)
+                windows = _emit(out)
+                yield pa.RecordBatch.from_arrays([*windows.columns, pa.nulls(windows.num_rows, pa.int64())], [*_NAMES, "doc_id"])
+                nothing = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part["row_id"], *nothing, part["doc_id"]], [*_NAMES, "doc_id"])
+
+    return docs.mapInArrow(run, _TYPES + ", doc_id long")
 
 
 def matches(docs: DataFrame, items: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +220,7 @@ def matches(docs: DataFrame, items: DataFrame, share: float = SHARE) -> tuple[Da
     ``items`` has row_id and text. Texts of documents are scanned once.
     """
     windows = stored(item_windows(items), "item-windows")
-    totals = windows.groupBy("row_id").agg(F.count("*").alias("windows"))
+    totals = windows.groupBy("row_id", "kind").agg(F.count("*").alias("windows"))
     short = sorted(r[0] for r in items.mapInArrow(_short_sizes, "size int").distinct().collect())
     known = None
     distinct = windows.select("hash").distinct()
@@ -209,10 +229,10 @@ def matches(docs: DataFrame, items: DataFrame, share: float = SHARE) -> tuple[Da
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_id", F.monotonically_increasing_id())
     scanned = stored(document_windows(numbered, short, known), "document-windows")
     found = scanned.where("hash IS NOT NULL")
-    item_side = windows.select("hash", F.col("row_id").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    pairs = found.join(item_side, "hash").select("row_id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip(F.col("item_slots").alias("k"), F.col("slots").alias("v")), lambda p: p["k"] != 0).alias("slots"))
+    item_side = windows.select("hash", "kind", F.col("row_id").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    pairs = found.join(item_side, ["hash", "kind"]).select("row_id", "item", "kind", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip(F.col("item_slots").alias("k"), F.col("slots").alias("v")), lambda p: p["k"] != 0).alias("slots"))
     # one alignment has a window for each place of the item at most
-    aligned = pairs.groupBy("row_id", "item", "shift").agg(F.collect_set(F.struct("item_at", "slots")).alias("windows"))
+    aligned = pairs.groupBy("row_id", "item", "kind", "shift").agg(F.collect_set(F.struct("item_at", "slots")).alias("windows"))
     filled = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["slots"])))
     keys = F.transform("filled", lambda p: p["k"])
     clash = F.filter("filled", lambda p: F.size(F.filter(F.col("keys"), lambda k: k == p["k"])) > 1)
@@ -221,10 +241,11 @@ def matches(docs: DataFrame, items: DataFrame, share: float = SHARE) -> tuple[Da
         aligned.withColumn("filled", filled)
         .withColumn("keys", keys)
         .withColumn("clash", F.transform(clash, lambda p: p["k"]))
-        .select("row_id", "item", F.explode(F.transform(clean, lambda w: w["item_at"])).alias("item_at"))
+        .select("row_id", "item", "kind", F.explode(F.transform(clean, lambda w: w["item_at"])).alias("item_at"))
     )
-    covered = consistent.distinct().groupBy("row_id", "item").agg(F.count("*").alias("n"))
-    return scanned.where("hash IS NULL").select("row_id", "doc_id"), covered.join(totals.select(F.col("row_id").alias("item"), "windows"), "item").select("row_id", "item", (F.col("n") / F.col("windows")).alias("share")).where(F.col("share") >= share)
+    covered = consistent.distinct().groupBy("row_id", "item", "kind").agg(F.count("*").alias("n"))
+    shares = covered.join(totals.withColumnRenamed("row_id", "item"), ["item", "kind"]).groupBy("row_id", "item").agg(F.max(F.col("n") / F.col("windows")).alias("share"))
+    return scanned.where("hash IS NULL").select("row_id", "doc_id"), shares.where(F.col("share") >= share)
 
 
 def _short_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
