@@ -234,7 +234,8 @@ def _nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     level = classes.select("class", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "tree", "class")
     for depth in range(1, DEPTH + 1):
         level = stored(level, "nodes")
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        # written first: a join of two tables, unlike one with an aggregate on its key, can split a hot node
+        sizes = stored(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         shared = stored(level.join(sizes, "node"), "nodes")
         done.append(shared.where(f"size <= {NODE}").select("node", "class"))
         large = shared.where(f"size > {NODE}")
@@ -319,3 +320,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = features.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def oracle(percent: int = 85) -> str:
+    """The query's rows, as DuckDB SQL over all pairs that share a shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^ \t\n\x0B\f\r]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' ')) END)) AS g FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)
+), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+), m AS (SELECT x, min(y) AS root FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+FROM documents d JOIN m ON m.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
