@@ -72,6 +72,8 @@ def test_one_large_family(spark, monkeypatch):
     monkeypatch.setattr(neardup, "NODE", 40)  # nodes branch, and what stays large is cut into blocks
     monkeypatch.setattr(neardup, "DEPTH", 3)
     assert run(spark, rows) == brute(rows)
+    monkeypatch.setattr(neardup, "SHRINK", 0.1)  # nothing branches
+    assert run(spark, rows) == brute(rows)
 
 
 def test_words_split_at_ascii_space_only():

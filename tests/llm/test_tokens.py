@@ -30,6 +30,12 @@ def test_any_text_encodes_as_the_library_does(path, texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in tokens.encoder(path).encode_all(texts)] == direct(path, texts)
 
 
+def test_long_texts_are_cut_before_spaces(path, monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT", 10)
+    texts = ["one two three four five six seven", "a" * 50, "x " + "b" * 40 + " y\n z", " lead words in here"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(path).encode_all(texts)] == direct(path, texts)
+
+
 def test_chunks_encode_as_the_library_does(path, spark, small):
     texts = ODD + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
     got = [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(path).encode_all(texts)]

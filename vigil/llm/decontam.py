@@ -43,7 +43,7 @@ UNITS = frozenset(
     "litre litres percent dollar dollars cent cents euro euros degree degrees celsius fahrenheit watt watts volt volts mph kmh hz khz mhz ghz kb mb gb tb".split()
 )
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?\Z")
-_CACHE = 300_000
+_CACHE = 200_000
 _FACTORS = [U64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 

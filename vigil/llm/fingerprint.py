@@ -149,11 +149,12 @@ def fingerprints(docs: DataFrame, size: int = SKETCH) -> DataFrame:
     # one row per range, of which there are at most as many as shuffle partitions
     firsts = numbered.groupBy("_bucket").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("has_null")).collect()
     firsts = sorted((r["_bucket"], None if r["has_null"] else r["low"]) for r in firsts)
-    before = {low: firsts[i - 1][0] for i, (_, low) in enumerate(firsts)}
-    known = [F.lit(x) for low, bucket in before.items() if low is not None for x in (low, bucket)]
-    previous = F.try_element_at(F.create_map(*known), F.col("doc_id")) if known else F.lit(None).cast("int")
-    if None in before:
-        previous = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(previous)
+    lows, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for i, (bucket, low) in enumerate(firsts):
+        lows[bucket], before[bucket] = low, firsts[i - 1][0]
+    # literal arrays by range: the first id of each, and the range before it
+    low, target = (F.array(*[F.lit(x).cast(kind) for x in values])[F.col("_bucket")] for values, kind in ((lows, "long"), (before, "int")))
+    previous = F.when(F.col("doc_id").eqNullSafe(low), target)
     own = F.struct(F.col("_bucket").alias("to"), F.lit(False).alias("tail"))
     sent = F.struct(F.col("_prev").alias("to"), F.lit(True).alias("tail"))
     dealt = (

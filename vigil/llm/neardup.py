@@ -13,10 +13,11 @@
    yet connected are confirmed exactly, and only a spanning forest is emitted.
 5. Components of these links, then of classes, then of documents.
 
-A node that is still too large at the last level holds sets that agree on many
-tokens; it is dealt into blocks, each with the same few pivots, so that what the
-pivots link is connected across blocks. Members that are still outside the node's
-main component are then compared with all of the node, block by block.
+A node that holds more than ``SHRINK`` of its parent, or is too large at the last level,
+holds sets that agree on most tokens: branching would copy it without taking it apart.
+It is dealt into blocks, each with the same few pivots, so that what the pivots link
+is connected across blocks. Members that are still outside the node's main component
+are then compared with all of the node, block by block.
 
 Recall: a pair at the threshold shares a first-level node in a tree with
 probability 0.85 and keeps a common child at a later branching with 0.97; over
@@ -49,11 +50,12 @@ SKETCH = 128
 TREES = 8
 NODE = 1024
 DEPTH = 12
+SHRINK = 0.7
 PIVOTS = 8
 BROADCAST_IDS = 1_000_000
 _FACTORS = [U64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, SKETCH + TREES, dtype=np.int64).astype(U64) | U64(1)
-_WORD_CACHE = 400_000
+_WORD_CACHE = 300_000
 
 
 class WordHashes(dict):
@@ -229,9 +231,10 @@ def _confirm(percent: int):
 
 
 def _nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, class) rows of nodes small enough to compare, of every level; (node, class, size) of those that never were."""
+    """(node, class) rows of nodes small enough to compare, of every level; (node, class, size) of those that never will be."""
     done: list[DataFrame] = []
-    level = classes.select("class", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "tree", "class")
+    stuck: list[DataFrame] = []
+    level = classes.select("class", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "tree", "class", F.lit(None).cast("long").alias("parent"))
     for depth in range(1, DEPTH + 1):
         level = stored(level, "nodes")
         # written first: a join of two tables, unlike one with an aggregate on its key, can split a hot node
@@ -240,12 +243,16 @@ def _nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         done.append(shared.where(f"size <= {NODE}").select("node", "class"))
         large = shared.where(f"size > {NODE}")
         if large.isEmpty():
-            return _union(done), None
+            break
+        whole = F.lit(depth == DEPTH) | F.coalesce(F.col("size") > SHRINK * F.col("parent"), F.lit(False))
+        if not large.where(whole).isEmpty():
+            stuck.append(large.where(whole).select("node", "class", "size"))
         if depth < DEPTH:
             # two further tokens, each two bytes of the sketch, at places that change with tree and level
             tokens = [f"xxhash64(node, {j}, substring(sketch, int(pmod(tree * 37 + {4 * depth + 2 * j}, {SKETCH - 1})) + 1, 2))" for j in range(2)]
-            level = large.join(classes.select("class", "sketch"), "class").select(F.explode(F.array(*map(F.expr, tokens))).alias("node"), "tree", "class")
-    return _union([*done, _blocks(large)]), large
+            level = large.where(~whole).join(classes.select("class", "sketch"), "class").select(F.explode(F.array(*map(F.expr, tokens))).alias("node"), "tree", "class", F.col("size").alias("parent"))
+    large = stored(_union(stuck), "large") if stuck else None
+    return _union(done if large is None else [*done, _blocks(large)]), large
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import stored
-from vigil.llm.spans import Span, joined, mapper, sha256
+from vigil.llm.spans import Span, Taken, joined, mapper, sha256
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, *(f"like_{k}" for k in BASE_KINDS))
@@ -81,12 +81,12 @@ def mentions(text: str, base: list[Span]) -> list[dict]:
     """Seeds and identifier-like tokens with their patterns."""
     found = [{"kind": kind, "start": start, "end": end, "value": text[start:end].lower(), "patterns": left_patterns(text, start)} for kind, start, end in base]
     if _DIGIT.search(text):
-        taken = sorted((start, end) for _, start, end in base)
+        taken = Taken((start, end) for _, start, end in base)
         for m in _CANDIDATE.finditer(text):
             value = m[0]
             if len(_DIGIT.findall(value)) < 4 or re.fullmatch("[0-9a-f]{24,}", value):
                 continue
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
+            if taken.free(*m.span()):
                 found.append({"kind": None, "start": m.start(), "end": m.end(), "value": value.lower(), "patterns": left_patterns(text, m.start())})
     return [x for x in found if x["patterns"]]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.spans import Span, joined, mapper, sha256
+from vigil.llm.spans import Span, Taken, joined, mapper, sha256
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der", "ssh")
@@ -137,27 +137,23 @@ def confirmed_spans(text: str) -> list[Span]:
     if _longest_word(text) < 24:
         return []
     spans: list[Span] = []
-    taken: list[tuple[int, int]] = []
-
-    def free(start: int, end: int) -> bool:
-        return all(end <= a or start >= b for a, b in taken)
-
+    taken = Taken()
     for m in _PEM.finditer(text):
         data = unbase64("".join(m[2].split()))
         if data is not None and (is_der(data) or is_ssh(data)):
             spans.append(("pem", *m.span()))
-            taken.append(m.span())
+            taken.add(*m.span())
     for m in _TOKEN.finditer(text):
-        if free(*m.span()) and is_signed_token(m[1], m[2]):
+        if taken.free(*m.span()) and is_signed_token(m[1], m[2]):
             spans.append(("jwt", *m.span()))
-            taken.append(m.span())
+            taken.add(*m.span())
     candidates = [(m, bytes.fromhex(m[0])) for m in _LONG_HEX.finditer(text)]
     candidates += [(m, data) for m in _BASE64.finditer(text) if (data := unbase64(m[0])) is not None]
     for m, data in candidates:
         kind = "der" if is_der(data) else "ssh" if is_ssh(data) else None
-        if kind and free(*m.span()):
+        if kind and taken.free(*m.span()):
             spans.append((kind, *m.span()))
-            taken.append(m.span())
+            taken.add(*m.span())
     return spans
 
 

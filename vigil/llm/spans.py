@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,6 +18,30 @@ def joined(spans: Iterable[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in ordered)
 
 
+class Taken:
+    """Intervals that don't overlap, by place."""
+
+    def __init__(self, intervals: Iterable[tuple[int, int]] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(intervals):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether nothing taken overlaps."""
+        at = bisect.bisect_right(self.ends, start)
+        return at == len(self.starts) or self.starts[at] >= end
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect.bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-_CACHE = 300_000
+_CACHE = 200_000
 _RUNS = re.compile(r"(.)\1+", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+")
 

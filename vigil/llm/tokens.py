@@ -43,6 +43,7 @@ MAX_BITS = 17
 INTERVAL = 128
 BLOCK_IDS = 1 << 16
 CACHE = 700_000
+SEGMENT = 1 << 20
 _MAGIC = b"VHF1"
 
 # White space as the tokenizers library has it, without space and line break.
@@ -221,18 +222,33 @@ class Encoder:
         rest = [i for i, x in enumerate(texts) if x and not plain[i]]
         for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, self.dtype).tobytes()
-        # pieces of about a million characters at a time, one long text at least
-        while cut:
-            size = n = 0
-            while n < len(cut) and (not n or size + len(texts[cut[n]]) <= 1 << 20):
-                size += len(texts[cut[n]])
-                n += 1
-            for i, packed in zip(cut[:n], self._cut_and_encode([texts[i] for i in cut[:n]]), strict=True):
-                out[i] = packed
-            cut = cut[n:]
+        # about SEGMENT characters at a time; longer texts are cut before spaces, where chunks start
+        parts = [(i, segment) for i in cut for segment in _segments(texts[i])]
+        at = 0
+        while at < len(parts):
+            size, end = len(parts[at][1]), at + 1
+            while end < len(parts) and size + len(parts[end][1]) <= SEGMENT:
+                size += len(parts[end][1])
+                end += 1
+            for (i, _), packed in zip(parts[at:end], self._cut_and_encode([x for _, x in parts[at:end]]), strict=True):
+                out[i] += packed
+            at = end
         return [x + self.end for x in out]
 
 
+def _segments(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = text.rfind(" ", at + 1, at + SEGMENT)
+        if cut < 0:
+            cut = text.find(" ", at + SEGMENT)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
