@@ -13,6 +13,7 @@ from vigil.operators.output import detections
 from vigil.plans.pipeline import Pipeline, bundled
 from vigil.sources.catalog import Catalog
 from vigil.sources.rules import Collection
+from vigil.streaming.detect import run_once, stream_correlation, stream_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -329,6 +330,52 @@ def windows_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, catalog(spark, sf_dir), pipeline).matches(Collection.from_yaml(text)[0])[0]
 
 
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A placeholder stands for a table of values: a semi-join."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0").select("c_custkey").createOrReplaceTempView("vigil_debtors")
+    pipeline = Pipeline.from_yaml("transformations: [{type: query_expression_placeholders, expression: '{field} IN (SELECT c_custkey FROM {id})', mapping: {debtors: vigil_debtors}}]")
+    text = f"title: t\nlogsource: {SOURCES['orders']}\nfields: [o_orderkey]\ndetection: {{sel: {{o_custkey|expand: '%debtors%', o_totalprice|gt: 1000}}, condition: sel}}\n"
+    return Engine(spark, catalog(spark, sf_dir), pipeline).matches(Collection.from_yaml(text)[0])[0]
+
+
+def live_events(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The events as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    out = Catalog()
+    # a pattern, since the table may be one file or a folder
+    out.add(lambda: spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"), product="app", service="events", name="events", time="ts")
+    return out
+
+
+def streamed(kind: str, rules: str, condition: str) -> Query:
+    text = f"{BASE}title: c\nname: c\ncorrelation: {{type: {kind}, rules: {rules}, timespan: 1d, group-by: [user_id]{condition}}}\n"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        collection = Collection.from_yaml(text)
+        engine = Engine(spark, live_events(spark, sf_dir))
+        return _comparable(run_once(stream_correlation(engine, collection["c"], collection, "1 hour")))  # type: ignore[arg-type]
+
+    return run
+
+
+def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    collection = Collection.from_yaml(BASE)
+    return run_once(stream_matches(Engine(spark, live_events(spark, sf_dir)), list(collection), ["event_id"]).drop("tags"))  # type: ignore[arg-type]
+
+
+def _closed(sql: str, where: str) -> str:
+    """Windows that the watermark, an hour behind the last event, has passed."""
+    return f"SELECT * FROM ({sql}) WHERE ts <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events WHERE {where})"
+
+
+STREAMS: dict[str, tuple[Query, str]] = {
+    "stream_filter": (stream_filter, "SELECT event_type AS rule_id, event_type AS rule_title, NULL::VARCHAR AS level, event_id FROM events WHERE event_type IN ('error', 'click', 'purchase')"),
+    "stream_event_count": (streamed("event_count", "error", ", condition: {gte: 2}"), _closed(_buckets("count(*)", "event_type = 'error'", "value >= 2", 86400), "event_type = 'error'")),
+    "stream_value_count": (streamed("value_count", "[error, click, purchase]", ", condition: {gte: 3, field: event_type}"), _closed(_buckets("count(DISTINCT event_type)", ANY, "value >= 3", 86400), ANY)),
+    "stream_temporal": (streamed("temporal", "[error, purchase]", ""), _closed(_buckets("count(DISTINCT event_type)", "event_type IN ('error', 'purchase')", "value >= 2", 86400), "event_type IN ('error', 'purchase')")),
+}
+
+
 OTHERS: dict[str, tuple[Query, str]] = {
     "multi_rule_fused": (fused_rules, " UNION ALL ".join(f"SELECT 'r{i}' AS rule_id, 'rule {i}' AS rule_title, '{lv}' AS level, event_id FROM events WHERE {w}" for i, (w, lv) in enumerate(zip(_MANY_WHERE, _LEVELS, strict=True)))),
     "hundred_rules_fused": (hundred_rules, " UNION ALL ".join(f"SELECT 'q{i}' AS rule_id, count(*) AS n FROM lineitem WHERE l_quantity >= {i % 50} AND l_discount < {(i % 7) / 100 + 0.01:.2f}::DOUBLE AND l_returnflag = '{'ANR'[i % 3]}' HAVING count(*) > 0" for i in range(100))),
@@ -338,13 +385,14 @@ OTHERS: dict[str, tuple[Query, str]] = {
         "SELECT 'errors' AS rule_id, 'errors' AS rule_title, NULL::VARCHAR AS level, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'high', 'many errors', 'high', count(*) FROM events WHERE event_type = 'error' AND value >= 95 HAVING count(*) > 0 "
         "UNION ALL SELECT 'burst', 'burst', NULL, count(*) FROM (SELECT 1 FROM events WHERE event_type = 'error' GROUP BY user_id, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') HAVING count(*) >= 3) HAVING count(*) > 0",
     ),
+    "lookup_semi_join": (lookup, "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
     "windows_channels": (windows_channels, "SELECT event_id FROM events WHERE event_type = 'error' AND value >= 50"),
 }
 
 
 def queries() -> dict[str, Query]:
-    return {n: s.query(n) for n, s in SPECS.items()} | {n: q for n, (q, _) in (CORRELATIONS | OTHERS).items()}
+    return {n: s.query(n) for n, s in SPECS.items()} | {n: q for n, (q, _) in (CORRELATIONS | STREAMS | OTHERS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s.sql() for n, s in SPECS.items()} | {n: s for n, (_, s) in (CORRELATIONS | OTHERS).items()}
+    return {n: s.sql() for n, s in SPECS.items()} | {n: s for n, (_, s) in (CORRELATIONS | STREAMS | OTHERS).items()}

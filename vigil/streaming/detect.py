@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -93,6 +96,19 @@ def _any_alternative(rule: Correlation) -> Column:
     return F.when(fires, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigil-")
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_once(df: DataFrame) -> DataFrame:
+    """Run a streaming plan over what its sources hold now, and return what it has appended."""
+    spark, folder = df.sparkSession, scratch(df.sparkSession)
+    write(df, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
 def write(df: DataFrame, path: str, checkpoint: str, format: str = "parquet", once: bool = True) -> StreamingQuery:
     """Append results to files, exactly once; ``once`` stops when what is there has been read."""
     writer = df.writeStream.format(format).outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
