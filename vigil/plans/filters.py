@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 from vigil.errors import RuleError, VigilError
-from vigil.plans.condition import parse, resolved
+from vigil.plans.condition import And, Name, Not, Or, Selector, parse, resolved
 from vigil.plans.rules import AnyRule, Detection, LogSource, Meta, Rule, parse_detections
 
 
@@ -62,22 +63,14 @@ class Filter(AnyRule):
         # the detections come along, under names of their own, so that pipelines rewrite them too
         prefix = f"_filter{sum(n.startswith('_filter') for n in out.detections)}_"
         names = {n: prefix + n for n in self.detections}
-        out.detections |= {names[n]: d for n, d in Filter._copied(self.detections).items()}
+        out.detections |= {names[n]: d for n, d in copy.deepcopy(self.detections).items()}
         condition = _renamed(self.condition, names)
         out.conditions = [f"({c}) and ({condition})" for c in out.conditions]
         return out
 
-    @staticmethod
-    def _copied(detections: dict[str, Detection]) -> dict[str, Detection]:
-        import copy
-
-        return copy.deepcopy(detections)
-
 
 def _renamed(condition: str, names: dict[str, str]) -> str:
     """The condition with its names replaced; selectors become the names that they match."""
-    from vigil.plans.condition import And, Name, Not, Or, Selector
-
     def text(node: object) -> str:
         match node:
             case Name(n):

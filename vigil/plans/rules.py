@@ -14,7 +14,7 @@ import yaml
 
 from vigil.errors import ConditionError, RuleError, VigilError
 from vigil.functions import modifiers as mods
-from vigil.functions.values import Expansion, FieldRef, Null, Number, RawQuery, Regex, Text, Value, from_yaml, to_yaml
+from vigil.functions.values import Expansion, FieldRef, Null, Text, Value, from_yaml, to_yaml
 from vigil.plans.condition import And, Node, Not, Or, combined, parse, resolved
 
 
@@ -342,7 +342,10 @@ def _date(value: object) -> datetime.date:
         return value.date()
     if isinstance(value, datetime.date):
         return value
-    return datetime.date.fromisoformat(re.sub("/", "-", str(value)) if not re.fullmatch(r"\d{4}/\d{1,2}/\d{1,2}", str(value)) else "-".join(p.zfill(2) for p in str(value).split("/")))
+    parts = re.fullmatch(r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})", str(value).strip())
+    if not parts:
+        raise ValueError(value)
+    return datetime.date(*map(int, parts.groups()))
 
 
 @dataclass
@@ -474,6 +477,3 @@ def tree_fields(tree: object) -> set[str]:
             more = {value.field} if isinstance(value, FieldRef) else set()
             return ({name} if name is not None else set()) | more
     return set()
-
-
-__all__ = ["AnyRule", "Detection", "Item", "Leaf", "Level", "LogSource", "Meta", "Number", "RawQuery", "Regex", "Relation", "Rule", "Status", "Tag", "UniqueKeyLoader", "parse_detections", "tree_fields"]
