@@ -281,6 +281,15 @@ CORRELATIONS: dict[str, tuple[Query, str]] = {
     ),
 }
 
+CORRELATIONS["correlation_across_sources"] = (
+    correlated(
+        "event_count", "[error, big]", "30d", "{gte: 2}", "[who]",
+        "  aliases: {who: {error: user_id, big: o_custkey}}\n---\ntitle: big\nname: big\nlogsource: {category: sales, service: orders}\ndetection: {sel: {o_totalprice|gt: 200000}, condition: sel}\n", "tumbling",
+    ),
+    "SELECT who, epoch_us(b) AS window_start, epoch_us(b) + 2592000000000 AS ts, value FROM (SELECT who, time_bucket(INTERVAL 2592000 SECOND, ts, TIMESTAMP '1970-01-01') AS b, count(*) AS value "
+    "FROM (SELECT user_id AS who, ts FROM events WHERE event_type = 'error' UNION ALL SELECT o_custkey, o_orderdate FROM orders WHERE o_totalprice > 200000) GROUP BY ALL) WHERE value >= 2",
+)
+
 MANY = "\n---\n".join(
     f"title: rule {i}\nname: r{i}\nlevel: {level}\ntags: [attack.t{i}]\nlogsource: {{product: app, service: events}}\ndetection: {{sel: {{{item}}}, condition: sel}}"
     for i, (level, item) in enumerate([("low", "event_type: error"), ("high", "value|gte: 90"), ("medium", "event_type|contains: i, value|lt: 5"), ("low", "user_id: [1, 2, 3]"), ("critical", "ts|hour: 3, event_type: [click, view]"), ("low", "props.k|gte: 98")])
