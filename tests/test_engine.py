@@ -323,3 +323,53 @@ def test_detections_table(engine):
     rules = Collection.from_dicts([{"title": str(i), "level": "low", "tags": ["attack.t1"], "logsource": {"category": "x"}, "detection": {"s": {"a": a}, "condition": "s"}} for i, a in enumerate(("foo*", "*o*"))])
     rows = detections(engine, rules).collect()
     assert sorted(r.rule_title for r in rows) == ["0", "0", "1", "1", "1"] and rows[0].tags == ["attack.t1"] and '"id":' in rows[0].event
+
+
+def test_one_scan_of_many_rules_equals_rule_by_rule(engine, monkeypatch):
+    from vigil.operators import engine as module
+
+    items = [{"a": "foo*"}, {"b|gte": 1}, {"a": None}, {"n": [5, 7]}, {"a|re": "o"}, {"zz|exists": False}]
+    rules = Collection.from_dicts([{"title": f"r{i}", "logsource": {"category": "x"}, "detection": {"s": d, "condition": "s"}} for i, d in enumerate(items)])
+    want = sorted((r.title, row.id) for r in rules for df in engine.matches(r) for row in df.collect())
+    for chunk in (150, 2):
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        assert sorted((r.rule_title, r.id) for r in engine.tagged(list(rules)).collect()) == want
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        {"transformations": [{"type": "nope"}]},
+        {"transformations": [{"mapping": {}}]},
+        {"transformations": [{"type": "field_name_mapping"}]},
+        {"transformations": [{"type": "drop_detection_item", "rule_conditions": [{"type": "nope"}]}]},
+        {"transformations": [{"type": "drop_detection_item", "rule_conditions": {"a": {"type": "tag", "tag": "x.y"}}}]},
+        {"transformations": [{"type": "drop_detection_item", "rule_conditions": {"a": {"type": "tag", "tag": "x.y"}}, "rule_cond_expr": "a and b"}]},
+        {"transformations": [{"type": "drop_detection_item", "rule_cond_op": "xor"}]},
+        {"transformations": [{"type": "regex", "method": "x"}]},
+        {"transformations": [{"type": "replace_string", "regex": "(", "replacement": ""}]},
+        {"postprocessing": [{"type": "json", "json_template": "{"}]},
+        {"finalizers": [{"type": "nope"}]},
+        {"unknown": 1},
+        {"priority": "x"},
+    ],
+)
+def test_bad_pipelines(data):
+    from vigil.errors import PipelineError
+
+    with pytest.raises(PipelineError):
+        Pipeline.from_dict(data)
+
+
+@pytest.mark.parametrize(
+    ("value", "op", "wanted"),
+    [("high", "eq", True), ("low", "gt", True), ("high", "lt", False), (["high", "low"], "in", True), ("high", "ne", False)],
+)
+def test_attribute_conditions(value, op, wanted):
+    from vigil.plans.pipeline.conditions import Attribute
+    from vigil.plans.pipeline.state import State
+
+    rule = Collection.from_dicts([{"title": "t", "level": "high", "date": "2024-01-02", "score": 5, "logsource": {"category": "x"}, "detection": {"s": {"a": 1}, "condition": "s"}}])[0]
+    assert Attribute("level", value, op).rule(State(rule)) == wanted
+    assert Attribute("date", "2024-01-01", "gte").rule(State(rule)) and Attribute("score", 4, "gt").rule(State(rule))
+    assert Attribute("title", "x", "not_in").rule(State(rule)) and not Attribute("author", "x").rule(State(rule))
