@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,16 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def working(owner: str, forget: Callable[[], object]) -> None:
+    """Say that this worker process now works for ``owner``, whose cache ``forget`` empties; other caches are emptied."""
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+    _HELD[owner] = forget
+
+
 def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star links the greater neighbours of each node to its smallest one,
     small-star the smaller neighbours and the node itself; when nothing changes, all
-    that remains is stars around the roots. Minima are combined before the shuffle,
-    and a node with many neighbours only meets the splittable side of a join.
+    that remains is stars around the roots. Minima are combined before the shuffle and
+    written, so that the join with them is one of two tables, in which a node with
+    many neighbours can be split.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _checksum(now)
@@ -27,10 +28,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before[0] == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         after = _checksum(now)

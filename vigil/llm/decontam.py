@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, stored
+from vigil.llm.common import U64, mix64, stored, working
 
 WORDS = 5
 SHARE = 0.8
@@ -153,6 +153,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     """``row_id``, ``hash``, ``at``, ``kind`` of template and slot literals of the items' windows. ``items``: row_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("decontam", _SYMBOLS.clear)
         for batch in batches:
             out = []
             for row_id, text in zip(batch["row_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -199,6 +200,7 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
             yield row_id, hashes[at][~inner], at[~inner], kind, picked[~inner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("decontam", _SYMBOLS.clear)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)

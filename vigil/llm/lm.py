@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64
+from vigil.llm.common import U64, mix64, working
 
 WORDS = 1 << 18
 BIGRAMS = 1 << 20
@@ -104,6 +104,7 @@ class Counts:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working("lm", _IDS.clear)
     every, wanted = Counts(), Counts()
     for batch in batches:
         for text, flag in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
@@ -145,6 +146,7 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     models = docs.sparkSession.sparkContext.broadcast(train(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("lm", _IDS.clear)
         target, background = models.value
         for batch in batches:
             n, losses = [], []

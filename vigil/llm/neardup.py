@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, stored
+from vigil.llm.common import U64, mix64, stored, working
 from vigil.llm.components import connected_components
 
 WORDS = 5
@@ -112,6 +112,7 @@ def class_id(digest: bytes) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working("neardup", _HASHES.clear)
     names = ["doc_id", "n_shingles", "class", "sketch", "tokens"]
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -187,6 +188,7 @@ def _compare_nodes(percent: int, agree: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working("neardup", _HASHES.clear)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             sets = [shingles(x).tobytes() for x in batch.slice(at, 256)["text"].to_pylist()]
@@ -298,9 +300,9 @@ def _links(rows: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int)
 def _rest(large: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, class) rows that bring members outside a large node's main component to all its members, in blocks."""
     placed = large.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", "size", "class", F.coalesce("root", "class").alias("root"))
-    main = placed.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "root")).alias("main"))
+    main = stored(placed.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "root")).alias("main")), "main")
     placed = stored(placed.join(main, "node").select("node", "class", (F.col("root") != F.col("main.root")).alias("out"), F.ceil(F.col("size") * 4 / NODE).alias("parts")), "placed")
-    queries = placed.where("out").groupBy("node").agg(F.ceil(F.count("*") * 4 / NODE).alias("rounds"))
+    queries = stored(placed.where("out").groupBy("node").agg(F.ceil(F.count("*") * 4 / NODE).alias("rounds")), "queries")
     placed = placed.join(queries, "node")
     spread = "explode(sequence(0L, {} - 1))"
     members = placed.select("node", "class", F.expr("pmod(xxhash64(class), parts)").alias("part"), F.expr(spread.format("rounds")).alias("round"))
@@ -321,8 +323,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if large is not None:
         links = stored(links.unionByName(_links(rows, classes, _rest(large, roots), percent)), "links")
         roots = connected_components(links)
-    named = classes.select("class", "rep").join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = stored(classes.select("class", "rep").join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root")), "named")
+    least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = stored(named.join(least, "root").select("class", F.col("rep").alias("class_id"), "component_id"), "class-roots")
     out = features.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

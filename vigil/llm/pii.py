@@ -127,6 +127,8 @@ def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .join(sizes, "pattern")
             .select("pattern", "kind", (F.col("total") / F.col("size")).alias("confidence"))
         )
+        # written before it is joined with the links again, so that a common pattern can be split
+        confidence = stored(confidence, "pii-confidence")
         if step + 1 < rounds:
             spread = links.join(confidence.where(F.col("confidence") >= 0.1), "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
             scores = stored(spread.unionByName(seeds.select("value", "kind", F.col("seed").alias("score"))).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
@@ -146,7 +148,8 @@ def extract(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float =
         .select("row_id", F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.xxhash64("m.value").alias("value"), F.explode("m.patterns").alias("pattern"))
     )
     edges = stored(each.select("pattern", "value", "kind").distinct(), "pii-edges")
-    accepted = pattern_scores(edges, rounds).where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("pattern", F.col("kind").alias("like"), "confidence")
+    accepted = pattern_scores(edges, rounds)
+    accepted = stored(accepted.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("pattern", F.col("kind").alias("like"), "confidence"), "pii-accepted")
     added = (
         each.where("kind IS NULL")
         .join(accepted, "pattern")

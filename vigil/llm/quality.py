@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_remainder
+from vigil.llm.common import crc_remainder, working
 from vigil.llm.sample import labelled
 from vigil.llm.terms import StyleTerms
 
@@ -42,6 +42,7 @@ _TERMS: list[StyleTerms] = []
 def terms() -> StyleTerms:
     if not _TERMS:
         _TERMS.append(StyleTerms())
+    working("quality", _TERMS.clear)
     return _TERMS[0]
 
 

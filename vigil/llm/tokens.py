@@ -37,12 +37,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import in_id_order, mix64, n_partitions, shared_dir, stored
+from vigil.llm.common import in_id_order, mix64, n_partitions, shared_dir, stored, working
 
 MAX_BITS = 17
 INTERVAL = 128
 BLOCK_IDS = 1 << 16
-CACHE = 700_000
+CACHE = 450_000
 SEGMENT = 1 << 20
 _MAGIC = b"VHF1"
 
@@ -136,9 +136,7 @@ class Encoder:
         self.special = tuple(x["content"] for x in about.get("added_tokens") or ())
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.model = Tokenizer.from_file(path)
-        if self.chunked:
-            self.model.pre_tokenizer = None
+        self.before = self.tokenizer.pre_tokenizer
         # letters of each token, as the model sees them
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -161,11 +159,13 @@ class Encoder:
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has. Where pieces end is told from the lengths of tokens."""
         ids, counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        self.tokenizer.pre_tokenizer = None  # pieces need no more cutting
         groups = [[p.encode("utf-8").decode("latin-1").translate(_LETTERS) for p in pieces[i : i + 1000]] for i in range(0, len(pieces), 1000)]
-        for group, e in zip(groups, self.model.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
             ids.append(np.array(e.ids, self.dtype))
             ends = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))) + 1
             counts.append(np.diff(ends, prepend=0))
+        self.tokenizer.pre_tokenizer = self.before
         return np.concatenate(ids), np.concatenate(counts)
 
     def _learn(self, chunks: list[str], several: list[bool]) -> None:
@@ -259,6 +259,7 @@ def encoder(path: str, end_id: int = 0) -> Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS[path, end_id] = Encoder(path, end_id)
+    working("tokens", _ENCODERS.clear)
     return _ENCODERS[path, end_id]
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_remainder
+from vigil.llm.common import crc_remainder, working
 from vigil.llm.sample import labelled
 from vigil.llm.terms import LexicalTerms
 
@@ -40,6 +40,7 @@ _TERMS: list[LexicalTerms] = []
 def terms() -> LexicalTerms:
     if not _TERMS:
         _TERMS.append(LexicalTerms())
+    working("toxicity", _TERMS.clear)
     return _TERMS[0]
 
 
