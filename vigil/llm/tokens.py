@@ -41,8 +41,8 @@ from vigil.llm.common import in_id_order, mix64, n_partitions, shared_dir, store
 
 MAX_BITS = 17
 INTERVAL = 128
-BLOCK_IDS = 1 << 16
-CACHE = 450_000
+BLOCK_IDS = 1 << 18
+CACHE = 700_000
 SEGMENT = 1 << 20
 _MAGIC = b"VHF1"
 
@@ -136,7 +136,9 @@ class Encoder:
         self.special = tuple(x["content"] for x in about.get("added_tokens") or ())
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.before = self.tokenizer.pre_tokenizer
+        self.model = Tokenizer.from_file(path)
+        if self.chunked:
+            self.model.pre_tokenizer = None  # pieces need no more cutting
         # letters of each token, as the model sees them
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -159,13 +161,11 @@ class Encoder:
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has. Where pieces end is told from the lengths of tokens."""
         ids, counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
-        self.tokenizer.pre_tokenizer = None  # pieces need no more cutting
         groups = [[p.encode("utf-8").decode("latin-1").translate(_LETTERS) for p in pieces[i : i + 1000]] for i in range(0, len(pieces), 1000)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.model.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
             ids.append(np.array(e.ids, self.dtype))
             ends = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))) + 1
             counts.append(np.diff(ends, prepend=0))
-        self.tokenizer.pre_tokenizer = self.before
         return np.concatenate(ids), np.concatenate(counts)
 
     def _learn(self, chunks: list[str], several: list[bool]) -> None:
@@ -309,16 +309,20 @@ def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     return lengths
 
 
+def canonical_order(lengths: np.ndarray) -> np.ndarray:
+    """Ids that have a code: by length, then by id."""
+    used = np.flatnonzero(lengths)
+    return used[np.lexsort((used, lengths[used]))]
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
-    """The code of each id: by length, then by id."""
+    """The code of each id: the codes before it, counted in leaves at the greatest length."""
     codes = np.zeros(len(lengths), np.uint64)
-    used = np.flatnonzero(lengths)
-    code = previous = 0
-    for symbol in used[np.lexsort((used, lengths[used]))]:
-        size = int(lengths[symbol])
-        code <<= size - previous
-        codes[symbol] = code
-        code, previous = code + 1, size
+    order = canonical_order(lengths)
+    if len(order):
+        free = (int(lengths.max()) - lengths[order].astype(np.int64)).astype(np.uint64)
+        leaves = np.uint64(1) << free
+        codes[order] = (np.cumsum(leaves) - leaves) >> free
     return codes
 
 
@@ -357,14 +361,12 @@ class Decoder:
 
     def __init__(self, lengths: np.ndarray) -> None:
         self.width = max(1, int(lengths.max(initial=0)))
-        codes = canonical_codes(lengths)
+        order = canonical_order(lengths)
+        leaves = 1 << (self.width - lengths[order].astype(np.int64))
         self.ids = np.zeros(1 << self.width, np.uint32)
         self.sizes = np.zeros(1 << self.width, np.int64)
-        for symbol in np.flatnonzero(lengths):
-            free = self.width - int(lengths[symbol])
-            low = int(codes[symbol]) << free
-            self.ids[low : low + (1 << free)] = symbol
-            self.sizes[low : low + (1 << free)] = lengths[symbol]
+        self.ids[: leaves.sum()] = np.repeat(order, leaves)
+        self.sizes[: leaves.sum()] = np.repeat(lengths[order], leaves)
 
     def bits(self, data: np.ndarray, steps: np.ndarray, count: int, interval: int) -> np.ndarray:
         padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
