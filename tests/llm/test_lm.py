@@ -60,3 +60,36 @@ def test_edge_rows(spark):
     assert len(got) == 6 and all(math.isfinite(r.score) for r in got)
     assert [r.score for r in got if r.doc_id in (1, 2)] == [0, 0]
     assert lm.score(spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_real_strings_are_counted_apart(spark, monkeypatch):
+    """Against counts by strings, with more words and bigrams than a table of fixed size would tell apart."""
+    monkeypatch.setattr(lm, "CHUNK", 40_000, raising=False)
+    monkeypatch.setattr(lm, "SLICE", 20_000, raising=False)
+    rows = [(d, " ".join(f"w{d}x{i} w{(d * 7 + i) % 900}" for i in range(3000))) for d in range(90)] + [(900, "w1x1 w8 never w1x1"), (901, "")]
+    wanted = {d for d, _ in rows[::3]}
+    texts = {d: ["", *t.split()] for d, t in rows}
+    counts = {}
+    for name, members in (("target", wanted), ("background", set(texts))):
+        counts[name] = c = Counter(), Counter(), Counter()
+        for d in members:
+            c[0].update(texts[d][:-1])
+            c[1].update(texts[d][1:])
+            c[2].update(zip(texts[d], texts[d][1:], strict=False))
+    vocabulary = len(counts["background"][1])
+    assert vocabulary > lm.WORDS
+    want = {}
+    for d, words in texts.items():
+        for name, (c, w, b) in counts.items():
+            mine = d in wanted or name == "background"
+            oc, ow, ob = (Counter(x) if mine else Counter() for x in (words[:-1], words[1:], zip(words, words[1:], strict=False)))
+            total = w.total() - ow.total() + lm.UNIGRAM_SMOOTHING * vocabulary
+            terms = [
+                -math.log((b[x, y] - ob[x, y] + lm.BIGRAM_SMOOTHING * (w[y] - ow[y] + lm.UNIGRAM_SMOOTHING) / total) / (c[x] - oc[x] + lm.BIGRAM_SMOOTHING)) for x, y in zip(words, words[1:], strict=False)
+            ]
+            want[d, name] = sum(terms) / len(terms) if terms else 0
+    docs = spark.createDataFrame([(d, t, "", 1) for d, t in rows], DOCS).repartition(3)
+    got = lm.score(docs, spark.createDataFrame([(d,) for d in wanted], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose([r.target_loss, r.background_loss], [want[r.doc_id, "target"], want[r.doc_id, "background"]], rtol=0, atol=1e-9)

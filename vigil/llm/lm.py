@@ -2,12 +2,17 @@
 
 A background model is counted on all documents and a target model on the documents
 marked as wanted. Both are bigram models with the same smoothing over one shared
-vocabulary: words hashed to ``WORDS`` ids, bigrams to ``BIGRAMS`` counters. Each task
-counts into arrays and emits the counters it met; these are summed by counter, and
-the two models, whose size is fixed whatever the corpus, are broadcast. A document's
-score is the mean over its words of target loss less background loss: the lower, the
-more like the target. A document's own counts are taken out of the models that hold
-it before it is scored, so that it doesn't predict itself.
+vocabulary. Words, contexts and bigrams are counted by 64-bit keys in a table that
+grows with the corpus and is never in one place. Documents are gathered in chunks of
+about ``CHUNK`` words. Each chunk asks with its distinct keys and own counts, so that
+a common key comes once a chunk; slices of the table, ranges of keys, sum them and
+answer each chunk with the totals. The number of slices grows with the words. The
+vocabulary is the distinct words of the corpus, but ``WORDS`` at least, so that small
+corpora leave room for unseen words.
+
+A document's score is the mean over its words of target loss less background loss:
+the lower, the more like the target. A document's own counts are taken out of the
+models that hold it before it is scored, so that it doesn't predict itself.
 
 Edge cases: null and empty texts have no words and losses and score 0; with no
 target documents the target model is uniform; ids that repeat are rows of their own,
@@ -17,7 +22,6 @@ and an id is wanted if any of its labels says so; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +29,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, working
+from vigil.llm.common import U64, mix64, n_partitions, stored, working
 
 WORDS = 1 << 18
-BIGRAMS = 1 << 20
 UNIGRAM_SMOOTHING = 0.5
 BIGRAM_SMOOTHING = 20.0
 BROADCAST_IDS = 2_000_000
+CHUNK = 1 << 20
+SLICE = 1 << 21  # words a slice of the table, in the mean
 _CACHE = 400_000
+_FOLLOWED = U64(0xA0761D6478BD642F)
+_FACTOR = U64(0xD6E8FEB86659FD93)
 
 
 class _Ids(dict):
-    """Hashed ids of lower-cased words, kept up to a bound."""
+    """64-bit ids of lower-cased words, kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _CACHE:
             self.clear()
-        self[word] = i = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace")) % (WORDS - 1) + 1
+        self[word] = i = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace"))
         return i
 
 
@@ -51,32 +58,15 @@ _IDS = _Ids()
 def word_ids(text: str | None) -> np.ndarray:
     """Ids of the words, after the id 0 of the beginning."""
     words = (text or "").split()
-    return np.concatenate([[0], np.fromiter(map(_IDS.__getitem__, words), np.int64, len(words))])
+    return np.concatenate([np.zeros(1, U64), np.fromiter(map(_IDS.__getitem__, words), U64, len(words))])
 
 
-def bigram_ids(ids: np.ndarray) -> np.ndarray:
-    return (mix64((ids[:-1] * WORDS + ids[1:]).astype(U64)) & U64(BIGRAMS - 1)).astype(np.int64)
-
-
-@dataclass
-class Model:
-    contexts: np.ndarray  # how often each id is followed by a word
-    words: np.ndarray
-    bigrams: np.ndarray
+def bigram_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(contexts * _FACTOR + words)
 
-    def __post_init__(self) -> None:
-        self.total = float(self.words.sum(dtype=np.float64))
-        self.unigram = (self.words + UNIGRAM_SMOOTHING) / (self.total + UNIGRAM_SMOOTHING * WORDS)
 
-    def loss(self, ids: np.ndarray, pairs: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> float:
-        """Mean negative log probability of the words. ``own``: counts to take out for each of them."""
-        bigrams, contexts = self.bigrams[pairs], self.contexts[ids[:-1]]
-        unigram = self.unigram[ids[1:]]
-        if own is not None:
-            bigrams, contexts = bigrams - own[0], contexts - own[1]
-            unigram = (self.words[ids[1:]] - own[2] + UNIGRAM_SMOOTHING) / (self.total - len(pairs) + UNIGRAM_SMOOTHING * WORDS)
-        p = (np.maximum(bigrams, 0) + BIGRAM_SMOOTHING * unigram) / (np.maximum(contexts, 0) + BIGRAM_SMOOTHING)
-        return float(-np.log(p, dtype=np.float64).mean())
+def bigram_ids(ids: np.ndarray) -> np.ndarray:
+    return bigram_keys(ids[:-1], ids[1:])
 
 
 def times(values: np.ndarray) -> np.ndarray:
@@ -85,37 +75,179 @@ def times(values: np.ndarray) -> np.ndarray:
     return n[at]
 
 
-class Counts:
-    """Contexts, words and bigrams in one array of counters."""
+def _pack(values: np.ndarray) -> bytes:
+    """By planes of bytes, which compress better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
-    size = 2 * WORDS + BIGRAMS
 
-    def __init__(self) -> None:
-        self.array = np.zeros(self.size, np.int64)
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
-    def add(self, ids: np.ndarray) -> None:
-        if len(ids) > 1:
-            at = np.concatenate([ids[:-1], ids[1:] + WORDS, bigram_ids(ids) + 2 * WORDS])
-            np.add.at(self.array, at, 1)
 
-    def model(self) -> Model:
-        a = self.array.astype(np.float64)
-        return Model(a[:WORDS], a[WORDS : 2 * WORDS], a[2 * WORDS :])
+_CHUNK = "docs array<long>, wanted binary, sizes binary, vocabulary binary, at binary, words long, wanted_words long"
+_CHUNK_NAMES = [x.split()[0] for x in _CHUNK.split(", ")]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as places in the ascending distinct word ids of their chunk."""
     working("lm", _IDS.clear)
-    every, wanted = Counts(), Counts()
+    docs: list[int | None] = []
+    flags: list[bool] = []
+    texts: list[np.ndarray] = []
+
+    def chunk() -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in texts], np.int64)
+        wanted = np.array(flags, np.uint8)
+        vocabulary, at = np.unique(np.concatenate(texts), return_inverse=True)
+        row = [pa.array([docs], pa.list_(pa.int64()))]
+        row += [pa.array([x], pa.binary()) for x in (_pack(wanted), _pack(sizes), _pack(vocabulary), _pack(at.astype(np.int32)))]
+        row += [pa.array([int(x)], pa.int64()) for x in ((sizes - 1).sum(), (sizes - 1)[wanted == 1].sum())]
+        return pa.RecordBatch.from_arrays(row, _CHUNK_NAMES)
+
+    held = 0
     for batch in batches:
-        for text, flag in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
+        for doc_id, text, flag in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
             ids = word_ids(text)
-            every.add(ids)
-            if flag:
-                wanted.add(ids)
-    used = np.flatnonzero(every.array)
-    for at in range(0, len(used), 100_000):
-        part = used[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(every.array[part]), pa.array(wanted.array[part])], ["counter", "background", "target"])
+            docs.append(doc_id)
+            flags.append(flag)
+            texts.append(ids)
+            held += len(ids)
+            if held >= CHUNK:
+                yield chunk()
+                docs, flags, texts, held = [], [], [], 0
+    if docs:
+        yield chunk()
+
+
+class Chunk:
+    """The n-grams of a chunk: ``keys`` are its words, its contexts and its bigrams, and an occurrence is a place in each."""
+
+    def __init__(self, wanted: bytes, sizes: bytes, vocabulary: bytes, at: bytes) -> None:
+        ids, places, lengths = _unpack(vocabulary, U64), _unpack(at, np.int32).astype(np.int64), _unpack(sizes, np.int64)
+        self.n = lengths - 1
+        self.doc = np.repeat(np.arange(len(lengths)), self.n)
+        self.wanted = np.frombuffer(wanted, np.uint8).astype(bool)
+        inside = np.ones(len(places), bool)
+        inside[np.cumsum(lengths) - lengths] = False
+        at_word = np.flatnonzero(inside)
+        word, context = places[at_word], places[at_word - 1]
+        pairs, pair = np.unique(bigram_keys(ids[context], ids[word]), return_inverse=True)
+        self.n_ids = len(ids)
+        self.keys = np.concatenate([ids, mix64(ids ^ _FOLLOWED), pairs])
+        self.word, self.context, self.pair = word, context + len(ids), pair + 2 * len(ids)
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs in all and in the wanted documents."""
+        every = np.concatenate([self.word, self.context, self.pair])
+        flag = np.tile(self.wanted[self.doc], 3)
+        return tuple(np.bincount(x, minlength=len(self.keys)).astype(np.int64) for x in (every, every[flag]))  # type: ignore[return-value]
+
+    def losses(self, background: np.ndarray, target: np.ndarray, totals: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean negative log probability of each document's words by the target and by the background."""
+        own = [times(self.doc * len(self.keys) + x) for x in (self.pair, self.context, self.word)]
+        found = []
+        for counts, total, out in ((target, totals[1], self.wanted[self.doc]), (background, totals[0], True)):
+            bigrams, contexts, words = (counts[x] - o * out for x, o in zip((self.pair, self.context, self.word), own, strict=True))
+            unigram = (words + UNIGRAM_SMOOTHING) / (total - self.n[self.doc] * out + UNIGRAM_SMOOTHING * vocabulary)
+            p = (bigrams + BIGRAM_SMOOTHING * unigram) / (contexts + BIGRAM_SMOOTHING)
+            found.append(np.bincount(self.doc, -np.log(p), len(self.n)) / np.maximum(self.n, 1))
+        return found[0], found[1]
+
+
+_ASK = "chunk long, slice int, words binary, keys binary, background binary, target binary"
+_ASK_NAMES = [x.split()[0] for x in _ASK.split(", ")]
+
+
+def _asks(slices: int) -> object:
+    """Each chunk's keys and counts, one row for each slice that holds some."""
+    cuts = np.array([i * 2**64 // slices for i in range(1, slices)], U64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1).to_pylist()[0]
+                own = Chunk(part["wanted"], part["sizes"], part["vocabulary"], part["at"])
+                keys, counts = own.keys[own.order], [x[own.order] for x in own.counts()]
+                words = (own.order < own.n_ids).astype(np.uint8)
+                ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+                used = [i for i in range(slices) if ends[i + 1] > ends[i]]
+                columns = [pa.array([_pack(x[ends[i] : ends[i + 1]]) for i in used], pa.binary()) for x in (words, keys, *counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([part["chunk"]] * len(used), pa.int64()), pa.array(used, pa.int32()), *columns], _ASK_NAMES)
+
+    return run
+
+
+_ANSWER = "chunk long, slice int, background binary, target binary, distinct long"
+_ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The totals of what chunks ask for, in their order. Rows come by slice."""
+
+    def answer(rows: list[dict]) -> pa.RecordBatch:
+        asked = [_unpack(r["keys"], U64) for r in rows]
+        keys = np.concatenate(asked)
+        order = np.argsort(keys, kind="stable")
+        ascending = keys[order]
+        first = np.concatenate([[True], ascending[1:] != ascending[:-1]])
+        at, group = np.flatnonzero(first), np.cumsum(first) - 1
+        totals = []
+        for name in ("background", "target"):
+            sums = np.add.reduceat(np.concatenate([_unpack(r[name], np.int64) for r in rows])[order], at)
+            back = np.empty(len(keys), np.int64)
+            back[order] = sums[group]
+            totals.append((sums, back))
+        is_word = np.concatenate([np.frombuffer(r["words"], np.uint8) for r in rows])[order][at]
+        # the beginning is no word: it is never counted as one
+        distinct = int((is_word.astype(bool) & (totals[0][0] > 0)).sum())
+        cuts = np.cumsum([len(x) for x in asked])[:-1]
+        columns = [pa.array([_pack(x) for x in np.split(back, cuts)], pa.binary()) for _, back in totals]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["slice"] for r in rows], pa.int32()), *columns, pa.array([distinct] + [0] * (len(rows) - 1), pa.int64())], _ANSWER_NAMES
+        )
+
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["slice"] != rows[0]["slice"]:
+                yield answer(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield answer(rows)
+
+
+def _scores(totals: tuple[int, int], vocabulary: int) -> object:
+    """Documents of chunks, each of which comes before its answers by slice."""
+
+    def scored(part: dict, answers: list[dict]) -> pa.RecordBatch:
+        own = Chunk(part["wanted"], part["sizes"], part["vocabulary"], part["at"])
+        counts = []
+        for name in ("background", "target"):
+            back = np.empty(len(own.keys), np.int64)
+            back[own.order] = np.concatenate([_unpack(a[name], np.int64) for a in answers])
+            counts.append(back)
+        target, background = own.losses(counts[0], counts[1], totals, vocabulary)
+        return pa.RecordBatch.from_arrays([pa.array(part["docs"], pa.int64()), pa.array(own.n), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: dict = {}
+        answers: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["slice"] >= 0:
+                    answers.append(row)
+                    continue
+                if part:
+                    yield scored(part, answers)
+                part, answers = row, []
+        if part:
+            yield scored(part, answers)
+
+    return run
 
 
 def _flagged(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -126,43 +258,27 @@ def _flagged(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("wanted_id"), "left").select("doc_id", "text", F.col("wanted_id").isNotNull().alias("wanted"))
 
 
-def train(rows: DataFrame) -> tuple[Model, Model]:
-    """The target and the background model of rows with ``text`` and ``wanted``."""
-    summed = rows.select("text", "wanted").mapInArrow(_count, "counter int, background long, target long").groupBy("counter").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    # as many rows as there are counters, at most
-    found = summed.select("counter", "background", "target").toArrow()
-    every, target = Counts(), Counts()
-    at = found["counter"].to_numpy()
-    every.array[at], target.array[at] = found["background"].to_numpy(), found["target"].to_numpy()
-    return target.model(), every.model()
-
-
 def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``target_loss``, ``background_loss`` and ``score`` of every row.
 
     ``wanted`` has the ``doc_id`` of target documents.
     """
-    rows = _flagged(docs, wanted)
-    models = docs.sparkSession.sparkContext.broadcast(train(rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("lm", _IDS.clear)
-        target, background = models.value
-        for batch in batches:
-            n, losses = [], []
-            for text, flag in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-                ids = word_ids(text)
-                n.append(len(ids) - 1)
-                if len(ids) == 1:
-                    losses.append((0.0, 0.0))
-                    continue
-                pairs = bigram_ids(ids)
-                own = times(pairs), times(ids[:-1]), times(ids[1:])
-                losses.append((target.loss(ids, pairs, own if flag else None), background.loss(ids, pairs, own)))
-            t, b = (pa.array([x[i] for x in losses], pa.float64()) for i in range(2))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), t, b], ["doc_id", "n_words", "target_loss", "background_loss"])
-
-    out = rows.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double")
+    parts = n_partitions(docs.sparkSession)
+    chunks = stored(_flagged(docs, wanted).mapInArrow(_chunks, _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+    facts = chunks.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("wanted_words").alias("wanted"), F.max(F.shiftright("chunk", 33)).alias("last")).first()
+    totals = facts["words"] or 0, facts["wanted"] or 0
+    slices = parts * (1 + totals[0] // (parts * SLICE))
+    asks = chunks.select("chunk", "wanted", "sizes", "vocabulary", "at").mapInArrow(_asks(slices), _ASK)
+    dealt = asks.repartitionById(parts, F.col("slice") % parts).sortWithinPartitions("slice")
+    answers = stored(dealt.mapInArrow(_answers, _ANSWER), "lm-answers")
+    distinct = answers.agg(F.sum("distinct")).first()[0] or 0
+    each = chunks.select("chunk", F.lit(-1).alias("slice"), "docs", "wanted", "sizes", "vocabulary", "at")
+    both = each.unionByName(answers.select("chunk", "slice", "background", "target"), allowMissingColumns=True)
+    # chunks are numbered across tasks, and dealt in turn
+    number = F.col("chunk").bitwiseAND(2**33 - 1) * ((facts["last"] or 0) + 1) + F.shiftright("chunk", 33)
+    tasks = max(parts, facts["n"] // 4)
+    together = both.repartitionById(tasks, (number % tasks).cast("int")).sortWithinPartitions("chunk", "slice")
+    out = together.mapInArrow(_scores(totals, max(WORDS, distinct)), "doc_id long, n_words long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
