@@ -78,3 +78,40 @@ def test_symbols(word, kind):
 
 def test_units_only_after_numbers():
     assert decontam._SYMBOLS.of("5 kg")[0][1] == decontam._UNIT and decontam._SYMBOLS.of("the kg")[0][1] != decontam._UNIT
+
+
+SHORT = "a train that Ann drives covers 5km in 30ms and then it stops near the old dam"
+
+
+@pytest.mark.parametrize(
+    "changed",
+    [
+        [("5km", "12km")],
+        [("5km", "7kg"), ("30ms", "2h")],
+        [("5km", "12 yards"), ("30ms", "400 ns")],
+        [("5km", "3 tons")],
+        [("5km", "60km/h"), ("30ms", "9-gallon")],
+        [("Ann", "Mary Jane")],
+        [("Ann", "Mary Jane Van Dyke"), ("5km", "16 ounces")],
+    ],
+)
+def test_short_items_with_other_values_are_caught(spark, changed):
+    text = SHORT
+    for old, new in changed:
+        text = text.replace(old, new)
+    got = run(spark, [(1, text), (2, text.replace("train", "tram").replace("stops", "ends").replace("dam", "barn"))], [(1, SHORT)])
+    assert got[1].contaminated and got[1].share == 1 and not got[2].contaminated
+    back = run(spark, [(1, SHORT)], [(1, text)])
+    assert back[1].contaminated
+
+
+def test_names_of_other_lengths_are_one_value_each():
+    def slots(text):
+        return decontam.templates(text)[decontam.RUNS][2].tolist()
+
+    a, b = slots("then Ann saw Bo and Ann left"), slots("then Mary Jane saw Al Fox and Mary Jane left")
+    assert len(a) == len(b) == 7 and b[1] == b[5] != b[3] and slots("Jane Mary")[0] != slots("Mary Jane")[0]
+
+
+def test_short_items_of_many_names_stay_caught(spark):
+    assert run(spark, [(1, "x then Tim Fox has 9 kg x")], [(1, "Ann Lee has 5 km")])[1].contaminated

@@ -2,13 +2,14 @@
 
 Words become symbols: numbers, capitalised names and, after numbers, units become
 typed placeholders, other words their lower-case letters without outer punctuation.
+A number with a unit attached to it is a number and a unit.
 Each benchmark item gives the windows of five symbols of its template. Documents'
 windows are hash-joined with these, and the literals behind the placeholders must be
 consistent: within one alignment of an item with a document, a literal of the item
 stands for the same literal of the document each time; windows that break this don't
-count. Each text has two templates: one with names as placeholders, which finds items
-with other names, and one with names as lower-case words, which finds items in other
-case. A document is contaminated if some item has 0.8 or more of the windows of one
+count. Each text has three templates: one with each run of names as one placeholder,
+which finds items with names of other lengths, one with a placeholder for each word of
+a name, and one with names as lower-case words, which finds items in other case. A document is contaminated if some item has 0.8 or more of the windows of one
 of its templates matched.
 
 Where the items' window hashes are at most ``BROADCAST_WINDOWS`` they travel with the
@@ -38,12 +39,30 @@ WORDS = 5
 SHARE = 0.8
 BROADCAST_WINDOWS = 4_000_000
 UNITS = frozenset(
-    "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months "
-    "year years meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters "
-    "litre litres percent dollar dollars cent cents euro euros degree degrees celsius fahrenheit watt watts volt volts mph kmh hz khz mhz ghz kb mb gb tb".split()
+    "nm um µm μm mm cm dm m km in ft yd mi nmi ly au micron microns micrometer micrometers micrometre micrometres nanometer nanometers nanometre nanometres "
+    "millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres decimeter decimeters decimetre decimetres "
+    "meter meters metre metres kilometer kilometers kilometre kilometres mile miles yard yards yds foot feet inch inches furlong furlongs fathom fathoms league leagues "
+    "lightyear lightyears light-year light-years parsec parsecs "
+    "mcg ug µg μg mg g kg t lb lbs oz st ct kt microgram micrograms milligram milligrams gram grams gramme grammes kilo kilos kilogram kilograms kilogramme kilogrammes "
+    "ton tons tonne tonnes pound pounds ounce ounces stone stones grain grains carat carats quintal quintals cwt hundredweight "
+    "ul µl μl ml cl dl l hl cc gal gals pt pts qt qts tsp tbsp milliliter milliliters millilitre millilitres centiliter centiliters centilitre centilitres "
+    "liter liters litre litres gallon gallons quart quarts pint pints cup cups teaspoon teaspoons tablespoon tablespoons barrel barrels bbl bushel bushels acre acres hectare hectares ha sqm sqft sqkm "
+    "ns us µs μs ms s sec secs second seconds nanosecond nanoseconds microsecond microseconds millisecond milliseconds min mins minute minutes h hr hrs hour hours d day days night nights "
+    "wk wks week weeks fortnight fortnights mo mos month months quarter quarters y yr yrs year years decade decades century centuries millennium millennia am pm o'clock "
+    "percent pct pence penny pennies p c cent cents dollar dollars usd buck bucks euro euros eur gbp quid shilling shillings yen jpy yuan rmb cny rupee rupees inr rs peso pesos "
+    "franc francs chf ruble rubles rouble roubles won krw lira liras krona kronor krone kroner real reais rand rands dinar dinars dirham dirhams shekel shekels dime dimes nickel nickels "
+    "k bn thousand million millions billion billions trillion trillions dozen dozens "
+    "degree degrees deg celsius fahrenheit kelvin kelvins f radian radians rad "
+    "mw kw gw w v kv mv a ma ah mah j kj mj n kn pa kpa mpa psi bar bars atm wh kwh mwh gwh ev kev mev cal kcal btu hp "
+    "watt watts kilowatt kilowatts megawatt megawatts gigawatt gigawatts volt volts kilovolt kilovolts amp amps ampere amperes milliamp milliamps ohm ohms joule joules kilojoule kilojoules "
+    "newton newtons pascal pascals kilopascal kilopascals calorie calories kilocalorie kilocalories horsepower mole moles mol mmol lumen lumens lux farad farads tesla teslas henry db decibel decibels "
+    "mph kph kmh kmph knot knots fps rpm bpm hz khz mhz ghz thz hertz kilohertz megahertz gigahertz "
+    "bit bits byte bytes b kb mb gb tb pb kib mib gib tib kilobyte kilobytes megabyte megabytes gigabyte gigabytes terabyte terabytes kbps mbps gbps bps px pixel pixels dpi".split()
 )
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?\Z")
+_ATTACHED = re.compile(r"([+-]?\d[\d.,:/]*)[-°º]*([^\W\d_].*)\Z")
 _CACHE = 200_000
+_FILTER = 1 << 20
 _FACTORS = [U64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -63,6 +82,11 @@ def _strip(word: str) -> str:
     return word[start:end]
 
 
+def _is_unit(lower: str) -> bool:
+    """A unit, also with a power (m2, m³), or a quotient of units (km/h)."""
+    return lower in UNITS or ("/" in lower or lower[-1:] in ("2", "3", "²", "³")) and all(x.rstrip("^23²³") in UNITS for x in lower.split("/"))
+
+
 class Symbols(dict):
     """Words to positions in arrays of symbols, kept up to a bound."""
 
@@ -72,6 +96,7 @@ class Symbols(dict):
         self.slot = np.zeros(_CACHE + 1, bool)
         self.name = np.zeros(_CACHE + 1, bool)
         self.unit = np.zeros(_CACHE + 1, bool)
+        self.attached = np.zeros(_CACHE + 1, U64)  # the literal of the unit attached to the number, else 0
         self.full = False
 
     def __missing__(self, word: str) -> int:
@@ -82,11 +107,16 @@ class Symbols(dict):
         core = _strip(word)
         lower = core.lower()
         name = len(core) > 1 and core[0].isupper() and core[1:] != core[1:].upper() or len(core) == 1 and core.isupper()
-        number = bool(_NUMBER.match(core))
+        digit = core[:1].isdecimal()
+        number = digit and bool(_NUMBER.match(core))
+        parts = _ATTACHED.match(lower) if digit and not number else None
+        self.attached[at] = 0
+        if parts and _is_unit(parts[2]):
+            number, lower, self.attached[at] = True, _strip(parts[1]), _hash(parts[2])
         self.literal[at] = _hash(lower) if core else 0
         self.slot[at] = bool(core) and (number or name)
         self.name[at] = name and not number
-        self.unit[at] = lower in UNITS
+        self.unit[at] = _is_unit(lower)
         self.symbol[at] = 0 if not core else _NUM if number else _NAME if name else self.literal[at]
         self[word] = at
         return at
@@ -104,8 +134,15 @@ class Symbols(dict):
                 return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
             at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         at = at[self.symbol[at] != 0]
+        attached = self.attached[at]
+        split = attached != 0
+        second = np.empty(0, np.int64)
+        if split.any():
+            second = (np.arange(len(at)) + np.cumsum(split))[split]
+            at, attached = np.repeat(at, 1 + split), attached[split]
         symbol, literal = self.symbol[at].copy(), self.literal[at]
         slots = np.where(self.slot[at], literal, U64(0))
+        symbol[second], literal[second], slots[second] = U64(_UNIT), attached[: len(second)], attached[: len(second)]
         after = np.flatnonzero(self.unit[at][1:] & (symbol[:-1] == U64(_NUM))) + 1
         symbol[after], slots[after] = U64(_UNIT), literal[after]
         return symbol, literal, slots, self.name[at]
@@ -124,11 +161,28 @@ def window_hashes(values: np.ndarray, size: int, salt: int) -> np.ndarray:
     return mix64(total)
 
 
-def templates(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Symbols and slots of the two templates; then, alone, the literals."""
+def name_runs(symbol: np.ndarray, slots: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and slots with each run of names as one name, whose literal is all of the run."""
+    later = np.zeros(len(name), bool)
+    later[1:] = name[1:] & name[:-1]
+    if not later.any():
+        return symbol, slots
+    kept = np.flatnonzero(~later)
+    at = np.arange(len(name)) - np.maximum.accumulate(np.where(later, 0, np.arange(len(name))))
+    each = np.where(later, mix64(slots + at.astype(U64) * _FACTORS[0]), slots)
+    return symbol[kept], np.add.reduceat(each, kept)
+
+
+# kinds of templates: runs of names as one, each word of a name, names as lower-case words, literals
+RUNS, APART, LOWER, LITERAL = 0, 3, 1, 2
+
+
+def templates(text: str | None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind, symbols and slots of the three templates; then of the literals."""
     symbol, literal, slots, name = _SYMBOLS.of(text)
     lower = np.where(name, literal, symbol)
-    return [(symbol, slots), (lower, np.where(name, U64(0), slots)), (literal, np.zeros(len(literal), U64))]
+    none = np.zeros(len(literal), U64)
+    return [(RUNS, *name_runs(symbol, slots, name)), (APART, symbol, slots), (LOWER, lower, np.where(name, U64(0), slots)), (LITERAL, literal, none)]
 
 
 _NAMES = ["row_id", "hash", "at", "kind", "slots"]
@@ -157,15 +211,15 @@ def item_windows(items: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row_id, text in zip(batch["row_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                *full, (literal, _) = templates(text)
+                *full, (_, literal, _) = templates(text)
                 n = len(literal)
                 if n >= WORDS:
-                    for kind, (symbols, slots) in enumerate(full):
+                    for kind, symbols, slots in full:
                         hashes = window_hashes(symbols, WORDS, 0)
                         at = np.arange(len(hashes))
                         out.append((row_id, hashes, at, kind, _slots_of(slots, at)))
                 elif n:
-                    out.append((row_id, window_hashes(literal, n, n), np.zeros(1, np.int64), 2, np.zeros((1, WORDS), U64)))
+                    out.append((row_id, window_hashes(literal, n, n), np.zeros(1, np.int64), LITERAL, np.zeros((1, WORDS), U64)))
             yield _emit(out)
 
     return items.mapInArrow(run, _TYPES)
@@ -177,19 +231,23 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
     ``known``: ascending hashes; windows with others are dropped. ``docs`` has row_id,
     doc_id and text; each document also has a row with its ``doc_id`` and no hash.
     """
+    maybe = np.zeros(_FILTER, bool)  # where no known hash has these low bits none need be looked for
+    if known is not None:
+        maybe[known & U64(_FILTER - 1)] = True
 
     def found(row_id: int, text: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]:
-        *full, (literal, _) = templates(text)
-        same = bool(np.array_equal(full[0][0], full[1][0]))
-        wanted = [(kind, symbols, slots, WORDS, 0) for kind, (symbols, slots) in enumerate(full)] + [(2, literal, None, s, s) for s in sizes]
-        at = hashes = None
+        *full, (_, literal, _) = templates(text)
+        wanted = [(kind, symbols, slots, WORDS, 0) for kind, symbols, slots in full] + [(LITERAL, literal, None, s, s) for s in sizes]
+        at = hashes = last = None
         for kind, symbols, slots, size, salt in wanted:
-            if not (kind == 1 and same):
+            if not (kind != LITERAL and last is not None and np.array_equal(last, symbols)):
+                last = symbols
                 hashes = window_hashes(symbols, size, salt)
                 at = np.arange(len(hashes))
                 if known is not None:
-                    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    at = at[known[place] == hashes]
+                    at = np.flatnonzero(maybe[hashes & U64(_FILTER - 1)])
+                    place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+                    at = at[known[place] == hashes[at]]
             if not len(at):
                 continue
             picked = np.zeros((len(at), WORDS), U64) if slots is None else _slots_of(slots, at)
