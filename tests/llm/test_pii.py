@@ -59,3 +59,20 @@ def test_edge_rows(spark):
     got = pii.extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 5 and sum(r.n_email for r in got) == 6
     assert pii.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_unseen_identifiers_of_every_kind(spark):
+    digits = [f"411111111111{x:04d}" for x in range(200)]
+    cards = [d for d in digits if pii.luhn(d)][:12]
+    bad = next(d for d in digits if not pii.luhn(d))
+    seeds = [f"pay with card: {c} now" for c in cards] + [f"send to mail: user{i}@example.com now" for i in range(20)]
+    seeds += [f"call us phone: +49 17{i} 5557713 now" for i in range(20)] + [f"host has addr: 10.0.{i}.7 now" for i in range(20)]
+    long = "jane." * 20 + "doe(at)example"
+    cases = [("call us phone: ", "(017) 555-7713", "phone"), ("call us phone: ", "0171 234 5678", "phone"), ("call us phone: ", "(5557713)", "phone"), ("send to mail: ", "jane.doe(at)example", "email")]
+    cases += [("send to mail: ", "jane.doe", "email"), ("send to mail: ", long, "email"), ("send to mail: ", "jane at example dot com", "email")]
+    cases += [("pay with card: ", " ".join(bad[i : i + 4] for i in range(0, 16, 4)), "card"), ("host has addr: ", "2001:db8::1", "ip"), ("host has addr: ", "10.0.0.x", "ip")]
+    rows = [(i, t, None, 1) for i, t in enumerate(seeds + [f"{left}{value} now" for left, value, _ in cases])]
+    got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, SCHEMA), min_confidence=0.7).collect()}
+    for i, (left, value, kind) in enumerate(cases, len(seeds)):
+        inner = value == "(5557713)"
+        assert got[i] == f"like_{kind}:{len(left) + inner}:{len(left) + len(value) - inner}", value

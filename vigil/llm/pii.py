@@ -3,7 +3,10 @@
 The base finds email, IP, card and phone numbers by pattern. Those are the seeds.
 Lexical patterns are the words to the left of a seed: its two words, or a single
 word that ends in a cue such as a colon. The same patterns also stand before other
-identifier-like tokens, which gives a graph between patterns and instances. In
+text that has the shape of some kind of seed, which gives a graph between patterns
+and instances: groups of digits with spaces, brackets or other separators (7 to 24
+digits), groups with colons, addresses with ``@`` or with 'at' and 'dot' spelled out,
+tokens with inner dots or underscores, and tokens with four digits or more. In
 rounds, a pattern's confidence for a kind is the mean score of its instances, and
 an instance's score is its seed score or the best confidence of its patterns.
 Patterns with enough distinct seeds and confidence then mark their unseen
@@ -36,7 +39,12 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CANDIDATE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9@._+/-]{4,62}[A-Za-z0-9])")
+_GROUPS = re.compile(r"(?<!\w)\+?[(\[]?[0-9]++(?:(?:\x20?[(\[]|[)\]](?:\x20?[./-]?)|\x20-\x20|[\x20./-])[0-9]++)+(?![\w@])")
+_COLONS = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}+)?(?:::?[0-9A-Fa-f]{1,4}+){2,}+(?![\w:])")
+_SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9_%+-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]++)*+\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++", re.I)
+_CANDIDATE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9@._%+/-]|[(\[{<]\x20?(?:at|dot)\x20?[)\]}>])+", re.I)
+_ADDRESS = re.compile(r"@|[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]|[A-Za-z0-9][._][A-Za-z0-9]", re.I)
+_OPENING = "([{<\"'"
 
 
 def luhn(digits: str) -> bool:
@@ -77,17 +85,47 @@ def left_patterns(text: str, start: int) -> list[str]:
     return found
 
 
+def unseen(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Places of what has the shape of a seed but isn't one; longer shapes go first."""
+    taken = Taken((start, end) for _, start, end in base)
+    digits = bool(_DIGIT.search(text))
+    found = []
+
+    def keep(start: int, end: int) -> None:
+        if taken.free(start, end):
+            taken.add(start, end)
+            found.append((start, end))
+
+    if digits:
+        for m in _GROUPS.finditer(text):
+            if 7 <= len(_DIGIT.findall(m[0])) <= 24:
+                keep(*m.span())
+    if ":" in text:
+        for m in _COLONS.finditer(text):
+            if len(m[0]) >= 6 and _DIGIT.search(m[0]):
+                keep(*m.span())
+    lower = text.lower()
+    if " at " in lower and " dot " in lower:
+        for m in _SPELLED.finditer(text):
+            keep(*m.span())
+    for m in _CANDIDATE.finditer(text):
+        value = m[0].rstrip("@._%+/-")
+        if len(value) < 6 or not _ADDRESS.search(value) and (len(_DIGIT.findall(value)) < 4 or re.fullmatch("[0-9a-f]{24,}", value)):
+            continue
+        keep(m.start(), m.start() + len(value))
+    return sorted(found)
+
+
 def mentions(text: str, base: list[Span]) -> list[dict]:
-    """Seeds and identifier-like tokens with their patterns."""
+    """Seeds and what looks like them, with their patterns."""
     found = [{"kind": kind, "start": start, "end": end, "value": text[start:end].lower(), "patterns": left_patterns(text, start)} for kind, start, end in base]
-    if _DIGIT.search(text):
-        taken = Taken((start, end) for _, start, end in base)
-        for m in _CANDIDATE.finditer(text):
-            value = m[0]
-            if len(_DIGIT.findall(value)) < 4 or re.fullmatch("[0-9a-f]{24,}", value):
-                continue
-            if taken.free(*m.span()):
-                found.append({"kind": None, "start": m.start(), "end": m.end(), "value": value.lower(), "patterns": left_patterns(text, m.start())})
+    for start, end in unseen(text, base):
+        left = start
+        while left and text[left - 1] in _OPENING:
+            left -= 1
+        # a bracket or quote before it may be a cue's own, or may hide the cue
+        patterns = list(dict.fromkeys(left_patterns(text, start) + (left_patterns(text, left) if left < start else [])))
+        found.append({"kind": None, "start": start, "end": end, "value": text[start:end].lower(), "patterns": patterns})
     return [x for x in found if x["patterns"]]
 
 
