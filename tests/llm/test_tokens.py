@@ -42,6 +42,24 @@ def test_chunks_encode_as_the_library_does(path, spark, small):
     assert got == direct(path, texts)
 
 
+def test_chunks_with_equal_hashes_encode_as_the_library_does(path):
+    # a Thue-Morse word of 1,024 letters and its complement have one polynomial hash modulo 2^64, whatever the base
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"x {other} y {word}", "plain text", f"{word} {word}"]
+    enc = tokens.Encoder(path)
+    for batch in (texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(batch)] == direct(path, batch)
+
+
+def test_cache_is_forgotten_when_full(path, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 40)
+    enc = tokens.Encoder(path)
+    for i in range(5):
+        texts = [f"one two{i} three four{i} five", "six seven eight"]
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(texts)] == direct(path, texts)
+
+
 def test_code_lengths_are_optimal_or_limited():
     counts = np.array([5, 9, 12, 13, 16, 45, 0])
     assert tokens.code_lengths(counts, 10).tolist() == [4, 4, 3, 3, 3, 1, 0]
@@ -49,8 +67,9 @@ def test_code_lengths_are_optimal_or_limited():
     limited = tokens.code_lengths(fib, 5)
     assert limited.max() == 5 and (2.0 ** -limited.astype(float)).sum() <= 1
     assert tokens.code_lengths(np.array([0, 7]), 5).tolist() == [0, 1]
+    assert tokens.code_lengths(np.ones(9), 3).max() == 4  # more ids than codes of three bits
     with pytest.raises(ValueError):
-        tokens.code_lengths(np.ones(9), 3)
+        tokens.encode_block([1], [np.zeros(4, np.uint32)], np.zeros(1, np.uint64), np.array([17], np.uint8), 4096)
 
 
 def test_blocks_round_trip():
@@ -80,3 +99,12 @@ def test_edge_rows(path, spark, tmp_path):
     assert got[4].ids == [0] and got[2].ids == got[3].ids
     assert [r.start for r in got] == [sum(len(x.ids) for x in got[:i]) for i in range(5)]
     assert tokens.round_trip(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_rows_of_one_id_have_an_order_of_their_own(path, spark):
+    texts = ["one", "two words here", "three of them now", "one", ""]
+    rows = [(i, t, "", "", 1) for i in (3, None) for t in texts] + [(-9, "first", "", "", 1), (9, "last", "", "", 1)]
+    found = [sorted(map(str, tokens.round_trip(spark.createDataFrame(order, SCHEMA).repartition(n), path).collect())) for order, n in ((rows, 1), (rows[::-1], 3))]
+    assert found[0] == found[1] and len(found[0]) == 12
+    starts = sorted((r.start, r.n_tokens) for r in tokens.round_trip(spark.createDataFrame(rows, SCHEMA), path).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))

@@ -15,9 +15,14 @@ A payload: ``VHF1``; three little-endian uint32: documents, ids, checkpoint
 interval; then for each document int64 id, uint8 whether it is null, and uint32
 length; uint16 bits in each interval; and the code bits, highest first.
 
+Rows are dealt by ranges of (``doc_id``, hash of the token ids, row), so rows that share
+an id, or have none, are spread over as many tasks as they need.
+
 Edge cases: a null text is the empty text and has just the end id; null ids come
-first; rows with equal ids are all written, in the order of a hash of their ids;
-an empty table gives an empty codebook and no rows; other columns are not read.
+first; rows with equal ids are all written, by a 64-bit hash of their token ids, so
+that the order of the input makes no difference; an empty table gives an empty codebook
+and no rows; more ids than codes of ``max_bits`` bits can hold get longer codes, up to
+``WIDEST`` bits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +39,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import in_id_order, mix64, n_partitions, shared_dir, stored, working
+from vigil.llm.common import mix64, n_partitions, shared_dir, stored, working
 
 MAX_BITS = 17
+WIDEST = 25  # a window of 32 bits, less the 7 that a code may start behind a byte
 INTERVAL = 128
 BLOCK_IDS = 1 << 18
 CACHE = 700_000
+CACHE_BYTES = 1 << 26
 SEGMENT = 1 << 20
 _MAGIC = b"VHF1"
 
@@ -121,9 +129,10 @@ class Encoder:
     Byte-level pre-tokenisation cuts texts into pieces that are encoded one by one.
     Texts in which white space comes in runs of three or more, in odd characters, or in a
     run at the end go to the tokenizer as they are. All others are cut into chunks
-    that begin and end with pieces; chunks are told apart by 64-bit hashes, all of a
+    that begin and end with pieces; chunks are found by 64-bit hashes, all of a
     batch at once, and only new ones are cut into pieces by the fixed pattern and
-    encoded by the tokenizer's model.
+    encoded by the tokenizer's model. The bytes of every chunk are then compared with
+    those that its hash stands for; texts with a chunk that differs go to the tokenizer.
     """
 
     def __init__(self, path: str, end_id: int = 0) -> None:
@@ -151,6 +160,10 @@ class Encoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.counts = np.zeros(1 << 16, np.int64)
         self.used = 0
+        self.bytes = np.zeros(1 << 20, np.uint8)  # of all known chunks
+        self.byte_starts = np.zeros(1 << 16, np.int32)
+        self.byte_counts = np.zeros(1 << 16, np.int32)
+        self.byte_used = 0
 
     def _plain(self, text: str) -> bool:
         """Whether cutting into chunks is exact."""
@@ -174,11 +187,20 @@ class Encoder:
         ids, counts = self._encode_pieces([p for x in cut for p in x])
         pieces = np.cumsum([0, *map(len, cut)])
         ends = np.concatenate([[0], np.cumsum(counts)])[pieces]
+        raw = [c.encode("utf-8") for c in chunks]
+        sizes = np.fromiter(map(len, raw), np.int32, len(raw))
         n, first = len(chunks), len(self.known) - len(chunks)
         while len(self.starts) < first + n:
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+            self.starts, self.counts, self.byte_starts, self.byte_counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.byte_starts, self.byte_counts))
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        size = int(sizes.sum())
+        while len(self.bytes) < self.byte_used + size:
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.byte_used : self.byte_used + size] = np.frombuffer(b"".join(raw), np.uint8)
+        self.byte_starts[first : first + n] = self.byte_used + np.cumsum(sizes) - sizes
+        self.byte_counts[first : first + n] = sizes
+        self.byte_used += size
         self.starts[first : first + n] = self.used + ends[:-1]
         self.counts[first : first + n] = np.diff(ends)
         self.ids[self.used : self.used + len(ids)] = ids
@@ -197,7 +219,7 @@ class Encoder:
         np.cumsum(_BYTE_VALUES[data] * _Powers.up[: len(data)], out=running[1:])
         hashes = mix64((running[ends] - running[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.byte_used > CACHE_BYTES:
             self._forget()
         before = len(self.known)
         numbers = np.fromiter(map(self.known.__getitem__, distinct.tolist()), np.int64, len(distinct))
@@ -212,7 +234,17 @@ class Encoder:
         ids = self.ids[np.repeat(self.starts[number] - (stops - counts), counts) + np.arange(int(stops[-1]))]
         edges = np.concatenate([[0], stops])[np.append(np.searchsorted(starts, doc_starts), len(starts))] * self.dtype.itemsize
         packed = ids.tobytes()
-        return [packed[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        out = [packed[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        unlike = np.flatnonzero(~self._same(data, number, starts, ends - starts))
+        for i in np.unique(np.searchsorted(doc_starts, starts[unlike], side="right") - 1).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
+
+    def _same(self, data: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each chunk of ``data``, all of which is chunks, has the bytes that its number stands for."""
+        at = np.repeat(self.byte_starts[number] - starts.astype(np.int32), sizes) + np.arange(len(data), dtype=np.int32)
+        equal = self.bytes.take(at, mode="clip") == data
+        return (self.byte_counts[number] == sizes) & (True if equal.all() else np.logical_and.reduceat(equal, starts))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
@@ -264,7 +296,7 @@ def encoder(path: str, end_id: int = 0) -> Encoder:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """``doc_id``, ``n`` and ``ids``: packed uint32 or, for small vocabularies, uint16. A map."""
+    """``doc_id``, ``n``, ``ids`` and ``key``, a hash of the ids: packed uint32 or, for small vocabularies, uint16. A map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
@@ -273,22 +305,25 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids = enc.encode_all([x or "" for x in part["text"].to_pylist()])
                 n = [len(x) // enc.dtype.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([enc.dtype.itemsize] * len(n), pa.int32())], ["doc_id", "n", "ids", "width"])
+                key = np.array([xxhash.xxh3_64_intdigest(x) for x in ids], np.uint64).view(np.int64)
+                columns = [part["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([enc.dtype.itemsize] * len(n), pa.int32()), pa.array(key)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "ids", "width", "key"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, ids binary, width int")
+    return rows.mapInArrow(run, "doc_id long, n long, ids binary, width int, key long")
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``max_bits``, by package-merge; 0 for ids that don't occur."""
+    """Optimal code lengths of at most ``max_bits``, or of as many as all ids need, by package-merge; 0 for ids that don't occur."""
     used = np.flatnonzero(counts)
     n = len(used)
     lengths = np.zeros(len(counts), np.uint8)
     if n <= 1:
         lengths[used] = 1
         return lengths
-    if n > 1 << max_bits:
-        raise ValueError(f"{n} ids need more than {max_bits} bits")
+    max_bits = max(max_bits, (n - 1).bit_length())
+    if max_bits > WIDEST:
+        raise ValueError(f"{n} ids need more than {WIDEST} bits")
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.float64)
     levels = [np.ones(n, bool)]
@@ -342,6 +377,8 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, interval:
 
 def encode_block(doc_ids: list[int | None], docs: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray, interval: int = INTERVAL) -> bytes:
     ids = np.concatenate(docs)
+    if interval * int(lengths.max(initial=0)) >= 1 << 16:
+        raise ValueError(f"the bits of {interval} ids may not fit a checkpoint of 16 bits")
     steps, bits = pack_bits(ids, codes, lengths, interval)
     return b"".join(
         [
@@ -441,7 +478,7 @@ def _blocks(lengths: np.ndarray, interval: int, block_ids: int):
             return batch
 
         for batch in batches:
-            for doc_id, data, width, bucket in zip(batch["doc_id"].to_pylist(), batch["ids"], batch["width"].to_pylist(), batch["_bucket"].to_pylist(), strict=True):  # noqa: B020
+            for doc_id, data, width, bucket in zip(batch["doc_id"].to_pylist(), batch["ids"], batch["width"].to_pylist(), batch["part"].to_pylist(), strict=True):  # noqa: B020
                 held_ids.append(doc_id)
                 held.append(_unpack(data.as_py(), width))
                 size += len(held[-1])
@@ -456,10 +493,14 @@ def _blocks(lengths: np.ndarray, interval: int, block_ids: int):
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits: int = MAX_BITS, interval: int = INTERVAL, block_ids: int = BLOCK_IDS) -> None:
     """Encode, count, code and write. Texts are tokenised once; only packed ids are shuffled."""
     spark = docs.sparkSession
-    tokens = stored(tokenize(docs, tokenizer, end_id), "ids")
+    tokens = stored(tokenize(docs, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "ids")
     lengths = code_lengths(id_counts(tokens), max_bits)
     spark.createDataFrame(pd.DataFrame({"lengths": [lengths.tobytes()]}), "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
-    ordered = in_id_order(tokens, n_partitions(spark))
+    ordered = (
+        tokens.repartitionByRange(n_partitions(spark), F.col("doc_id").asc_nulls_first(), "key", "row")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
+        .select("doc_id", "ids", "width", F.spark_partition_id().alias("part"))
+    )
     ordered.mapInArrow(_blocks(lengths, interval, block_ids), "part int, block long, offset long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
