@@ -66,7 +66,7 @@ def test_edge_rows(spark):
     assert decontam.report(d, spark.createDataFrame([], ITEMS)).where("contaminated").count() == 0
     assert decontam.report(spark.createDataFrame([], DOCS), items).count() == 0
     kept = decontam.drop_contaminated(d, items)
-    assert kept.columns == d.columns and kept.count() == 3
+    assert kept.columns == d.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "4", "None"]
 
 
 @pytest.mark.parametrize(("word", "kind"), [("12", "NUM"), ("3,000.50%", "NUM"), ("1st", "NUM"), ("Alice", "NAME"), ("(Alice's", "NAME"), ("NASA", None), ("apple", None)])
@@ -115,3 +115,87 @@ def test_names_of_other_lengths_are_one_value_each():
 
 def test_short_items_of_many_names_stay_caught(spark):
     assert run(spark, [(1, "x then Tim Fox has 9 kg x")], [(1, "Ann Lee has 5 km")])[1].contaminated
+
+
+def naive(text, item, share=decontam.SHARE):
+    """Shares by strings, all alignments and a quadratic search for the longest chain."""
+
+    def symbols(t):
+        out = []
+        for kind, symbol, slots in decontam.templates(t):
+            out.append((kind, symbol.tolist(), slots.tolist()))
+        return out
+
+    best = 0.0
+    of_item, of_text = symbols(item), symbols(text)
+    marks = (decontam._NUM, decontam._UNIT, decontam._NAME)
+    used = []
+    for (kind, a, sa), (_, b, sb) in zip(of_item[:3], of_text[:3], strict=True):
+        places = [i for i in range(len(a) - 4) if any(x not in marks for x in a[i : i + 5])]
+        if places and 2 * len(places) >= len(a) - 4:
+            used.append((places, a, sa, b, sb, 5))
+    if not used and of_item[3][1]:
+        n = min(5, len(of_item[3][1]))
+        used.append((range(len(of_item[3][1]) - n + 1), of_item[3][1], of_item[3][2], of_text[3][1], of_text[3][2], n))
+    for places, a, sa, b, sb, n in used:
+        pairs = [(i, j) for i in places for j in range(len(b) - n + 1) if a[i : i + n] == b[j : j + n]]
+        value, kept = {}, []
+        shifts = {j - i for i, j in pairs}
+        for s in sorted(shifts, key=lambda s: (-sum(j - i == s for i, j in pairs), s)):
+            group = [(i, j) for i, j in pairs if j - i == s]
+            slots = [(sa[i + k], sb[j + k]) for i, j in group for k in range(n) if sa[i + k]]
+            own = {k: value[k] if k in value else min({v for q, v in slots if q == k}, key=lambda v: (-slots.count((k, v)), v - (1 << 64) * (v >= 1 << 63))) for k, _ in slots}
+            for i, j in group:
+                mine = [(sa[i + k], sb[j + k]) for k in range(n) if sa[i + k]]
+                if all(own[k] == v for k, v in mine):
+                    value.update(mine)
+                    kept.append((i, j))
+        longest = {}
+        for i, j in sorted(kept):
+            longest[i, j] = 1 + max((x for (p, q), x in longest.items() if p < i and q < j), default=0)
+        best = max(best, max(longest.values(), default=0) / len(places))
+    return best if best >= share else 0.0
+
+
+def test_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = "the a red old cat dog sat ran far home Ann Bob Mary Jane 3 12 40 5km 7 kg miles ha ha ha".split()
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice((3, 6, 9, 14, 20))))) for i in range(14)]
+    items += [(50, "ha " * 12), (51, "add 3 5 7 2 9 1 4 6 8 2 3 5 7 9 1 2 3 4 5 6 7 8 9"), (52, "12 13 14 15 16 17 18")]
+    docs = []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.choice((0, 4, 30)))
+        at = rng.randrange(len(words) + 1)
+        copy = rng.choice(items)[1].split()
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            k = rng.randrange(len(copy) + 1)
+            copy[k : k + rng.choice((0, 1))] = rng.choice(([], ["more"], ["Ann"], ["99"]))
+        docs.append((i, " ".join([*words[:at], *copy, *words[at:]])))
+    docs += [(70, "phone log 55 66 77 88 99 on file"), (71, "they said ha ha ha ha ha and left"), (72, "ha " * 500), (73, "12 13 14 15 16 17 18"), (74, "21 22 23 24 25 26 27"), (75, "add 3 5 7 2 9 1 4 6 8 2 3 5 7 9 1 2 3 4 5 6 7 8 9")]
+    got = run(spark, docs, items)
+    for i, text in docs:
+        want = {k: s for k, item in items if (s := naive(text, item))}
+        assert (got[i].n_items, round(got[i].share, 9)) == (len(want), round(max(want.values(), default=0.0), 9)), text
+    assert not got[70].contaminated and not got[71].contaminated and not got[74].contaminated
+    assert got[72].contaminated and got[73].contaminated and got[75].contaminated
+
+
+LONG = ITEM + " while the baker on the corner sells his bread and cakes to all who come by in the early morning hours"
+
+
+def test_a_word_more_and_several_copies(spark):
+    more = LONG.replace("cents each", "cents now each")
+    two = LONG.replace("12", "7").replace("Alice", "Zoe") + " " + LONG.replace("12", "9").replace("Alice", "Kim")
+    halves = LONG[: len(LONG) // 2] + " and so on " * 3 + LONG[len(LONG) // 2 :]
+    turned = " ".join(LONG.split()[20:] + LONG.split()[:20])
+    got = run(spark, [(1, "text " * 30 + more), (2, two), (3, (LONG + " ") * 300), (4, halves), (5, turned)], [(7, LONG)])
+    assert got[2].share == got[3].share == 1 and 0.8 < got[1].share < 1 and got[4].contaminated
+    assert not got[5].contaminated  # its parts, in another order, are no chain
+
+
+def test_rows_not_ids_are_dropped(spark):
+    docs = spark.createDataFrame([(1, "x " + ITEM, "", 0, 1), (1, "a clean row of that id", "", 0, 1), (None, ITEM, "", 0, 1), (None, "clean", "", 0, 1)], DOCS).withColumnRenamed("hash", "_row")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(7, ITEM, 0)], ITEMS))
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["a clean row of that id", "clean"]

@@ -65,3 +65,21 @@ def test_edge_rows(spark):
     assert fp.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     ties = [(None, "a b c", "", True, ""), (4, "same", "", True, ""), (4, "same", "", True, ""), (4, "other", "", True, "")]
     assert fp.fingerprints(spark.createDataFrame(ties, SCHEMA)).count() == 4
+
+
+def test_rows_of_one_id_are_spread_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(fp, "n_partitions", lambda _: 6)
+    rows = [(i, f"text {i} of its own " * 3) for i in range(40)] + [(17, f"one of many {i} with this id") for i in range(60)] + [(None, f"no id {i}") for i in range(60)] + [(20, "copy")] * 30
+    docs = spark.createDataFrame([(*r, "", True, "") for r in rows], SCHEMA)
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    ordered = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    named = [(k, r.text) for k, r in enumerate(ordered)]
+    want = sorted(map(str, [(ordered[k].doc_id, *v) for k, v in brute(named).items()]))
+    for n in (1, 3):
+        found = fp.fingerprints(docs.repartition(n))
+        assert sorted(str(tuple(r)) for r in found.collect()) == want
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS _hash")
+    cuts = fp.cuts_of(keyed, 6)
+    assert len(cuts.nulls) > 1 and (cuts.ids == 17).sum() > 1
+    parts = keyed.mapInArrow(fp._deal(cuts), "doc_id long, text string, _hash long, _to int, _tail boolean").groupBy("_to", "_tail").count().collect()
+    assert max(r["count"] for r in parts) < 0.4 * len(rows) and sum(r["count"] for r in parts if not r._tail) == len(rows)

@@ -76,6 +76,47 @@ def test_one_large_family(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_isolated_pairs_in_hot_nodes(spark, monkeypatch):
+    # all texts share a passage, so that nodes are hot; each pair is right at the threshold and linked by nothing else
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        # of 130 shingles 10 are in one text only, and as many in the other: 120 of 140
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:-10] + [f"e{rng.randrange(10**9)}" for _ in range(10)]))]
+    monkeypatch.setattr(neardup, "NODE", 24)
+    want = brute(rows)
+    assert sum(not kept for _, _, kept in want.values()) == 150
+    assert run(spark, rows) == want
+
+
+def test_groups_are_bounded_by_their_shingles(spark, monkeypatch):
+    rows = family(200, 150, 9)
+    monkeypatch.setattr(neardup, "SHINGLES", 3000)
+    assert run(spark, rows) == brute(rows)
+    classes = spark.createDataFrame([(i, 150, bytes([7]) * neardup.SKETCH, [1, 2]) for i in range(200)], "class long, n long, sketch binary, tokens array<long>")
+    nodes, large = neardup._nodes(classes)
+    assert large is not None
+    sizes = [r["count"] for r in nodes.groupBy("node").count().collect()]
+    assert max(sizes) * 150 <= neardup.SHINGLES * 1.3 + 150 * neardup.PIVOTS
+
+
+def test_more_trees_for_lower_thresholds():
+    assert neardup.n_trees(85) == 9 and neardup.n_trees(80) == 12 and neardup.n_trees(100) == 1
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c + " end"), (None, "only here x y z"), (None, "only here x y z"), (5, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "", n, "") for n, (i, t) in enumerate(rows)], SCHEMA).withColumnRenamed("node", "_row")
+    kept = neardup.keep_first(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, "only here x y z"), (5, None), (5, "")], key=str)
+
+
 def test_words_split_at_ascii_space_only():
     assert neardup.words_of("A b C\x1cd\x0be\tÄ") == ["a b".encode(), b"c\x1cd", b"e", "Ä".encode()]
     assert len(neardup.shingles("a b c")) == 1 and len(neardup.shingles(" \n")) == 0

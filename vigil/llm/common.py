@@ -71,30 +71,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def range_cuts(df: DataFrame, column: str, parts: int) -> list[int]:
-    """Ascending distinct quantile cuts of an integer column: at most ``parts - 1`` of them."""
-    if parts < 2:
-        return []
-    probabilities = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(column, probabilities, 100 * parts).alias("q")).first()
-    return sorted(set(row["q"] or []))
-
-
-def bucket_of(column: str, cuts: list[int]) -> Column:
-    """How many cuts are at or below the value, as a balanced tree of comparisons; null is 0."""
-
-    def tree(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        return f"IF(`{column}` < {cuts[mid]}L, {tree(low, mid)}, {tree(mid + 1, high)})"
-
-    text = tree(0, len(cuts))
-    return F.expr(f"IF(`{column}` IS NULL, 0, {text})").cast("int")
-
-
-def in_id_order(df: DataFrame, parts: int, cuts: list[int] | None = None) -> DataFrame:
-    """Rows dealt by ``doc_id`` ranges: partition i holds smaller ids than i + 1, each sorted."""
-    cuts = range_cuts(df, "doc_id", parts) if cuts is None else cuts
-    dealt = df.withColumn("_bucket", bucket_of("doc_id", cuts)).repartitionById(len(cuts) + 1, F.col("_bucket"))
-    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+def with_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and the name of that column, which no other column has."""
+    row = "_row"
+    while row.lower() in {c.lower() for c in df.columns}:
+        row += "_"
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name, "snappy"), row
+
+
+def without_rows(numbered: DataFrame, row: str, spare: DataFrame, few: int) -> DataFrame:
+    """The rows whose number isn't in ``spare``, without it. Up to ``few`` numbers are broadcast, more are joined by a shuffle."""
+    gone = f"{row}_gone"
+    spare = stored(spare.select(F.col(spare.columns[0]).alias(gone)).distinct(), "spare")
+    spare = F.broadcast(spare) if spare.count() <= few else spare
+    return numbered.join(spare, numbered[row] == spare[gone], "left_anti").drop(row)

@@ -4,27 +4,40 @@ Words become symbols: numbers, capitalised names and, after numbers, units becom
 typed placeholders, other words their lower-case letters without outer punctuation.
 A number with a unit attached to it is a number and a unit.
 Each benchmark item gives the windows of five symbols of its template. Documents'
-windows are hash-joined with these, and the literals behind the placeholders must be
-consistent: within one alignment of an item with a document, a literal of the item
-stands for the same literal of the document each time; windows that break this don't
-count. Each text has three templates: one with each run of names as one placeholder,
+windows are hash-joined with these. Windows of placeholders alone say nothing and are
+left out; a template counts if at least half of its windows have another word. Each
+text has three templates: one with each run of names as one placeholder,
 which finds items with names of other lengths, one with a placeholder for each word of
-a name, and one with names as lower-case words, which finds items in other case. A document is contaminated if some item has 0.8 or more of the windows of one
-of its templates matched.
+a name, and one with names as lower-case words, which finds items in other case.
+
+A document holds an item as far as a chain of windows goes: each window of the item once,
+in the item's order, at later and later places of the document, so that a word more or
+less breaks the windows over it only. Literals must be consistent along the chain: a
+literal of the item stands for the same literal of the document each time. The alignment
+(constant distance of places) with most windows is settled first, each of its literals
+by most windows; windows of other alignments join if they don't contradict it. A
+document is contaminated if some item's longest chain has 0.8 or more of the windows of
+one of its templates. Chains are looked for among pairs whose distance of places varies
+by as much as the item has windows at most, so a group is bounded by the item's size.
 
 Where the items' window hashes are at most ``BROADCAST_WINDOWS`` they travel with the
 tasks, so that documents' other windows are dropped before the join; beyond that all
 windows go to the join. The result is the same.
 
 Edge cases: items with fewer than five symbols are compared literally as one window
-of their length; items and texts with no symbols, null ones too, match nothing; runs
-of equal windows count by their first and last; repeated ids have a row each; items
-with equal ids count as rows of their own; other columns are not read.
+of their length, and items without a template that counts, such as lists of numbers,
+literally by windows of five; items and texts with no symbols, null ones too, match
+nothing; of a run of equal windows of a document as many first and last ones are kept as
+the longest item has windows, which is all that a chain can use; repeated ids have a row
+each and are judged and dropped row by row; items with equal ids count as rows of their
+own; other columns are not read, and ``drop_contaminated`` returns them as they are.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +46,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, stored, working
+from vigil.llm.common import U64, mix64, stored, with_rows, without_rows, working
 
 WORDS = 5
 SHARE = 0.8
 BROADCAST_WINDOWS = 4_000_000
+BROADCAST_ROWS = 1_000_000
 UNITS = frozenset(
     "nm um µm μm mm cm dm m km in ft yd mi nmi ly au micron microns micrometer micrometers micrometre micrometres nanometer nanometers nanometre nanometres "
     "millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres decimeter decimeters decimetre decimetres "
@@ -203,33 +217,57 @@ def _slots_of(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
     return slots[at[:, None] + np.arange(WORDS)[None, :]] if len(at) else np.empty((0, WORDS), U64)
 
 
+def telling(symbols: np.ndarray) -> np.ndarray:
+    """Whether each window has a word that is no placeholder."""
+    if len(symbols) < WORDS:
+        return np.empty(0, bool)
+    words = np.cumsum(np.concatenate([[False], (symbols != U64(_NUM)) & (symbols != U64(_UNIT)) & (symbols != U64(_NAME))]))
+    return words[WORDS:] > words[:-WORDS]
+
+
+def windows_of_item(text: str | None) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Kind, size, hashes, places and slots of an item's windows."""
+    *full, (_, literal, _) = templates(text)
+    out = []
+    for kind, symbols, slots in full:
+        told = telling(symbols)
+        at = np.flatnonzero(told)
+        if len(at) and 2 * len(at) >= len(told):
+            out.append((kind, WORDS, window_hashes(symbols, WORDS, 0)[at], at, _slots_of(slots, at)))
+    if not out and len(literal):
+        size = min(len(literal), WORDS)
+        hashes = window_hashes(literal, size, size)
+        out.append((LITERAL, size, hashes, np.arange(len(hashes)), np.zeros((len(hashes), WORDS), U64)))
+    return out
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """``row_id``, ``hash``, ``at``, ``kind`` of template and slot literals of the items' windows. ``items``: row_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("decontam", _SYMBOLS.clear)
         for batch in batches:
-            out = []
-            for row_id, text in zip(batch["row_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                *full, (_, literal, _) = templates(text)
-                n = len(literal)
-                if n >= WORDS:
-                    for kind, symbols, slots in full:
-                        hashes = window_hashes(symbols, WORDS, 0)
-                        at = np.arange(len(hashes))
-                        out.append((row_id, hashes, at, kind, _slots_of(slots, at)))
-                elif n:
-                    out.append((row_id, window_hashes(literal, n, n), np.zeros(1, np.int64), LITERAL, np.zeros((1, WORDS), U64)))
-            yield _emit(out)
+            pairs = zip(batch["row_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
+            yield _emit([(row_id, hashes, at, kind, slots) for row_id, text in pairs for kind, _, hashes, at, slots in windows_of_item(text)])
 
     return items.mapInArrow(run, _TYPES)
 
 
-def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
-    """The like for documents: of five symbols, and literal ones of the short items' sizes.
+def _ends_of_runs(equal: np.ndarray, most: int) -> np.ndarray:
+    """Which of the windows to keep, where ``equal`` says that a window is like the one before: the first and last ``most`` of a run."""
+    first = np.concatenate([[True], ~equal])
+    starts = np.flatnonzero(first)
+    run = np.cumsum(first) - 1
+    place = np.arange(len(first)) - starts[run]
+    return (place < most) | (place >= np.diff(np.append(starts, len(first)))[run] - most)
 
-    ``known``: ascending hashes; windows with others are dropped. ``docs`` has row_id,
-    doc_id and text; each document also has a row with its ``doc_id`` and no hash.
+
+def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None, most: int) -> DataFrame:
+    """The like for documents: of five symbols, and literal ones of the given sizes.
+
+    ``known``: ascending hashes; windows with others are dropped. ``most``: the most
+    windows of an item. ``docs`` has row_id, doc_id and text; each document also has a
+    row with its ``doc_id`` and no hash.
     """
     maybe = np.zeros(_FILTER, bool)  # where no known hash has these low bits none need be looked for
     if known is not None:
@@ -243,19 +281,18 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
             if not (kind != LITERAL and last is not None and np.array_equal(last, symbols)):
                 last = symbols
                 hashes = window_hashes(symbols, size, salt)
-                at = np.arange(len(hashes))
-                if known is not None:
+                if known is None:
+                    at = np.arange(len(hashes)) if kind == LITERAL else np.flatnonzero(telling(symbols))
+                else:
                     at = np.flatnonzero(maybe[hashes & U64(_FILTER - 1)])
                     place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
                     at = at[known[place] == hashes[at]]
             if not len(at):
                 continue
             picked = np.zeros((len(at), WORDS), U64) if slots is None else _slots_of(slots, at)
-            # inside a run of equal windows only the ends are kept
             equal = (hashes[at][1:] == hashes[at][:-1]) & (np.diff(at) == 1) & (picked[1:] == picked[:-1]).all(axis=1)
-            inner = np.zeros(len(at), bool)
-            inner[1:-1] = equal[1:] & equal[:-1]
-            yield row_id, hashes[at][~inner], at[~inner], kind, picked[~inner]
+            kept = _ends_of_runs(equal, most) if equal.any() else slice(None)
+            yield row_id, hashes[at][kept], at[kept], kind, picked[kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("decontam", _SYMBOLS.clear)
@@ -274,51 +311,81 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
     return docs.mapInArrow(run, _TYPES + ", doc_id long")
 
 
+def chain(pairs: list[dict]) -> int:
+    """The windows of the longest chain of (item_at, at, slots), whose slots are (k, v): literals of the item and of the document."""
+    alignments = defaultdict(list)
+    for p in pairs:
+        alignments[p["at"] - p["item_at"]].append(p)
+    value: dict[int, int] = {}
+    kept = []
+    for _, group in sorted(alignments.items(), key=lambda x: (-len(x[1]), x[0])):
+        votes: dict[int, Counter] = defaultdict(Counter)
+        for p in group:
+            for s in p["slots"]:
+                votes[s["k"]][s["v"]] += 1
+        own = {k: value[k] if k in value else min(v, key=lambda x: (-v[x], x)) for k, v in votes.items()}
+        for p in group:
+            if all(own[s["k"]] == s["v"] for s in p["slots"]):
+                value.update((s["k"], s["v"]) for s in p["slots"])
+                kept.append((p["item_at"], -p["at"]))
+    ends: list[int] = []  # of chains by length, the least place that one ends in
+    for _, minus in sorted(kept):
+        i = bisect.bisect_left(ends, -minus)
+        ends[i : i + 1] = [-minus]
+    return len(ends)
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shares = [chain(p.as_py()) / w for p, w in zip(batch["pairs"], batch["windows"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["item"], pa.array(shares, pa.float64())], ["row_id", "item", "share"])
+
+
 def matches(docs: DataFrame, items: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """(row_id, doc_id) of all documents, and (row_id, item, share) of those and the items that reach the share.
 
-    ``items`` has row_id and text. Texts of documents are scanned once.
+    ``docs`` has row_id, doc_id and text, ``items`` row_id and text. Texts of documents are scanned once.
     """
     windows = stored(item_windows(items), "item-windows")
-    totals = windows.groupBy("row_id", "kind").agg(F.count("*").alias("windows"))
-    short = sorted(r[0] for r in items.mapInArrow(_short_sizes, "size int").distinct().collect())
+    totals = stored(windows.groupBy("row_id", "kind").agg(F.count("*").alias("windows")), "item-totals")
+    most = totals.agg(F.max("windows")).first()[0] or 0
+    sizes = sorted(r[0] for r in items.mapInArrow(_literal_sizes, "size int").distinct().collect())
     known = None
     distinct = windows.select("hash").distinct()
     if distinct.count() <= BROADCAST_WINDOWS:
         known = np.sort(distinct.toArrow()["hash"].to_numpy().view(U64))
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_id", F.monotonically_increasing_id())
-    scanned = stored(document_windows(numbered, short, known), "document-windows")
+    scanned = stored(document_windows(docs, sizes, known, most), "document-windows")
     found = scanned.where("hash IS NOT NULL")
     item_side = windows.select("hash", "kind", F.col("row_id").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    pairs = found.join(item_side, ["hash", "kind"]).select("row_id", "item", "kind", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip(F.col("item_slots").alias("k"), F.col("slots").alias("v")), lambda p: p["k"] != 0).alias("slots"))
-    # one alignment has a window for each place of the item at most
-    aligned = pairs.groupBy("row_id", "item", "kind", "shift").agg(F.collect_set(F.struct("item_at", "slots")).alias("windows"))
-    filled = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["slots"])))
-    keys = F.transform("filled", lambda p: p["k"])
-    clash = F.filter("filled", lambda p: F.size(F.filter(F.col("keys"), lambda k: k == p["k"])) > 1)
-    clean = F.filter("windows", lambda w: ~F.arrays_overlap(F.transform(w["slots"], lambda p: p["k"]), F.col("clash")))
-    consistent = (
-        aligned.withColumn("filled", filled)
-        .withColumn("keys", keys)
-        .withColumn("clash", F.transform(clash, lambda p: p["k"]))
-        .select("row_id", "item", "kind", F.explode(F.transform(clean, lambda w: w["item_at"])).alias("item_at"))
-    )
-    covered = consistent.distinct().groupBy("row_id", "item", "kind").agg(F.count("*").alias("n"))
-    shares = covered.join(totals.withColumnRenamed("row_id", "item"), ["item", "kind"]).groupBy("row_id", "item").agg(F.max(F.col("n") / F.col("windows")).alias("share"))
+    slots = F.filter(F.arrays_zip(F.col("item_slots").alias("k"), F.col("slots").alias("v")), lambda p: p["k"] != 0)
+    pairs = stored(found.join(item_side, ["hash", "kind"]).select("row_id", "item", "kind", "item_at", "at", slots.alias("slots")), "pairs")
+    # a chain has no more windows than the places of the item that are met at all
+    met = pairs.select("row_id", "item", "kind", "item_at").distinct().groupBy("row_id", "item", "kind").agg(F.count("*").alias("n"))
+    likely = met.join(totals.withColumnRenamed("row_id", "item"), ["item", "kind"]).where(F.col("n") >= share * F.col("windows")).drop("n")
+    band = F.floor((F.col("at") - F.col("item_at")) / F.col("windows"))
+    banded = pairs.join(likely, ["row_id", "item", "kind"]).withColumn("band", F.explode(F.array(band - 1, band)))
+    grouped = banded.groupBy("row_id", "item", "kind", "windows", "band").agg(F.collect_list(F.struct("item_at", "at", "slots")).alias("pairs"))
+    chains = grouped.where(F.size("pairs") >= share * F.col("windows")).select("row_id", "item", "windows", "pairs").mapInArrow(_chains, "row_id long, item long, share double")
+    shares = chains.groupBy("row_id", "item").agg(F.max("share").alias("share"))
     return scanned.where("hash IS NULL").select("row_id", "doc_id"), shares.where(F.col("share") >= share)
 
 
-def _short_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _literal_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = {len(_SYMBOLS.of(x)[0]) for x in batch["text"].to_pylist()}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(s for s in sizes if 0 < s < WORDS), pa.int32())], ["size"])
+        sizes = {size for x in batch["text"].to_pylist() for kind, size, *_ in windows_of_item(x) if kind == LITERAL}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(sizes), pa.int32())], ["size"])
+
+
+def _bench(items: DataFrame) -> DataFrame:
+    bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return stored(bench.withColumn("row_id", F.monotonically_increasing_id()), "items")
 
 
 def report(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """Every row's ``doc_id``, whether it is contaminated, its best item and share, and how many items it holds."""
-    bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    bench = stored(bench.withColumn("row_id", F.monotonically_increasing_id()), "items")
-    ids, found = matches(docs, bench.select("row_id", "text"), share)
+    bench = _bench(items)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_id", F.monotonically_increasing_id())
+    ids, found = matches(rows, bench.select("row_id", "text"), share)
     named = found.join(bench.select(F.col("row_id").alias("item"), "item_id"), "item")
     best = named.groupBy("row_id").agg(F.min(F.struct((-F.col("share")).alias("less"), "item_id")).alias("best"), F.count("*").alias("n_items"))
     best = best.select("row_id", F.col("best.item_id").alias("item_id"), (-F.col("best.less")).alias("share"), "n_items")
@@ -326,6 +393,8 @@ def report(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows whose id has no contaminated text; rows with a null id are judged as one document."""
-    bad = stored(report(docs, items, share).where("contaminated").select("doc_id").distinct(), "contaminated").withColumnRenamed("doc_id", "_bad_id")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    """The rows whose text holds no item, with all their columns."""
+    numbered, row = with_rows(docs, "uncut")
+    rows = numbered.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, found = matches(rows, _bench(items).select("row_id", "text"), share)
+    return without_rows(numbered, row, found.select("row_id"), BROADCAST_ROWS)

@@ -1,11 +1,13 @@
 """Operator 2: near-duplicates by a chosen-path similarity join over minwise tokens.
 
 1. Each text becomes its set of 5-word shingles, as 64-bit hashes, and a minwise
-   sketch of it. Texts with equal sets form one class, so copies cost one row.
-2. Classes go down ``TREES`` independent trees. In the first level a node is the
-   minwise token of one coordinate. A node of more than ``NODE`` classes branches
-   again, each class into the children of two further tokens, so that a pair of the
-   wanted similarity keeps more than one common child on average.
+   sketch of it. Texts with equal sets, told by 128-bit digests, form one class, so
+   copies cost one row. Classes are numbered.
+2. Classes go down ``n_trees`` independent trees. In the first level a node is the
+   minwise token of one coordinate. A node of more than ``NODE`` classes, or of more
+   than ``SHINGLES`` shingles in all, branches again, each class into the children of
+   two further tokens, so that a pair of the wanted similarity keeps more than one
+   common child on average.
 3. A node small enough is compared exhaustively: every pair whose sizes and sketches
    leave the similarity possible joins the candidate graph of the node, and each
    component of that graph is a candidate group. Groups, not pairs, are passed on.
@@ -19,17 +21,20 @@ It is dealt into blocks, each with the same few pivots, so that what the pivots
 is connected across blocks. Members that are still outside the node's main component
 are then compared with all of the node, block by block.
 
-Recall: a pair at the threshold shares a first-level node in a tree with
-probability 0.85 and keeps a common child at a later branching with 0.97; over
-eight trees the odds of missing it are below 1e-5, and lower for closer pairs. A
-pair that shares a node but is missed by its sketch has odds below 1e-6.
+Recall: a pair of similarity J shares a first-level node of a tree with probability J
+and keeps a common child at each later branching with 1 - (1 - J)^2. The number of trees
+is set from the threshold so that a pair right at it, linked by nothing else, is missed
+with odds below 1e-6 where nodes branch three times after the first level (64 million
+times as many classes as a node takes, were they unlike); with six further branchings the odds
+are 2e-5 at 0.85 and 4e-4 at 0.8. A pair that shares a node but is missed by its sketch
+has odds below 1e-6.
 
 Edge cases: a null or empty text, or one of white space only, has the empty set,
 which links with nothing; with fewer than five words the sequence is the sole
 shingle; repeated ids keep a row each and share links by their sets; a row with a null id
-takes part through its set's class if some row of that class has an id, and never
-names a component or is kept; other columns are not read; an empty table gives no
-rows.
+takes part like others, but never names a component or is kept; a component of null
+ids alone has a null name; other columns are not read; an empty table gives no
+rows. ``keep_first`` decides by rows, not ids: of each component one row stays.
 """
 
 from __future__ import annotations
@@ -42,19 +47,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, stored, working
+from vigil.llm.common import U64, mix64, stored, with_rows, without_rows, working
 from vigil.llm.components import connected_components
 
 WORDS = 5
 SKETCH = 128
-TREES = 8
+MISS = 1e-6
+BRANCHINGS = 3
+MAX_TREES = 64
 NODE = 1024
+SHINGLES = 1 << 22
 DEPTH = 12
 SHRINK = 0.7
 PIVOTS = 8
 BROADCAST_IDS = 1_000_000
 _FACTORS = [U64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, SKETCH + TREES, dtype=np.int64).astype(U64) | U64(1)
+_STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, SKETCH + MAX_TREES, dtype=np.int64).astype(U64) | U64(1)
 _WORD_CACHE = 300_000
 
 
@@ -95,42 +103,50 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """For each coordinate the smallest of the set's hashes under that coordinate's permutation."""
-    out = np.full(len(_STEPS), ~U64(0))
+def n_trees(percent: int) -> int:
+    """So many that an isolated pair at the threshold is missed with odds of ``MISS`` after ``BRANCHINGS`` branchings."""
+    j = percent / 100
+    kept = j * (1 - (1 - j) ** 2) ** BRANCHINGS
+    return min(MAX_TREES, int(np.ceil(np.log(MISS) / np.log(1 - kept)))) if kept < 1 else 1
+
+
+def minima(hashes: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` coordinates the smallest of the set's hashes under that coordinate's permutation."""
+    out = np.full(size, ~U64(0))
     low = hashes ^ (hashes >> U64(29))
     for at in range(0, len(low), 1024):
-        x = low[None, at : at + 1024] * _STEPS[:, None]
+        x = low[None, at : at + 1024] * _STEPS[:size, None]
         x ^= x >> U64(32)
         np.minimum(out, x.min(axis=1), out=out)
     return out
 
 
-def class_id(digest: bytes) -> int:
-    """64 bits of the digest of a set name its class."""
-    return int.from_bytes(digest[:8], "little", signed=True)
+_FEATURES = "row long, doc_id long, n_shingles long, digest binary, sketch binary, tokens array<long>"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    working("neardup", _HASHES.clear)
-    names = ["doc_id", "n_shingles", "class", "sketch", "tokens"]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            n, keys, sketches, tokens = [], [], [], []
-            for text in part["text"].to_pylist():
-                s = shingles(text)
-                n.append(len(s))
-                if not len(s):
-                    keys.append(None), sketches.append(None), tokens.append(None)
-                    continue
-                keys.append(class_id(xxhash.xxh3_128_digest(s.tobytes())))
-                m = mix64(minima(s))
-                sketches.append(m[:SKETCH].astype(np.uint8).tobytes())
-                tokens.append(m[SKETCH:].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names
-            )
+def _features(trees: int):
+    names = [x.split()[0] for x in _FEATURES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("neardup", _HASHES.clear)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                n, digests, sketches, tokens = [], [], [], []
+                for text in part["text"].to_pylist():
+                    s = shingles(text)
+                    n.append(len(s))
+                    if not len(s):
+                        digests.append(None), sketches.append(None), tokens.append(None)
+                        continue
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    m = mix64(minima(s, SKETCH + trees))
+                    sketches.append(m[:SKETCH].astype(np.uint8).tobytes())
+                    tokens.append(m[SKETCH:].view(np.int64))
+                columns = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], *columns], names)
+
+    return run
 
 
 def least_agreement(similarity: float, size: int = SKETCH, deviations: float = 5.5) -> int:
@@ -191,9 +207,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     working("neardup", _HASHES.clear)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            sets = [shingles(x).tobytes() for x in batch.slice(at, 256)["text"].to_pylist()]
-            ids = [class_id(xxhash.xxh3_128_digest(x)) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["class", "shingles"])
+            part = batch.slice(at, 256)
+            sets = [shingles(x).tobytes() for x in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["class"], pa.array(sets, pa.binary())], ["class", "shingles"])
 
 
 def confirmed_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -233,30 +249,39 @@ def _confirm(percent: int):
 
 
 def _nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, class) rows of nodes small enough to compare, of every level; (node, class, size) of those that never will be."""
+    """(node, class) rows of nodes small enough to compare, of every level; (node, class, n, size, weight) of those that never will be.
+
+    ``size`` is how many classes a node has, ``weight`` how many shingles they have in all.
+    """
     done: list[DataFrame] = []
     stuck: list[DataFrame] = []
-    level = classes.select("class", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "tree", "class", F.lit(None).cast("long").alias("parent"))
+    level = classes.select("class", "n", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "tree", "class", "n", F.lit(None).cast("long").alias("parent"))
     for depth in range(1, DEPTH + 1):
         level = stored(level, "nodes")
         # written first: a join of two tables, unlike one with an aggregate on its key, can split a hot node
-        sizes = stored(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        sizes = stored(level.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1"), "sizes")
         shared = stored(level.join(sizes, "node"), "nodes")
-        done.append(shared.where(f"size <= {NODE}").select("node", "class"))
-        large = shared.where(f"size > {NODE}")
+        fits = (F.col("size") <= NODE) & (F.col("weight") <= SHINGLES)
+        done.append(shared.where(fits).select("node", "class"))
+        large = shared.where(~fits)
         if large.isEmpty():
             break
         whole = F.lit(depth == DEPTH) | F.coalesce(F.col("size") > SHRINK * F.col("parent"), F.lit(False))
         if not large.where(whole).isEmpty():
-            stuck.append(large.where(whole).select("node", "class", "size"))
+            stuck.append(large.where(whole).select("node", "class", "n", "size", "weight"))
         if depth < DEPTH:
-            # two further tokens, each two bytes of the sketch, at places that change with tree and level
-            tokens = [f"xxhash64(node, {j}, substring(sketch, int(pmod(tree * 37 + {4 * depth + 2 * j}, {SKETCH - 1})) + 1, 2))" for j in range(2)]
-            level = large.where(~whole).join(classes.select("class", "sketch"), "class").select(F.explode(F.array(*map(F.expr, tokens))).alias("node"), "tree", "class", F.col("size").alias("parent"))
+            # two further tokens, each a byte of the sketch, at places that change with tree and level
+            tokens = [f"xxhash64(node, {j}, substring(sketch, int(pmod(tree * 37 + {2 * depth + j}, {SKETCH})) + 1, 1))" for j in range(2)]
+            level = large.where(~whole).join(classes.select("class", "sketch"), "class").select(F.explode(F.array(*map(F.expr, tokens))).alias("node"), "tree", "class", "n", F.col("size").alias("parent"))
     large = stored(_union(stuck), "large") if stuck else None
     return _union(done if large is None else [*done, _blocks(large)]), large
 
 
+def _parts(factor: int, size: str = "size", weight: str = "weight") -> str:
+    """SQL for how many blocks of a ``factor``-th of a node's limits hold so many classes and shingles."""
+    return f"CAST(ceil(greatest({size} * {factor} / {NODE}, {weight} * {factor} / {SHINGLES})) AS BIGINT)"
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
@@ -268,7 +293,7 @@ def _blocks(large: DataFrame) -> DataFrame:
     """Blocks of nodes that never fell apart, each with the node's pivots."""
     chosen = [F.min(F.struct(F.xxhash64("class", F.lit(i)).alias("h"), "class")).alias(f"p{i}") for i in range(PIVOTS)]
     pivots = large.groupBy("node").agg(*chosen).select("node", F.array_distinct(F.array(*[F.col(f"p{i}.class") for i in range(PIVOTS)])).alias("pivots"))
-    parts = large.select(F.col("node").alias("whole"), F.expr(f"xxhash64(node, pmod(xxhash64(class), ceil(size * 2 / {NODE})))").alias("node"), "class")
+    parts = large.select(F.col("node").alias("whole"), F.expr(f"xxhash64(node, pmod(xxhash64(class), {_parts(2)}))").alias("node"), "class")
     led = parts.select("whole", "node").distinct().join(pivots.withColumnRenamed("node", "whole"), "whole").select("node", F.explode("pivots").alias("class"))
     return parts.select("node", "class").unionByName(led).distinct()
 
@@ -283,12 +308,12 @@ def _links(rows: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int)
         .mapInArrow(_compare_nodes(percent, least_agreement(percent / 100)), "grp long, class long")
     )
     groups = stored(compared.distinct(), "groups")
-    wanted = stored(groups.select("class").distinct().join(classes.select("class", "rep"), "class").select("rep").where("rep IS NOT NULL").distinct(), "wanted")
-    # the texts of few documents are wanted: their ids are broadcast up to a size, else joined by a shuffle
+    wanted = stored(groups.select("class").distinct().join(classes.select("class", "rep"), "class").select("rep", "class"), "wanted")
+    # the texts of few classes are wanted: their rows are broadcast up to a size, else joined by a shuffle
     few = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"] == wanted["rep"], "left_semi").select("text")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["row"] == wanted["rep"]).select("class", "text")
     links = (
-        groups.join(texts.mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]), "class")
+        groups.join(texts.mapInArrow(_sets, "class long, shingles binary"), "class")
         .groupBy("grp")
         .agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
         .select("members")
@@ -299,10 +324,10 @@ def _links(rows: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int)
 
 def _rest(large: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, class) rows that bring members outside a large node's main component to all its members, in blocks."""
-    placed = large.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", "size", "class", F.coalesce("root", "class").alias("root"))
-    main = stored(placed.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "root")).alias("main")), "main")
-    placed = stored(placed.join(main, "node").select("node", "class", (F.col("root") != F.col("main.root")).alias("out"), F.ceil(F.col("size") * 4 / NODE).alias("parts")), "placed")
-    queries = stored(placed.where("out").groupBy("node").agg(F.ceil(F.count("*") * 4 / NODE).alias("rounds")), "queries")
+    placed = large.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", "size", "weight", "class", "n", F.coalesce("root", "class").alias("root"))
+    main = stored(placed.groupBy("node", "root").agg(F.count("*").alias("of")).groupBy("node").agg(F.max(F.struct("of", "root")).alias("main")), "main")
+    placed = stored(placed.join(main, "node").select("node", "class", "n", (F.col("root") != F.col("main.root")).alias("out"), F.expr(_parts(4)).alias("parts")), "placed")
+    queries = stored(placed.where("out").groupBy("node").agg(F.expr(_parts(4, "count(*)", "sum(n)")).alias("rounds")), "queries")
     placed = placed.join(queries, "node")
     spread = "explode(sequence(0L, {} - 1))"
     members = placed.select("node", "class", F.expr("pmod(xxhash64(class), parts)").alias("part"), F.expr(spread.format("rounds")).alias("round"))
@@ -310,27 +335,45 @@ def _rest(large: DataFrame, roots: DataFrame) -> DataFrame:
     return members.unionByName(asked).select(F.xxhash64("node", "part", "round").alias("node"), "class").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``class_id`` of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = stored(rows.mapInArrow(_features, "doc_id long, n_shingles long, class long, sketch binary, tokens array<long>"), "features")
+def _components(rows: DataFrame, percent: int) -> DataFrame:
+    """``row``, ``doc_id``, ``n_shingles``, ``class_id``, ``component_id`` and ``first_row`` of rows (row, doc_id, text).
+
+    ``class_id`` and ``component_id`` are the least ids with the same set and in the component,
+    ``first_row`` is the component's row with the least id; they are null without a set.
+    """
+    features = stored(rows.mapInArrow(_features(n_trees(percent)), _FEATURES), "features")
     # equal sets have equal sketches, so any row of a class will do
-    firsts = [F.min("doc_id").alias("rep"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("sketch", "sketch"), ("tokens", "tokens"))]]
-    classes = stored(features.where("class IS NOT NULL").groupBy("class").agg(*firsts), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")
+    firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("sketch", "sketch"), ("tokens", "tokens"))]
+    classes = stored(features.where("digest IS NOT NULL").groupBy("digest").agg(least, *firsts).withColumn("class", F.monotonically_increasing_id()).withColumn("rep", F.col("least.row")), "classes")
     nodes, large = _nodes(classes)
     links = _links(rows, classes, nodes, percent)
     roots = connected_components(links)
     if large is not None:
         links = stored(links.unionByName(_links(rows, classes, _rest(large, roots), percent)), "links")
         roots = connected_components(links)
-    named = stored(classes.select("class", "rep").join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root")), "named")
-    least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = stored(named.join(least, "root").select("class", F.col("rep").alias("class_id"), "component_id"), "class-roots")
-    out = features.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    named = stored(classes.select("digest", "class", "least").join(roots, F.col("class") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "class").alias("root")), "named")
+    first = stored(named.groupBy("root").agg(F.min("least").alias("first")), "least")
+    named = stored(named.join(first, "root").select("digest", F.col("least.doc_id").alias("class_id"), F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "class-roots")
+    return features.select("row", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``class_id`` of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = _components(with_rows(rows, "texts")[0].withColumnRenamed("_row", "row"), percent)
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row of each component, the one with the least id, with all its columns. Texts without words stay."""
+    numbered, row = with_rows(docs, "all-rows")
+    rows = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _components(rows, percent)
+    return without_rows(numbered, row, found.where("first_row IS NOT NULL AND row <> first_row").select("row"), BROADCAST_IDS)
+
+
 def oracle(percent: int = 85) -> str:
     """The query's rows, as DuckDB SQL over all pairs that share a shingle."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
