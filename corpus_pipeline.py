@@ -28,13 +28,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.
+    """One row of each near-duplicate group: the one with the smallest id, null ids last.
 
-    Five words and a similarity of 0.8 or more. Documents without words stay.
+    Five words and a similarity of 0.8 or more. Rows without words stay.
     """
-    found = neardup.near_duplicates(docs, percent=80)
-    spare = stored(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_spare")).distinct(), "spare")
-    return docs.join(spare, F.col("doc_id") == F.col("_spare"), "left_anti")
+    return neardup.keep_first(docs, percent=80)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
