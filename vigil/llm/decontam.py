@@ -36,6 +36,7 @@ own; other columns are not read, and ``drop_contaminated`` returns them as they
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -75,8 +76,9 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?\Z")
 _ATTACHED = re.compile(r"([+-]?\d[\d.,:/]*)[-°º]*([^\W\d_].*)\Z")
-_CACHE = 200_000
-_FILTER = 1 << 20
+_CACHE = 300_000
+BATCH = 1 << 12  # words looked at together
+_FILTER_BITS = 20
 _FACTORS = [U64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -105,61 +107,77 @@ class Symbols(dict):
     """Words to positions in arrays of symbols, kept up to a bound."""
 
     def __init__(self) -> None:
-        self.symbol = np.zeros(_CACHE + 1, U64)  # 0: nothing is left of the word
-        self.literal = np.zeros(_CACHE + 1, U64)
-        self.slot = np.zeros(_CACHE + 1, bool)
-        self.name = np.zeros(_CACHE + 1, bool)
-        self.unit = np.zeros(_CACHE + 1, bool)
-        self.attached = np.zeros(_CACHE + 1, U64)  # the literal of the unit attached to the number, else 0
-        self.full = False
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at >= _CACHE:
-            self.full = True
-            raise KeyError(word)
-        core = _strip(word)
+        self.symbol = np.zeros(_CACHE, U64)  # 0: nothing is left of the word
+        self.literal = np.zeros(_CACHE, U64)
+        self.attached = np.zeros(_CACHE, U64)  # the literal of the unit attached to the number, else 0
+        self.slot = np.zeros(_CACHE, bool)
+        self.name = np.zeros(_CACHE, bool)
+        self.unit = np.zeros(_CACHE, bool)
+
+    @staticmethod
+    def _about(word: str) -> tuple[int, int, int, bool, bool, bool]:
+        """Symbol, literal, literal of an attached unit, and whether it is a slot, a name, and a unit."""
+        core = word if word.isalnum() else _strip(word)
+        if not core:
+            return 0, 0, 0, False, False, False
         lower = core.lower()
-        name = len(core) > 1 and core[0].isupper() and core[1:] != core[1:].upper() or len(core) == 1 and core.isupper()
-        digit = core[:1].isdecimal()
-        number = digit and bool(_NUMBER.match(core))
-        parts = _ATTACHED.match(lower) if digit and not number else None
-        self.attached[at] = 0
-        if parts and _is_unit(parts[2]):
-            number, lower, self.attached[at] = True, _strip(parts[1]), _hash(parts[2])
-        self.literal[at] = _hash(lower) if core else 0
-        self.slot[at] = bool(core) and (number or name)
-        self.name[at] = name and not number
-        self.unit[at] = _is_unit(lower)
-        self.symbol[at] = 0 if not core else _NUM if number else _NAME if name else self.literal[at]
-        self[word] = at
-        return at
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, literals, literals where they are slots (else 0), and whether they are names."""
-        words = (text or "").split()
-        try:
-            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self.clear()
-            own = list(dict.fromkeys(words))
-            if len(own) > _CACHE // 2:  # one very long text: by pieces
-                parts = [self.of(" ".join(words[i : i + _CACHE // 4])) for i in range(0, len(words), _CACHE // 4)]
-                return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
-            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        at = at[self.symbol[at] != 0]
-        attached = self.attached[at]
+        if core[0].isdecimal():
+            number, name, attached = bool(_NUMBER.match(core)), False, 0
+            parts = None if number else _ATTACHED.match(lower)
+            if parts and _is_unit(parts[2]):
+                number, lower, attached = True, _strip(parts[1]), _hash(parts[2])
+            literal = _hash(lower)
+            return _NUM if number else literal, literal, attached, number, False, _is_unit(lower)
+        literal = _hash(lower)
+        name = core is not lower and core[0].isupper() and (len(core) == 1 or core[1:] != core[1:].upper())
+        return _NAME if name else literal, literal, 0, name, name, _is_unit(lower)
+
+    def _learn(self, words: list[str]) -> None:
+        start = len(self)
+        self.update(zip(words, range(start, start + len(words)), strict=True))
+        columns = zip(*map(self._about, words), strict=True)
+        for own, values in zip((self.symbol, self.literal, self.attached, self.slot, self.name, self.unit), columns, strict=True):
+            own[start : start + len(words)] = np.array(values, own.dtype)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.get, words))
+        if None in found:
+            new = list(dict.fromkeys([w for w, k in zip(words, found, strict=True) if k is None]))
+            if len(self) + len(new) > _CACHE:
+                self.clear()
+                new = list(dict.fromkeys(words))
+            self._learn(new)
+            found = list(map(self.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def of_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts, their literals, literals where they are slots (else 0), whether they are names, and of which text."""
+        each = [(x or "").split() for x in texts]
+        words = list(itertools.chain.from_iterable(each))
+        doc = np.repeat(np.arange(len(each)), np.fromiter(map(len, each), np.int64, len(each)))
+        parts = []
+        for start in range(0, len(words), _CACHE // 2):
+            at = self._places(words[start : start + _CACHE // 2])
+            parts.append([x[at] for x in (self.symbol, self.literal, self.attached, self.slot, self.name, self.unit)])
+        if not parts:
+            return np.empty(0, U64), np.empty(0, U64), np.empty(0, U64), np.empty(0, bool), doc
+        symbol, literal, attached, slot, name, unit = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+        kept = symbol != 0
+        if not kept.all():
+            symbol, literal, attached, slot, name, unit, doc = (x[kept] for x in (symbol, literal, attached, slot, name, unit, doc))
+        slots = np.where(slot, literal, U64(0))
         split = attached != 0
-        second = np.empty(0, np.int64)
         if split.any():
-            second = (np.arange(len(at)) + np.cumsum(split))[split]
-            at, attached = np.repeat(at, 1 + split), attached[split]
-        symbol, literal = self.symbol[at].copy(), self.literal[at]
-        slots = np.where(self.slot[at], literal, U64(0))
-        symbol[second], literal[second], slots[second] = U64(_UNIT), attached[: len(second)], attached[: len(second)]
-        after = np.flatnonzero(self.unit[at][1:] & (symbol[:-1] == U64(_NUM))) + 1
+            second = (np.arange(len(split)) + np.cumsum(split))[split]
+            units, times = attached[split], 1 + split
+            symbol, literal, slots, name, unit, doc = (np.repeat(x, times) for x in (symbol, literal, slots, name, unit, doc))
+            symbol[second], literal[second], slots[second] = U64(_UNIT), units, units
+        after = np.flatnonzero(unit[1:] & (symbol[:-1] == U64(_NUM)) & (doc[1:] == doc[:-1])) + 1
         symbol[after], slots[after] = U64(_UNIT), literal[after]
-        return symbol, literal, slots, self.name[at]
+        return symbol, literal, slots, name, doc
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return self.of_all([text])[:4]
 
 
 _SYMBOLS = Symbols()
@@ -169,48 +187,50 @@ def window_hashes(values: np.ndarray, size: int, salt: int) -> np.ndarray:
     n = len(values) - size + 1
     if n < 1:
         return np.empty(0, U64)
-    total = np.full(n, salt, U64)
-    for i in range(size):
+    total = values[:n] * _FACTORS[0]
+    total += U64(salt)
+    for i in range(1, size):
         total += values[i : i + n] * _FACTORS[i]
-    return mix64(total)
+    return total
 
 
-def name_runs(symbol: np.ndarray, slots: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and slots with each run of names as one name, whose literal is all of the run."""
+def name_runs(symbol: np.ndarray, slots: np.ndarray, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, slots and texts with each run of names as one name, whose literal is all of the run."""
     later = np.zeros(len(name), bool)
-    later[1:] = name[1:] & name[:-1]
+    later[1:] = name[1:] & name[:-1] & (doc[1:] == doc[:-1])
     if not later.any():
-        return symbol, slots
+        return symbol, slots, doc
     kept = np.flatnonzero(~later)
     at = np.arange(len(name)) - np.maximum.accumulate(np.where(later, 0, np.arange(len(name))))
     each = np.where(later, mix64(slots + at.astype(U64) * _FACTORS[0]), slots)
-    return symbol[kept], np.add.reduceat(each, kept)
+    return symbol[kept], np.add.reduceat(each, kept), doc[kept]
 
 
 # kinds of templates: runs of names as one, each word of a name, names as lower-case words, literals
 RUNS, APART, LOWER, LITERAL = 0, 3, 1, 2
+Template = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
-def templates(text: str | None) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Kind, symbols and slots of the three templates; then of the literals."""
-    symbol, literal, slots, name = _SYMBOLS.of(text)
+def templates_of(texts: list[str | None]) -> list[Template]:
+    """Kind, symbols, slots and of which text, of the three templates; then of the literals."""
+    symbol, literal, slots, name, doc = _SYMBOLS.of_all(texts)
     lower = np.where(name, literal, symbol)
     none = np.zeros(len(literal), U64)
-    return [(RUNS, *name_runs(symbol, slots, name)), (APART, symbol, slots), (LOWER, lower, np.where(name, U64(0), slots)), (LITERAL, literal, none)]
+    return [(RUNS, *name_runs(symbol, slots, name, doc)), (APART, symbol, slots, doc), (LOWER, lower, np.where(name, U64(0), slots), doc), (LITERAL, literal, none, doc)]
+
+
+def templates(text: str | None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [t[:3] for t in templates_of([text])]
 
 
 _NAMES = ["row_id", "hash", "at", "kind", "slots"]
 _TYPES = "row_id long, hash long, at long, kind int, slots array<long>"
 
 
-def _emit(rows: list[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]) -> pa.RecordBatch:
-    """Rows of windows from (row_id, hashes, places, kind, slots)."""
-    sizes = [len(r[1]) for r in rows]
-    flat = np.concatenate([r[4] for r in rows]) if rows else np.empty((0, WORDS), U64)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * WORDS), pa.array(flat.reshape(-1).view(np.int64)))
-    joined = [np.concatenate([r[i] for r in rows]) if rows else np.empty(0, U64) for i in (1, 2)]
-    repeated = [np.repeat([r[i] for r in rows], sizes).astype(t) if rows else np.empty(0, t) for i, t in ((0, np.int64), (3, np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(repeated[0]), pa.array(joined[0].view(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(repeated[1]), lists], _NAMES)
+def _emit(row_ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, kind: int, slots: np.ndarray) -> pa.RecordBatch:
+    """Rows of windows of one kind."""
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * WORDS), pa.array(slots.reshape(-1).view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(row_ids.astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int64)), pa.array(np.full(len(at), kind, np.int32)), lists], _NAMES)
 
 
 def _slots_of(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -247,8 +267,9 @@ def item_windows(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("decontam", _SYMBOLS.clear)
         for batch in batches:
-            pairs = zip(batch["row_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
-            yield _emit([(row_id, hashes, at, kind, slots) for row_id, text in pairs for kind, _, hashes, at, slots in windows_of_item(text)])
+            for row_id, text in zip(batch["row_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for kind, _, hashes, at, slots in windows_of_item(text):
+                    yield _emit(np.full(len(at), row_id), hashes, at, kind, slots)
 
     return items.mapInArrow(run, _TYPES)
 
@@ -269,44 +290,48 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
     windows of an item. ``docs`` has row_id, doc_id and text; each document also has a
     row with its ``doc_id`` and no hash.
     """
-    maybe = np.zeros(_FILTER, bool)  # where no known hash has these low bits none need be looked for
+    maybe = np.zeros(1 << _FILTER_BITS, bool)  # where no known hash has these high bits none need be looked for
+    high = U64(64 - _FILTER_BITS)
     if known is not None:
-        maybe[known & U64(_FILTER - 1)] = True
-
-    def found(row_id: int, text: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]:
-        *full, (_, literal, _) = templates(text)
-        wanted = [(kind, symbols, slots, WORDS, 0) for kind, symbols, slots in full] + [(LITERAL, literal, None, s, s) for s in sizes]
-        at = hashes = last = None
-        for kind, symbols, slots, size, salt in wanted:
-            if not (kind != LITERAL and last is not None and np.array_equal(last, symbols)):
-                last = symbols
-                hashes = window_hashes(symbols, size, salt)
-                if known is None:
-                    at = np.arange(len(hashes)) if kind == LITERAL else np.flatnonzero(telling(symbols))
-                else:
-                    at = np.flatnonzero(maybe[hashes & U64(_FILTER - 1)])
-                    place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-                    at = at[known[place] == hashes[at]]
+        maybe[known >> high] = True
+
+    def found(row_ids: np.ndarray, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+        *full, (_, literal, none, doc) = templates_of(texts)
+        wanted = [(*t, WORDS, 0) for t in full] + [(LITERAL, literal, none, doc, s, s) for s in sizes]
+        for kind, symbols, slots, of, size, salt in wanted:
+            hashes = window_hashes(symbols, size, salt)
+            if not len(hashes):
+                continue
+            if known is None:
+                at = np.arange(len(hashes)) if kind == LITERAL else np.flatnonzero(telling(symbols))
+            else:
+                at = np.flatnonzero(maybe[hashes >> high])
+                place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+                at = at[known[place] == hashes[at]]
+            at = at[of[at] == of[at + size - 1]]
             if not len(at):
                 continue
-            picked = np.zeros((len(at), WORDS), U64) if slots is None else _slots_of(slots, at)
-            equal = (hashes[at][1:] == hashes[at][:-1]) & (np.diff(at) == 1) & (picked[1:] == picked[:-1]).all(axis=1)
-            kept = _ends_of_runs(equal, most) if equal.any() else slice(None)
-            yield row_id, hashes[at][kept], at[kept], kind, picked[kept]
+            picked = np.zeros((len(at), WORDS), U64) if kind == LITERAL else _slots_of(slots, at)
+            equal = (hashes[at][1:] == hashes[at][:-1]) & (np.diff(at) == 1) & (of[at][1:] == of[at][:-1]) & (picked[1:] == picked[:-1]).all(axis=1)
+            if equal.any():
+                kept = _ends_of_runs(equal, most)
+                at, picked = at[kept], picked[kept]
+            starts = np.searchsorted(of, of[at])
+            yield _emit(row_ids[of[at]], hashes[at], at - starts, kind, picked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("decontam", _SYMBOLS.clear)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                out = []
-                if known is None or len(known):
-                    for row_id, text in zip(part["row_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                        out += found(row_id, text)
-                windows = _emit(out)
-                yield pa.RecordBatch.from_arrays([*windows.columns, pa.nulls(windows.num_rows, pa.int64())], [*_NAMES, "doc_id"])
-                nothing = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part["row_id"], *nothing, part["doc_id"]], [*_NAMES, "doc_id"])
+            texts = batch["text"].to_pylist()
+            row_ids = batch["row_id"].to_numpy()
+            # about as many words at a time, at six letters a word
+            cuts = np.unique(np.searchsorted(np.cumsum([len(x or "") for x in texts]), np.arange(0, sum(len(x or "") for x in texts), 6 * BATCH), side="right"))
+            if known is None or len(known):
+                for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+                    for windows in found(row_ids[start:end], texts[start:end]):
+                        yield pa.RecordBatch.from_arrays([*windows.columns, pa.nulls(windows.num_rows, pa.int64())], [*_NAMES, "doc_id"])
+            nothing = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["row_id"], *nothing, batch["doc_id"]], [*_NAMES, "doc_id"])
 
     return docs.mapInArrow(run, _TYPES + ", doc_id long")
 
