@@ -1,24 +1,32 @@
 """Operator 3: personal data, with bootstrapped contextual extraction.
 
 The base finds email, IP, card and phone numbers by pattern. Those are the seeds.
-Lexical patterns are the words to the left of a seed: its two words, or a single
-word that ends in a cue such as a colon. The same patterns also stand before other
+Lexical patterns are the words around a seed: the two words to its left, a single
+word to its left that ends in a cue such as a colon, the two words to its right, and
+the words on both sides. The same patterns also stand around other
 text that has the shape of some kind of seed, which gives a graph between patterns
 and instances: groups of digits with spaces, brackets or other separators (7 to 24
 digits), groups with colons, addresses with ``@`` or with 'at' and 'dot' spelled out,
-tokens with inner dots or underscores, and tokens with four digits or more. In
-rounds, a pattern's confidence for a kind is the mean score of its instances, and
-an instance's score is its seed score or the best confidence of its patterns.
-Patterns with enough distinct seeds and confidence then mark their unseen
-instances, as added spans ``like_<kind>``; base spans stay.
+tokens with inner dots or underscores, and tokens with four digits or more. An instance
+can be of the kinds that its shape allows only (``kinds_of``).
+
+The graph is scored in rounds. A pattern's confidence for a kind is the sum of its
+distinct instances' scores over their number, and its support is that sum. Patterns with
+enough of both are accepted; an instance's score is 1 for seeds of the kind, else
+``DECAY`` times the best confidence of its accepted patterns. So what accepted patterns
+find induces further patterns in the next round, each a step less certain, until nothing
+new is accepted. Accepted patterns mark their instances, as added spans ``like_<kind>``;
+base spans stay.
 
 Edge cases: null and empty texts have no spans; whole texts are read whatever their
-length; every row gives one row, also where ids repeat or are null; other columns
+length, in linear time; a word of more than ``LONG_WORD`` characters is no part of a
+pattern; every row gives one row, also where ids repeat or are null; other columns
 are not read; with no seeds there are no patterns and no added spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -30,15 +38,21 @@ from vigil.llm.spans import Span, Taken, joined, mapper, sha256
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, *(f"like_{k}" for k in BASE_KINDS))
-MIN_SEEDS = 5
+MIN_SUPPORT = 5.0
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
+DECAY = 0.95
+ROUNDS = 6
+LONG_WORD = 80
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# no digit stands before a match or is given back, as the runs of digits are whole
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
+_WORD = re.compile(r"\S+")
 _GROUPS = re.compile(r"(?<!\w)\+?[(\[]?[0-9]++(?:(?:\x20?[(\[]|[)\]](?:\x20?[./-]?)|\x20-\x20|[\x20./-])[0-9]++)+(?![\w@])")
 _COLONS = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}+)?(?:::?[0-9A-Fa-f]{1,4}+){2,}+(?![\w:])")
 _SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9_%+-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]++)*+\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++", re.I)
@@ -57,10 +71,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost addresses that don't overlap: around each ``@``, with what stands before it since the last one."""
+    found, last, at = [], 0, text.find("@")
+    while at >= 0:
+        local = _LOCAL.match(text[last:at][::-1])
+        domain = _DOMAIN.match(text, at + 1) if local else None
+        if local and domain:
+            found.append((at - local.end(), domain.end()))
+        last = domain.end() if domain else at + 1
+        at = text.find("@", last)
+    return found
+
+
 def base_spans(text: str) -> list[Span]:
     spans: list[Span] = []
     if "@" in text:
-        spans += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+        spans += [("email", *s) for s in emails(text)]
     if not _DIGIT.search(text):
         return spans
     spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
@@ -73,16 +100,43 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def left_patterns(text: str, start: int) -> list[str]:
-    """The patterns before a position: its two left words, and the last alone if it ends in a cue."""
-    words = text[max(0, start - 80) : start].split(" ")
-    words = [w for w in "".join(" " if c.isspace() else c for c in " ".join(words)).split(" ") if w][-2:]
-    found = []
-    if len(words) == 2:
-        found.append("2 " + " ".join(words).lower())
-    if words and words[-1][-1] in ":=#":
-        found.append("1 " + words[-1].lower())
-    return found
+class Words:
+    """The words of a text, by place."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [s for s, _ in self.spans]
+
+    def left(self, start: int) -> list[str]:
+        """Up to two words before a place; the last may be cut off by it."""
+        at = bisect.bisect_left(self.starts, start)
+        return [self.text[s : min(e, start)].lower() if e - s <= LONG_WORD else "" for s, e in self.spans[max(0, at - 2) : at]]
+
+    def right(self, end: int) -> list[str]:
+        """Up to two words after a place, but for signs that follow it at once."""
+        at = bisect.bisect_left(self.starts, end)
+        return [self.text[s:e].lower() if e - s <= LONG_WORD else "" for s, e in self.spans[at : at + 2]]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        left, right = self.left(start), self.right(end)
+        found = []
+        if len(left) == 2 and all(left):
+            found.append("2 " + " ".join(left))
+        if left and left[-1][-1:] in (":", "=", "#"):
+            found.append("1 " + left[-1])
+        if len(right) == 2 and all(right):
+            found.append("3 " + " ".join(right))
+        if left and right and left[-1] and right[0]:
+            found.append(f"4 {left[-1]} {right[0]}")
+        return found
+
+
+def kinds_of(value: str) -> list[str]:
+    """The kinds that a shape allows: addresses have letters, numbers have none, and as many digits as their kind."""
+    digits, letters = len(_DIGIT.findall(value)), bool(_LETTER.search(value))
+    tests = (letters, digits > 0 and value.count(".") + value.count(":") > 1, not letters and 12 <= digits <= 24, not letters and 7 <= digits <= 15)
+    return [kind for kind, test in zip(BASE_KINDS, tests, strict=True) if test]
 
 
 def unseen(text: str, base: list[Span]) -> list[tuple[int, int]]:
@@ -117,25 +171,29 @@ def unseen(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 
 def mentions(text: str, base: list[Span]) -> list[dict]:
-    """Seeds and what looks like them, with their patterns."""
-    found = [{"kind": kind, "start": start, "end": end, "value": text[start:end].lower(), "patterns": left_patterns(text, start)} for kind, start, end in base]
-    for start, end in unseen(text, base):
+    """Seeds and what looks like them, with their patterns and the kinds that they may be of."""
+    others = unseen(text, base)
+    if not base and not others:
+        return []
+    words = Words(text)
+    found = [{"kind": kind, "start": start, "end": end, "value": text[start:end].lower(), "kinds": [kind], "patterns": words.patterns(start, end)} for kind, start, end in base]
+    for start, end in others:
         left = start
         while left and text[left - 1] in _OPENING:
             left -= 1
         # a bracket or quote before it may be a cue's own, or may hide the cue
-        patterns = list(dict.fromkeys(left_patterns(text, start) + (left_patterns(text, left) if left < start else [])))
-        found.append({"kind": None, "start": start, "end": end, "value": text[start:end].lower(), "patterns": patterns})
+        patterns = list(dict.fromkeys(words.patterns(start, end) + (words.patterns(left, end) if left < start else [])))
+        found.append({"kind": None, "start": start, "end": end, "value": text[start:end].lower(), "kinds": kinds_of(text[start:end]), "patterns": patterns})
     return [x for x in found if x["patterns"]]
 
 
-_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("kinds", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))])
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("base", pa.string()), ("mentions", pa.list_(_MENTION))]
 )
 _DDL = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "mentions array<struct<kind:string,start:bigint,end:bigint,value:string,patterns:array<string>>>"
+    "mentions array<struct<kind:string,start:bigint,end:bigint,value:string,kinds:array<string>,patterns:array<string>>>"
 )
 
 
@@ -146,34 +204,32 @@ def _row(text: str) -> tuple:
     return (*counts, sha256(text_of), text_of, mentions(text, base))
 
 
-def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Confidence of each (pattern, kind), by rounds over the graph.
+def accepted_patterns(edges: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS, decay: float = DECAY) -> DataFrame:
+    """``pattern``, ``kind`` and ``confidence`` of the accepted patterns, by rounds over the graph.
 
-    ``edges`` has one row per distinct pattern, value and seed kind (null if none).
+    ``edges`` has one row per distinct pattern, value, seed kind (null if none) and
+    ``kinds``, those that the value may be of.
     """
-    seeds = edges.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("seed", F.lit(1.0))
-    support = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("seeds"))
-    links = edges.select("pattern", "value").distinct()
-    sizes = links.groupBy("pattern").agg(F.count("*").alias("size"))
-    scores = seeds.select("value", "kind", F.col("seed").alias("score"))
-    confidence = None
-    for step in range(rounds):
-        confidence = (
-            links.join(scores, "value")
-            .groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("total"))
-            .join(sizes, "pattern")
-            .select("pattern", "kind", (F.col("total") / F.col("size")).alias("confidence"))
-        )
+    seeds = stored(edges.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
+    links = stored(edges.groupBy("pattern", "value").agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")), "pii-links")
+    sizes = stored(links.groupBy("pattern").agg(F.count("*").alias("size")), "pii-sizes")
+    scores, before = seeds, None
+    for _ in range(rounds):
+        totals = stored(links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("support")), "pii-totals")
+        confidence = F.col("support") / F.col("size")
+        accepted = totals.where(F.col("support") >= min_support - 1e-9).join(sizes, "pattern").select("pattern", "kind", confidence.alias("confidence")).where(F.col("confidence") >= min_confidence - 1e-9)
         # written before it is joined with the links again, so that a common pattern can be split
-        confidence = stored(confidence, "pii-confidence")
-        if step + 1 < rounds:
-            spread = links.join(confidence.where(F.col("confidence") >= 0.1), "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-            scores = stored(spread.unionByName(seeds.select("value", "kind", F.col("seed").alias("score"))).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
-    return confidence.join(support, ["pattern", "kind"])
+        accepted = stored(accepted, "pii-accepted")
+        state = accepted.agg(F.count("*"), F.sum(F.round("confidence", 4))).first()
+        if state == before:
+            break
+        before = state
+        spread = links.join(accepted, "pattern").where("array_contains(kinds, kind)").select("value", "kind", (F.lit(decay) * F.col("confidence")).alias("score"))
+        scores = stored(spread.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
+    return accepted
 
 
-def extract(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def extract(docs: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: base counts and digest, and all spans.
 
     Texts are read once; only mentions, a few bytes a document, are shuffled.
@@ -183,14 +239,14 @@ def extract(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float =
     each = (
         found.where(F.size("mentions") > 0)
         .select("row_id", F.explode("mentions").alias("m"))
-        .select("row_id", F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.xxhash64("m.value").alias("value"), F.explode("m.patterns").alias("pattern"))
+        .select("row_id", F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.xxhash64("m.value").alias("value"), F.col("m.kinds").alias("kinds"), F.explode("m.patterns").alias("pattern"))
     )
-    edges = stored(each.select("pattern", "value", "kind").distinct(), "pii-edges")
-    accepted = pattern_scores(edges, rounds)
-    accepted = stored(accepted.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("pattern", F.col("kind").alias("like"), "confidence"), "pii-accepted")
+    edges = stored(each.select("pattern", "value", "kind", "kinds").distinct(), "pii-edges")
+    accepted = accepted_patterns(edges, min_support, min_confidence, rounds).withColumnRenamed("kind", "like")
     added = (
         each.where("kind IS NULL")
         .join(accepted, "pattern")
+        .where("array_contains(kinds, like)")
         .groupBy("row_id", "start", "end")
         .agg(F.max(F.struct("confidence", "like")).alias("best"))
         .select("row_id", F.struct("start", F.concat_ws(":", F.concat(F.lit("like_"), F.col("best.like")), "start", "end").alias("span")).alias("s"))
