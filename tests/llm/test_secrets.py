@@ -51,3 +51,118 @@ def test_edge_rows(spark):
     assert next(r for r in got if r.doc_id == 3).spans == "hex:0:200000"
     assert next(r for r in got if r.doc_id == 1).spans == ""
     assert secrets.scan(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_wrapped_keys_are_confirmed():
+    letters = base64.b64encode(DER).decode()
+    lines64, lines16 = ([letters[i : i + n] for i in range(0, len(letters), n)] for n in (64, 16))
+    for lines in (lines64, lines16):
+        for gap in ("\n", "\r\n  ", "\\n", "\\r\\n"):
+            body = gap.join(lines)
+            text = f"see: {body} end"
+            assert secrets.confirmed_spans(text) == [("der", 5, 5 + len(body))], (gap, lines[0])
+            pem = f"-----BEGIN RSA PRIVATE KEY-----{gap}{body}{gap}-----END RSA PRIVATE KEY-----"
+            assert secrets.confirmed_spans(f'"{pem}"') == [("pem", 1, 1 + len(pem))]
+    digits = DER.hex()
+    wrapped = "\n".join(digits[i : i + 32] for i in range(0, len(digits), 32))
+    assert secrets.confirmed_spans(wrapped + "\nwords follow here") == [("der", 0, len(wrapped))]
+    colons = ":".join(digits[i : i + 2] for i in range(0, len(digits), 2))
+    assert secrets.confirmed_spans(colons) == [("der", 0, len(colons))]
+    over = colons[:45] + "\n    " + colons[45:]
+    assert secrets.confirmed_spans(over) == [("der", 0, len(over))]
+    assert secrets.confirmed_spans(letters + "\nand") == [("der", 0, len(letters))]
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def test_openssh_keys_are_parsed():
+    def key(count=1, private=bytes(64), cipher=b"none", tail=b""):
+        return secrets._MAGIC + field(cipher) + field(b"none") + field(b"") + count.to_bytes(4, "big") + field(SSH) * count + field(private) + tail
+
+    assert secrets.is_ssh(key()) and secrets.is_ssh(key(2))
+    bad = [key(0), key(private=bytes(63)), key(private=b""), key(tail=b"x"), key()[:-1], secrets._MAGIC + b"just some words here", secrets._MAGIC, key().replace(b"ssh-ed25519", b"ssh-ed25510")]
+    assert not any(map(secrets.is_ssh, bad))
+    blob = base64.b64encode(key()).decode()
+    pem = "-----BEGIN OPENSSH PRIVATE KEY-----\n" + "\n".join(blob[i : i + 70] for i in range(0, len(blob), 70)) + "\n-----END OPENSSH PRIVATE KEY-----"
+    assert secrets.confirmed_spans(pem) == [("pem", 0, len(pem))]
+
+
+def naive_der(data):
+    """All of ``data`` as nested elements by recursion, and whether an integer or object id is among them; None if it isn't."""
+
+    def elements(x):
+        useful = False
+        while x:
+            if len(x) < 2 or x[0] & 0x1F == 0x1F:
+                return None
+            size, head = x[1], 2
+            if size & 0x80:
+                n = size & 0x7F
+                if not 1 <= n <= 4 or len(x) < 2 + n:
+                    return None
+                size, head = int.from_bytes(x[2 : 2 + n], "big"), 2 + n
+                if size < 0x80:
+                    return None
+            content = x[head : head + size]
+            if len(content) < size:
+                return None
+            if x[0] & 0x20:
+                inner = elements(content)
+                if inner is None:
+                    return None
+                useful |= inner
+            useful |= x[0] in (2, 6) and size > 0
+            x = x[head + size :]
+        return useful
+
+    if len(data) < 16 or data[0] != 0x30:
+        return False
+    size = data[1] if data[1] < 0x80 else int.from_bytes(data[2 : 2 + (data[1] & 0x7F)], "big")
+    head = 2 if data[1] < 0x80 else 2 + (data[1] & 0x7F)
+    return head + size == len(data) and bool(elements(data))
+
+
+def test_der_matches_brute_force():
+    import random
+
+    rng = random.Random(3)
+
+    def element(depth):
+        if depth and rng.random() < 0.6:
+            tag, content = rng.choice((0x30, 0x31, 0xA0)), b"".join(element(depth - 1) for _ in range(rng.randrange(4)))
+        else:
+            tag, content = rng.choice((2, 3, 4, 5, 6, 0x1F)) if rng.random() < 0.97 else 0x3F, rng.randbytes(rng.choice((0, 1, 5, 40, 140, 300)))
+        n = len(content)
+        size = bytes([n]) if n < 0x80 else bytes([0x81, n]) if n < 0x100 else bytes([0x82]) + n.to_bytes(2, "big")
+        return bytes([tag]) + size + content
+
+    true = 0
+    for _ in range(6000):
+        data = b"".join(element(3) for _ in range(rng.randrange(1, 4)))
+        if rng.random() < 0.8 and len(data) < 0x10000:
+            data = bytes([0x30, 0x82]) + len(data).to_bytes(2, "big") + data if len(data) > 0x7F else bytes([0x30, len(data)]) + data
+        if rng.random() < 0.5 and data:
+            at = rng.randrange(len(data))
+            data = rng.choice((data[:at], data[:at] + bytes([rng.randrange(256)]) + data[at + 1 :], data + b"\0"))
+        assert secrets.is_der(data) == naive_der(data), data.hex()
+        true += naive_der(data)
+    assert true > 300
+
+
+def test_ssh_matches_brute_force():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(2000):
+        kinds = [rng.choice((*secrets._SSH_KINDS, b"ssh-none", b""))]
+        data = b"".join(field(x) for x in kinds + [rng.randbytes(rng.randrange(40)) for _ in range(rng.randrange(4))])
+        if rng.random() < 0.4:
+            data = data[: rng.randrange(len(data))]
+        fields, rest = [], data
+        while len(rest) >= 4 and len(rest) >= 4 + int.from_bytes(rest[:4], "big"):
+            n = int.from_bytes(rest[:4], "big")
+            fields.append(rest[4 : 4 + n])
+            rest = rest[4 + n :]
+        assert secrets.is_ssh(data) == (not rest and len(fields) > 1 and fields[0] in secrets._SSH_KINDS)

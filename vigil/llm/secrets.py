@@ -3,8 +3,10 @@
 The base finds assignments, access key ids and long hexadecimal runs by pattern.
 The method then takes base64 and hexadecimal candidates, decodes them, and reports
 those whose content is a key: a signed token whose header is JSON with an
-algorithm, a DER structure whose nested lengths all fit, or an SSH key blob. These
-spans are added; base spans stay.
+algorithm, a DER structure whose nested lengths all fit, or an SSH key whose
+length-prefixed fields do. Candidates run over line breaks, also escaped ones as in JSON
+or code, where all lines but the last have one length; within a PEM frame lines may have
+any length; hexadecimal bytes may be parted by colons. These spans are added; base spans stay.
 
 Edge cases: null and empty texts have no spans; whole texts are read whatever
 their length; equal rows give equal results, one each; other columns are not read.
@@ -16,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,10 +41,16 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+_LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
+_MORE = re.compile(r"[A-Za-z0-9+/_-]++")
+_BREAK = re.compile(r"(?:\\r\\n|\\n|\\r|\r\n|\n|\r)[\x20\t]*+")
+_PADDING = re.compile(r"={0,2}")
+_COLONS = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::\s*+[0-9A-Fa-f]{2}){23,}+(?![0-9A-Fa-f])")
+_HEXADECIMAL = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
+_FRAMED = re.compile(r"\\[rnt]|[\s\"',\\]+")
+LEAST = 24  # letters of a candidate
 _SSH_KINDS = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 
@@ -109,18 +118,41 @@ def is_der(data: bytes) -> bool:
     return useful
 
 
+def _fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int]:
+    """Length-prefixed fields from ``at`` on, ``most`` at most, and where they end; the first that doesn't fit ends them."""
+    found: list[bytes] = []
+    while at + 4 <= len(data) and (most is None or len(found) < most):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if end > len(data):
+            break
+        found.append(data[at + 4 : end])
+        at = end
+    return found, at
+
+
+def is_public_key(data: bytes) -> bool:
+    """Length-prefixed fields, of which the first names a key type."""
+    fields, end = _fields(data)
+    return end == len(data) and len(fields) >= 2 and fields[0] in _SSH_KINDS
+
+
+_MAGIC = b"openssh-key-v1\0"
+
+
+def is_private_key(data: bytes) -> bool:
+    """The magic, cipher, derivation and its options, a count, that many public keys, and the private part in blocks of eight."""
+    if not data.startswith(_MAGIC):
+        return False
+    names, at = _fields(data, len(_MAGIC), 3)
+    count = int.from_bytes(data[at : at + 4], "big")
+    if len(names) < 3 or not names[0].isascii() or not 1 <= count <= 64 or at + 4 > len(data):
+        return False
+    parts, end = _fields(data, at + 4, count + 1)
+    return end == len(data) and len(parts) == count + 1 and all(map(is_public_key, parts[:-1])) and 0 < len(parts[-1]) and len(parts[-1]) % 8 == 0
+
+
 def is_ssh(data: bytes) -> bool:
-    """An OpenSSH private key, or length-prefixed fields of which the first names a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        length = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + length > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + length])
-        at += 4 + length
-    return at == len(data) and len(fields) >= 2 and fields[0] in _SSH_KINDS
+    return is_private_key(data) or is_public_key(data)
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -132,28 +164,81 @@ def is_signed_token(header: str, payload: str) -> bool:
     return len(parsed) == 2 and isinstance(parsed[0], dict) and isinstance(parsed[0].get("alg"), str) and isinstance(parsed[1], dict)
 
 
+def framed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Place and content of PEM frames; a frame ends at the next dashes."""
+    for m in _BEGIN.finditer(text):
+        end = text.find("-----", m.end())
+        mark = f"-----END {m[1]}-----"
+        if end >= 0 and text.startswith(mark, end):
+            yield m.start(), end + len(mark), _FRAMED.sub("", text[m.end() : end])
+
+
+def runs(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """Readings of each run of base64 or hexadecimal letters, the longest first.
+
+    A run goes on over a line break while lines have the length of the first; the line
+    after them may be shorter, or else is other text.
+    """
+    done = 0
+    for m in _LINE.finditer(text):
+        if m.start() < done:
+            continue
+        size, parts, ends = len(m[0]), [m[0]], [m.end()]
+        while len(parts[-1]) == size:
+            gap = _BREAK.match(text, ends[-1])
+            more = _MORE.match(text, gap.end()) if gap else None
+            if more is None or len(more[0]) > size:
+                break
+            parts.append(more[0])
+            ends.append(more.end())
+        done = ends[-1]
+        readings = []
+        for n in dict.fromkeys((len(parts), len(parts) - (len(parts[-1]) < size), 1)):
+            whole = "".join(parts[:n])
+            if n and len(whole) >= LEAST:
+                padding = _PADDING.match(text, ends[n - 1])
+                readings.append((m.start(), padding.end(), whole + padding[0]))
+        if readings:
+            yield readings
+
+
+def _kind(letters: str) -> str | None:
+    """What the letters encode, as hexadecimal or as base64."""
+    data = [bytes.fromhex(letters)] if _HEXADECIMAL.fullmatch(letters) else []
+    data += [x for x in [unbase64(letters)] if x is not None]
+    return next((kind for x in data for kind, test in (("der", is_der), ("ssh", is_ssh)) if test(x)), None)
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans of candidates whose decoded structure was parsed."""
-    if _longest_word(text) < 24:
-        return []
     spans: list[Span] = []
     taken = Taken()
-    for m in _PEM.finditer(text):
-        data = unbase64("".join(m[2].split()))
-        if data is not None and (is_der(data) or is_ssh(data)):
-            spans.append(("pem", *m.span()))
-            taken.add(*m.span())
-    for m in _TOKEN.finditer(text):
-        if taken.free(*m.span()) and is_signed_token(m[1], m[2]):
-            spans.append(("jwt", *m.span()))
-            taken.add(*m.span())
-    candidates = [(m, bytes.fromhex(m[0])) for m in _LONG_HEX.finditer(text)]
-    candidates += [(m, data) for m in _BASE64.finditer(text) if (data := unbase64(m[0])) is not None]
-    for m, data in candidates:
+
+    def report(kind: str, start: int, end: int) -> None:
+        spans.append((kind, start, end))
+        taken.add(start, end)
+
+    if "-----BEGIN " in text:
+        for start, end, letters in framed(text):
+            if _kind(letters):
+                report("pem", start, end)
+    if "eyJ" in text:
+        for m in _TOKEN.finditer(text):
+            if taken.free(*m.span()) and is_signed_token(m[1], m[2]):
+                report("jwt", *m.span())
+    if _longest_word(text) < 16:
+        return spans
+    for m in _COLONS.finditer(text):
+        data = bytes.fromhex("".join(c for c in m[0] if c.isalnum()))
         kind = "der" if is_der(data) else "ssh" if is_ssh(data) else None
         if kind and taken.free(*m.span()):
-            spans.append((kind, *m.span()))
-            taken.add(*m.span())
+            report(kind, *m.span())
+    for readings in runs(text):
+        for start, end, letters in readings:
+            kind = _kind(letters) if taken.free(start, end) else None
+            if kind:
+                report(kind, start, end)
+                break
     return spans
 
 
