@@ -76,7 +76,7 @@ def with_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     row = "_row"
     while row.lower() in {c.lower() for c in df.columns}:
         row += "_"
-    return stored(df.withColumn(row, F.monotonically_increasing_id()), name, "snappy"), row
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def without_rows(numbered: DataFrame, row: str, spare: DataFrame, few: int) -> DataFrame:

@@ -6,8 +6,8 @@
 2. Classes go down ``n_trees`` independent trees. In the first level a node is the
    minwise token of one coordinate. A node of more than ``NODE`` classes, or of more
    than ``SHINGLES`` shingles in all, branches again, each class into the children of
-   two further tokens, so that a pair of the wanted similarity keeps more than one
-   common child on average.
+   ``CHILDREN`` further pairs of tokens, so that a pair of the wanted similarity keeps
+   more than one common child on average.
 3. A node small enough is compared exhaustively: every pair whose sizes and sketches
    leave the similarity possible joins the candidate graph of the node, and each
    component of that graph is a candidate group. Groups, not pairs, are passed on.
@@ -22,11 +22,10 @@ is connected across blocks. Members that are still outside the node's main compo
 are then compared with all of the node, block by block.
 
 Recall: a pair of similarity J shares a first-level node of a tree with probability J
-and keeps a common child at each later branching with 1 - (1 - J)^2. The number of trees
+and keeps a common child at each later branching with 1 - (1 - J^2)^3. The number of trees
 is set from the threshold so that a pair right at it, linked by nothing else, is missed
-with odds below 1e-6 where nodes branch three times after the first level (64 million
-times as many classes as a node takes, were they unlike); with six further branchings the odds
-are 2e-5 at 0.85 and 4e-4 at 0.8. A pair that shares a node but is missed by its sketch
+with odds below 1e-6 where nodes branch three times after the first level; with six further
+branchings the odds are 4e-6 at 0.85 and 2e-5 at 0.8. A pair that shares a node but is missed by its sketch
 has odds below 1e-6.
 
 Edge cases: a null or empty text, or one of white space only, has the empty set,
@@ -54,9 +53,10 @@ WORDS = 5
 SKETCH = 128
 MISS = 1e-6
 BRANCHINGS = 3
+CHILDREN = 3
 MAX_TREES = 64
 NODE = 1024
-SHINGLES = 1 << 22
+SHINGLES = 1 << 21
 DEPTH = 12
 SHRINK = 0.7
 PIVOTS = 8
@@ -106,7 +106,7 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
 def n_trees(percent: int) -> int:
     """So many that an isolated pair at the threshold is missed with odds of ``MISS`` after ``BRANCHINGS`` branchings."""
     j = percent / 100
-    kept = j * (1 - (1 - j) ** 2) ** BRANCHINGS
+    kept = j * (1 - (1 - j**2) ** CHILDREN) ** BRANCHINGS
     return min(MAX_TREES, int(np.ceil(np.log(MISS) / np.log(1 - kept)))) if kept < 1 else 1
 
 
@@ -207,9 +207,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     working("neardup", _HASHES.clear)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = [shingles(x).tobytes() for x in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["class"], pa.array(sets, pa.binary())], ["class", "shingles"])
+            sets = [shingles(x).tobytes() for x in batch.slice(at, 256)["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
 
 def confirmed_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -270,8 +269,8 @@ def _nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if not large.where(whole).isEmpty():
             stuck.append(large.where(whole).select("node", "class", "n", "size", "weight"))
         if depth < DEPTH:
-            # two further tokens, each a byte of the sketch, at places that change with tree and level
-            tokens = [f"xxhash64(node, {j}, substring(sketch, int(pmod(tree * 37 + {2 * depth + j}, {SKETCH})) + 1, 1))" for j in range(2)]
+            # further tokens of two bytes of the sketch, at places that change with tree and level
+            tokens = [f"xxhash64(node, {j}, substring(sketch, int(pmod(tree * 37 + {2 * (CHILDREN * depth + j)}, {SKETCH - 1})) + 1, 2))" for j in range(CHILDREN)]
             level = large.where(~whole).join(classes.select("class", "sketch"), "class").select(F.explode(F.array(*map(F.expr, tokens))).alias("node"), "tree", "class", "n", F.col("size").alias("parent"))
     large = stored(_union(stuck), "large") if stuck else None
     return _union(done if large is None else [*done, _blocks(large)]), large
@@ -308,12 +307,15 @@ def _links(rows: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int)
         .mapInArrow(_compare_nodes(percent, least_agreement(percent / 100)), "grp long, class long")
     )
     groups = stored(compared.distinct(), "groups")
-    wanted = stored(groups.select("class").distinct().join(classes.select("class", "rep"), "class").select("rep", "class"), "wanted")
-    # the texts of few classes are wanted: their rows are broadcast up to a size, else joined by a shuffle
+    wanted = stored(groups.select("class").distinct().join(classes.select("class", "digest", F.col("least.doc_id").alias("rep")), "class"), "wanted")
+    # the texts of few classes are wanted: their ids are broadcast up to a size, else joined by a shuffle; a null id stands for all texts without one
+    reps = wanted.select("rep").distinct()
     few = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["row"] == wanted["rep"]).select("class", "text")
+    texts = rows.join(F.broadcast(reps) if few else reps, rows["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
+    # an id may have other texts too, and a text may come several times
+    sets = texts.mapInArrow(_sets, "digest binary, shingles binary").join(wanted.select("digest", "class"), "digest").dropDuplicates(["class"]).select("class", "shingles")
     links = (
-        groups.join(texts.mapInArrow(_sets, "class long, shingles binary"), "class")
+        groups.join(sets, "class")
         .groupBy("grp")
         .agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
         .select("members")
@@ -336,7 +338,7 @@ def _rest(large: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _components(rows: DataFrame, percent: int) -> DataFrame:
-    """``row``, ``doc_id``, ``n_shingles``, ``class_id``, ``component_id`` and ``first_row`` of rows (row, doc_id, text).
+    """``row``, ``doc_id``, ``n_shingles``, ``digest``, ``class_id``, ``component_id`` and ``first_row`` of rows (row, doc_id, text).
 
     ``class_id`` and ``component_id`` are the least ids with the same set and in the component,
     ``first_row`` is the component's row with the least id; they are null without a set.
@@ -345,7 +347,7 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
     # equal sets have equal sketches, so any row of a class will do
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")
     firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("sketch", "sketch"), ("tokens", "tokens"))]
-    classes = stored(features.where("digest IS NOT NULL").groupBy("digest").agg(least, *firsts).withColumn("class", F.monotonically_increasing_id()).withColumn("rep", F.col("least.row")), "classes")
+    classes = stored(features.where("digest IS NOT NULL").groupBy("digest").agg(least, *firsts).withColumn("class", F.monotonically_increasing_id()), "classes")
     nodes, large = _nodes(classes)
     links = _links(rows, classes, nodes, percent)
     roots = connected_components(links)
@@ -361,7 +363,7 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``class_id`` of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _components(with_rows(rows, "texts")[0].withColumnRenamed("_row", "row"), percent)
+    out = _components(rows.withColumn("row", F.monotonically_increasing_id()), percent)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
