@@ -76,7 +76,7 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?\Z")
 _ATTACHED = re.compile(r"([+-]?\d[\d.,:/]*)[-°º]*([^\W\d_].*)\Z")
-_CACHE = 300_000
+_CACHE = 150_000
 BATCH = 1 << 12  # words looked at together
 _FILTER_BITS = 20
 _FACTORS = [U64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -322,16 +322,20 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("decontam", _SYMBOLS.clear)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            row_ids = batch["row_id"].to_numpy()
-            # about as many words at a time, at six letters a word
-            cuts = np.unique(np.searchsorted(np.cumsum([len(x or "") for x in texts]), np.arange(0, sum(len(x or "") for x in texts), 6 * BATCH), side="right"))
-            if known is None or len(known):
-                for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
-                    for windows in found(row_ids[start:end], texts[start:end]):
-                        yield pa.RecordBatch.from_arrays([*windows.columns, pa.nulls(windows.num_rows, pa.int64())], [*_NAMES, "doc_id"])
-            nothing = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch["row_id"], *nothing, batch["doc_id"]], [*_NAMES, "doc_id"])
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                texts, row_ids = part["text"].to_pylist(), part["row_id"].to_numpy()
+                ends = np.cumsum([len(x or "") for x in texts])
+                # about as many words at a time, at six letters a word
+                cuts = [0, *np.unique(np.searchsorted(ends, np.arange(6 * BATCH, ends[-1], 6 * BATCH), side="right")).tolist(), len(texts)]
+                windows = []
+                if known is None or len(known):
+                    windows = [w for start, end in itertools.pairwise(cuts) for w in found(row_ids[start:end], texts[start:end])]
+                if windows:
+                    table = pa.Table.from_batches(windows).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in table.columns), pa.nulls(table.num_rows, pa.int64())], [*_NAMES, "doc_id"])
+                nothing = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part["row_id"], *nothing, part["doc_id"]], [*_NAMES, "doc_id"])
 
     return docs.mapInArrow(run, _TYPES + ", doc_id long")
 
