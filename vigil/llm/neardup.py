@@ -256,22 +256,22 @@ def _nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     stuck: list[DataFrame] = []
     level = classes.select("class", "n", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "tree", "class", "n", F.lit(None).cast("long").alias("parent"))
     for depth in range(1, DEPTH + 1):
-        level = stored(level, "nodes")
-        # written first: a join of two tables, unlike one with an aggregate on its key, can split a hot node
-        sizes = stored(level.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1"), "sizes")
-        shared = stored(level.join(sizes, "node"), "nodes")
+        # what becomes of a node is told from its size alone. Sizes are written first: a join of
+        # two tables, unlike one with an aggregate on its key, can split a hot node
+        facts = [F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("parent").alias("of")]
+        sizes = stored(level.groupBy("node").agg(*facts).where("size > 1"), "sizes")
         fits = (F.col("size") <= NODE) & (F.col("weight") <= SHINGLES)
-        done.append(shared.where(fits).select("node", "class"))
-        large = shared.where(~fits)
-        if large.isEmpty():
+        whole = F.lit(depth == DEPTH) | F.coalesce(F.col("size") > SHRINK * F.col("of"), F.lit(False))
+        done.append(level.join(sizes.where(fits).select("node"), "node").select("node", "class"))
+        found = sizes.where(~fits).agg(F.count(F.when(whole, 1)).alias("whole"), F.count(F.when(~whole, 1)).alias("more")).first()
+        if found["whole"]:
+            stuck.append(level.join(sizes.where(~fits & whole), "node").select("node", "class", "n", "size", "weight"))
+        if not found["more"]:
             break
-        whole = F.lit(depth == DEPTH) | F.coalesce(F.col("size") > SHRINK * F.col("parent"), F.lit(False))
-        if not large.where(whole).isEmpty():
-            stuck.append(large.where(whole).select("node", "class", "n", "size", "weight"))
-        if depth < DEPTH:
-            # further tokens of two bytes of the sketch, at places that change with tree and level
-            tokens = [f"xxhash64(node, {j}, substring(sketch, int(pmod(tree * 37 + {2 * (CHILDREN * depth + j)}, {SKETCH - 1})) + 1, 2))" for j in range(CHILDREN)]
-            level = large.where(~whole).join(classes.select("class", "sketch"), "class").select(F.explode(F.array(*map(F.expr, tokens))).alias("node"), "tree", "class", "n", F.col("size").alias("parent"))
+        # further tokens of two bytes of the sketch, at places that change with tree and level
+        tokens = [f"xxhash64(node, {j}, substring(sketch, int(pmod(tree * 37 + {2 * (CHILDREN * depth + j)}, {SKETCH - 1})) + 1, 2))" for j in range(CHILDREN)]
+        branching = level.drop("parent").join(sizes.where(~fits & ~whole).select("node", F.col("size").alias("parent")), "node")
+        level = stored(branching.join(classes.select("class", "sketch"), "class").select(F.explode(F.array(*map(F.expr, tokens))).alias("node"), "tree", "class", "n", "parent"), "nodes")
     large = stored(_union(stuck), "large") if stuck else None
     return _union(done if large is None else [*done, _blocks(large)]), large
 
