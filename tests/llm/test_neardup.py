@@ -103,7 +103,7 @@ def test_groups_are_bounded_by_their_shingles(spark, monkeypatch):
 
 
 def test_more_trees_for_lower_thresholds():
-    assert neardup.n_trees(85) == 9 and neardup.n_trees(80) == 12 and neardup.n_trees(100) == 1
+    assert neardup.n_trees(85) == 13 and neardup.n_trees(80) == 19 and neardup.n_trees(100) == 1
 
 
 def test_one_row_of_each_component_stays(spark):
