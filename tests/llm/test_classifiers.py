@@ -83,3 +83,65 @@ def test_keep_good_returns_all_columns(spark, small):
     assert kept.columns == docs.columns
     wanted = {r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted}
     assert {r.doc_id for r in kept.collect()} == wanted
+
+
+def test_machine_scores_match_a_naive_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(np.array([2, 5, 7, 11, 30]), 0.3, rng.normal(size=5), rng.normal(size=(5, 4)))
+    for present in ([], [2], [5, 7], [2, 5, 7, 11, 30], [1, 2, 3, 30, 31]):
+        own = [model.kept.tolist().index(x) for x in present if x in model.kept]
+        total = model.bias + sum(model.weights[i] for i in own) + sum(float(model.factors[i] @ model.factors[j]) for i in own for j in own if i < j)
+        assert model.score(np.array(present, np.int64)) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+def test_first_step_follows_the_gradient():
+    """One adaptive step from zero sums moves each parameter against the sign of its gradient, told by differences."""
+    rng = np.random.default_rng(4)
+    docs = [np.sort(rng.choice(6, rng.integers(1, 5), replace=False)) for _ in range(40)]
+    y = rng.integers(0, 2, 40).astype(np.float32)
+    start = toxicity._descend(docs, y, np.arange(6), 3, 0, 0.1, 0.0, 5)
+    after = toxicity._descend(docs, y, np.arange(6), 3, 1, 0.1, 0.0, 5)
+
+    def loss(w, v):
+        model = toxicity.FactorizationMachine(start.kept, start.bias, w, v)
+        p = np.array([model.score(d) for d in docs])
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    h = 1e-5
+    for i in range(6):
+        step = np.eye(6)[i] * h
+        g = (loss(start.weights + step, start.factors) - loss(start.weights - step, start.factors)) / (2 * h)
+        assert np.sign(after.weights[i] - start.weights[i]) == -np.sign(g)
+        for f in range(3):
+            step = np.zeros((6, 3))
+            step[i, f] = h
+            g = (loss(start.weights, start.factors + step) - loss(start.weights, start.factors - step)) / (2 * h)
+            if abs(g) > 1e-4:
+                assert np.sign(after.factors[i, f] - start.factors[i, f]) == -np.sign(g)
+
+
+def test_terms_that_matter_only_together_are_learnt_among_many():
+    """The label is whether one of two words occurs without the other; thousands of others depend on it more by chance."""
+    rng = np.random.default_rng(1)
+    common = 1 / np.arange(1, 20_001)
+
+    def rows(n):
+        out = []
+        for _ in range(n):
+            a, b = rng.integers(2), rng.integers(2)
+            words = set((100 + rng.choice(20_000, 60, p=common / common.sum())).tolist()) | ({3} if a else set()) | ({7} if b else set())
+            out.append((int(a != b), np.array(sorted(words)), None))
+        return out
+
+    sample, unseen = rows(2500), rows(300)
+    alone = toxicity.chi_square([x for _, x, _ in sample], np.array([y for y, _, _ in sample], float), 1 << 15)
+    assert max(alone[3], alone[7]) < toxicity.EVIDENCE and (alone > max(alone[3], alone[7])).sum() > 2048
+    model = toxicity.fit(sample, 1 << 15)
+    assert {3, 7} <= set(model.kept.tolist())
+    assert np.mean([(model.score(x) >= 0.5) == y for y, x, _ in unseen]) > 0.95
+
+
+def test_families_of_like_texts_are_no_pairs():
+    words = [np.arange(k, k + 40) for k in (0, 100, 200) for _ in range(30)]
+    y = np.repeat([1.0, 0.0, 1.0], 30)
+    assert len(toxicity.paired_terms(words, y, np.full(90, 0.6), 300)) == 0

@@ -80,10 +80,19 @@ class LexicalTerms:
         self._cache[word] = terms = tuple(bucket(x, self.size) for x in found)
         return terms
 
+    def _of(self, text: str) -> list[tuple[int, ...]]:
+        get = self._cache.get
+        return [get(word) or self._terms(word) for word in set(_LETTERS.findall(text.lower()))]
+
     def present(self, text: str) -> np.ndarray:
         """The buckets that occur, ascending."""
-        get = self._cache.get
         found: set[int] = set()
-        for word in set(_LETTERS.findall(text.lower())):
-            found.update(get(word) or self._terms(word))
+        for terms in self._of(text):
+            found.update(terms)
         return np.array(sorted(found), np.int64)
+
+    def marked(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that occur, ascending, and whether each is that of a whole word."""
+        whole = {terms[0] for terms in self._of(text)}
+        at = self.present(text)
+        return at, np.fromiter((x in whole for x in at.tolist()), bool, len(at))
