@@ -4,6 +4,12 @@ Sliding windows look back from each event over the time span. To keep a group, o
 all events where there is no group, from being one sort in one task, time is cut into
 stretches of several spans; each stretch also sees the last span before it, as rows
 that count but do not report. A hot group is thereby as many tasks as it has stretches.
+
+Within a stretch the work grows with the events, not with events times window, for all
+but percentiles and carried fields: counts, also of distinct values, are running sums of
+events that begin and end; sums and averages add what a span's block has so far and what
+the block before it has left, without taking anything off; rules are seen by the time of
+their latest event.
 """
 
 from __future__ import annotations
@@ -93,8 +99,12 @@ def _scan(rule: Correlation, source: Source, rules: list[tuple[str, str]], colum
     if len(rules) == 1:
         tagged = frame.where(rules[0][1]).selectExpr("*", f"{quote(rules[0][0])} AS {RULE}")
     else:
-        tags = ", ".join(f"IF({sql}, {quote(name)}, NULL)" for name, sql in rules)
-        tagged = frame.where(" OR ".join(f"({sql})" for _, sql in rules)).selectExpr("*", f"explode(array_distinct(array_compact(array({tags})))) AS {RULE}")
+        # a rule of several conditions is met once; each predicate is evaluated once
+        named: dict[str, list[str]] = {}
+        for name, sql in rules:
+            named.setdefault(name, []).append(sql)
+        tags = ", ".join(f"IF({' OR '.join(f'({sql})' for sql in found)}, {quote(name)}, '')" for name, found in named.items())
+        tagged = frame.selectExpr("*", f"array_remove(array({tags}), '') AS {RULE}").withColumn(RULE, F.explode_outer(RULE)).where(f"{RULE} IS NOT NULL")
     select = [RULE, f"CAST({quote_name(source.time)} AS TIMESTAMP) AS {TIME}"]
     kinds: dict[str, str] = {}
     for name, c in columns.items():
@@ -139,6 +149,68 @@ def _measure(rule: Correlation, columns: dict[str, str], over: WindowSpec | None
     return wrap(F.percentile(number, F.lit(share)))
 
 
+def _counted(rule: Correlation, cut: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """``_value``: events, or distinct values, in the span up to each own event.
+
+    An event counts from its time until the span is over, or, where values are counted,
+    until the next event with its value, so that each value counts by its latest event.
+    """
+    micros = F.unix_micros(TIME)
+    until = micros + _micros(rule.seconds) + 1
+    counts = F.lit(True)
+    if rule.kind is Kind.VALUE_COUNT:
+        measured = [F.col(columns[f]) for f in rule.threshold.fields]  # type: ignore[union-attr]
+        one = measured[0] if len(measured) == 1 else F.when(F.coalesce(*measured).isNotNull(), F.struct(*measured))
+        cut = cut.repartition(*keys, "_stretch").withColumn("_one", one)
+        counts = F.col("_one").isNotNull()
+        until = F.least(F.lead(micros).over(Window.partitionBy(*keys, "_stretch", "_one").orderBy(micros)), until)
+    begin = F.struct(micros.alias("at"), counts.cast("int").alias("step"), F.col("_own").alias("own"))
+    end = F.struct(until.alias("at"), (-counts.cast("int")).alias("step"), F.lit(False).alias("own"))
+    steps = cut.withColumn("_until", end).withColumn("_step", F.explode(F.array(begin, F.col("_until"))))
+    over = Window.partitionBy(*keys, "_stretch").orderBy("_step.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.withColumn("_value", F.sum("_step.step").over(over)).withColumn("_own", F.col("_step.own"))
+
+
+def _summed(rule: Correlation, cut: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """``_value``: the sum or average of the span up to each own event.
+
+    Time is cut into blocks as long as the span. The span up to an event is the beginning
+    of its block and the end of the block before; the latter's sums from each event on are
+    sent one span later, where the first that isn't before the event has what is wanted.
+    """
+    measured = [F.col(columns[f]) for f in rule.threshold.fields]  # type: ignore[union-attr]
+    number = F.coalesce(*measured).try_cast("double") if len(measured) > 1 else measured[0].try_cast("double")
+    span, micros = _micros(rule.seconds), F.unix_micros(TIME)
+    parts = [*keys, "_stretch", "_block"]
+    rows = cut.repartition(*keys, "_stretch").withColumn("_number", number).withColumn("_at", micros).withColumn("_block", F.floor(F.col("_at") / span))
+    whole = (Window.unboundedPreceding, Window.currentRow)
+
+    def so_far(order: Column) -> Column:
+        over = Window.partitionBy(*parts).orderBy(order).rangeBetween(*whole)
+        return F.struct(F.sum("_number").over(over).alias("sum"), F.count("_number").over(over).alias("n"))
+
+    rows = rows.withColumn("_head", so_far(F.col("_at").asc())).withColumn("_tail", so_far(F.col("_at").desc()))
+    none = F.lit(None).cast("struct<sum:double,n:bigint>")
+    here = F.struct(F.col("_block").alias("block"), F.col("_at").alias("at"), F.col("_own").alias("own"), none.alias("tail"))
+    later = F.struct((F.col("_block") + 1).alias("block"), (F.col("_at") + span).alias("at"), F.lit(False).alias("own"), F.col("_tail").alias("tail"))
+    sent = rows.withColumn("_sent", F.explode(F.array(here, later))).withColumn("_own", F.col("_sent.own")).withColumn("_block", F.col("_sent.block"))
+    over = Window.partitionBy(*parts).orderBy(F.col("_sent.at").desc()).rangeBetween(*whole)
+    out = sent.withColumn("_before", F.last("_sent.tail", ignorenulls=True).over(over)).where("_own")
+    n = F.col("_head.n") + F.coalesce(F.col("_before.n"), F.lit(0))
+    both = F.coalesce(F.col("_before.sum"), F.lit(0.0)) + F.coalesce(F.col("_head.sum"), F.lit(0.0))
+    return out.withColumn("_value", F.when(n > 0, both if rule.kind is Kind.VALUE_SUM else both / n))
+
+
+def _met(rules: list[str], out: DataFrame, spec: WindowSpec, span: int) -> DataFrame:
+    """``_has<i>``: whether an event of the i-th rule is in the span up to the row, by the time of its latest one."""
+    micros = F.unix_micros(TIME)
+    over = spec.orderBy(micros).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    for i, r in enumerate(rules):
+        latest = F.max(F.when(F.col(RULE) == r, micros)).over(over)
+        out = out.withColumn(f"_has{i}", F.coalesce(latest >= micros - _micros(span), F.lit(False)))
+    return out
+
+
 def _carried(rule: Correlation, inputs: list[Matches], columns: dict[str, str]) -> dict[str, str]:
     names = {f for m in inputs for f in m.fields}
     return {n: c for n, c in columns.items() if n in names and n not in rule.group_by}
@@ -198,15 +270,22 @@ def sliding(rule: Correlation, events: DataFrame, columns: dict[str, str], carri
     cut = _stretched(events, rule.seconds)
     spec = Window.partitionBy(*keys, "_stretch")
     over = spec.orderBy(F.unix_micros(TIME)).rangeBetween(-_micros(rule.seconds), 0)
+    for c in carried.values():
+        cut = cut.withColumn(c + "_set", F.array_sort(F.collect_set(c).over(over)))
     if rule.expression is not None:
-        found = _expression(rule, cut, spec, over).where("_fires").withColumn("_value", F.lit(1).cast("long"))
+        found = _expression(rule, cut, spec, sliding=True).where("_fires").withColumn("_value", F.lit(1).cast("long"))
     elif rule.kind is Kind.TEMPORAL_ORDERED:
         found = _chains(rule.rules, cut, spec, rule.seconds).withColumn("_value", F.col("_length").cast("long"))
         found = found.where("_length > 0")
+    elif rule.kind is Kind.TEMPORAL:
+        found = _met(rule.rules, cut, spec, rule.seconds)
+        found = found.withColumn("_value", sum((F.col(f"_has{i}").cast("long") for i in range(1, len(rule.rules))), F.col("_has0").cast("long")))
+    elif rule.kind in (Kind.EVENT_COUNT, Kind.VALUE_COUNT):
+        found = _counted(rule, cut, keys, columns)
+    elif rule.kind in (Kind.VALUE_SUM, Kind.VALUE_AVG):
+        found = _summed(rule, cut, keys, columns)
     else:
         found = cut.withColumn("_value", _measure(rule, columns, over))
-    for c in carried.values():
-        found = found.withColumn(c + "_set", F.array_sort(F.collect_set(c).over(over)))
     found = found.where("_own")
     if rule.expression is None:
         found = found.where(f"_value {OPERATORS[rule.threshold.operator]} {rule.threshold.value!r}")  # type: ignore[union-attr]
@@ -263,18 +342,20 @@ def alternatives(node: object, wanted: bool = True) -> list[tuple[list[str], lis
     raise PlanError(f"unknown node {node}")
 
 
-def _expression(rule: Correlation, events: DataFrame, spec: WindowSpec, over: WindowSpec | None = None) -> DataFrame:
+def _expression(rule: Correlation, events: DataFrame, spec: WindowSpec, sliding: bool = False) -> DataFrame:
     """``_fires``: whether an alternative of the condition holds at the row.
 
     The row itself must be of a rule that the alternative wants; for ordered rules it
     ends a chain of all of them in the order in which the condition names them.
     """
-    over = over if over is not None else spec
     ordered = rule.kind is Kind.EXTENDED_TEMPORAL_ORDERED
     out, tests = events, []
     names = sorted({n for a in alternatives(rule.expression) for x in a for n in x})
-    for i, n in enumerate(names):
-        out = out.withColumn(f"_has{i}", F.coalesce(F.max(F.col(RULE) == n).over(over), F.lit(False)))
+    if sliding:
+        out = _met(names, out, spec, rule.seconds)
+    else:
+        for i, n in enumerate(names):
+            out = out.withColumn(f"_has{i}", F.coalesce(F.max(F.col(RULE) == n).over(spec), F.lit(False)))
     has = {n: F.col(f"_has{i}") for i, n in enumerate(names)}
     for k, (present, absent) in enumerate(alternatives(rule.expression)):
         if not present:

@@ -18,7 +18,9 @@ from vigil.sources.catalog import Catalog, Source
 from vigil.sources.rules import Collection
 
 #: Rules of one scan whose predicates go into one projection.
-CHUNK = 150
+CHUNK = 2000
+#: Bytes of a generated method beyond which the JVM only interprets it; Spark then compiles operators apart, in small methods.
+METHOD_LIMIT = 8000
 
 
 @dataclass
@@ -30,6 +32,7 @@ class Query:
     source: Source
     sql: str
     state: State
+    needed: str | None = None  # a weaker predicate that a scan can use, if there is one
 
     def frame(self) -> DataFrame:
         return self.source.frame.where(self.sql)
@@ -73,6 +76,8 @@ class Engine:
         if self.method not in correlate.METHODS:
             raise PlanError(f"unknown correlation method {self.method!r}")
         register(self.spark)
+        if int(self.spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535")) > METHOD_LIMIT:
+            self.spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
 
     # planning
 
@@ -86,7 +91,7 @@ class Engine:
         for i, tree in enumerate(rewritten.trees()):
             sql = compiler.sql(tree)
             if sql is not None:
-                found.append(Query(rewritten, i, source, sql, state))
+                found.append(Query(rewritten, i, source, sql, state, compiler.needed(tree)))
         return found
 
     def _guard(self, rule: AnyRule, make: Callable[[], list]) -> list:
@@ -150,8 +155,10 @@ class Engine:
     def tagged(self, rules: Iterable[Rule], columns: list[str] | None = None) -> DataFrame:
         """Events of all rules with ``rule_id``, ``rule_title``, ``level`` and ``tags``: a row for each match.
 
-        Rules of one source share its scan: events that no rule wants are dropped first,
-        then one projection tags each event with all the rules it matches.
+        Rules of one source share its scan. Where each of them needs something that the scan
+        can test by itself, the scan skips the rest. One projection then gives each event
+        the places of all the rules that it matches; each predicate is evaluated once, and
+        one that several rules share once for all.
         """
         by_source: dict[int, list[Query]] = {}
         for rule in rules:
@@ -187,18 +194,38 @@ class Engine:
         return correlate.plan(rewritten, inputs, method or self.method)
 
 
+def hits(predicates: list[str]) -> str:
+    """SQL for the places, from one on, of the predicates that hold."""
+    return f"array_remove(array({', '.join(f'IF({p}, {i}, 0)' for i, p in enumerate(predicates, 1))}), 0)"
+
+
+def scan_filter(frame: DataFrame, needed: list[str | None]) -> DataFrame:
+    """The rows that the scan can't rule out, if each alternative needs something that it can test."""
+    return frame.where(" OR ".join(dict.fromkeys(f"({n})" for n in needed))) if all(needed) else frame
+
+
 def _tag_scan(queries: list[Query], columns: list[str] | None) -> DataFrame:
     source = queries[0].source
-    wanted = [quote_name(c) for c in columns] if columns is not None else [quote_name(c) for c in source.frame.columns]
-    any_of = " OR ".join(f"({q.sql})" for q in queries)
+    names = columns if columns is not None else source.frame.columns
+    wanted = [quote_name(c) for c in names]
     tags = []
     for q in queries:
         m = q.rule.meta
         labels = ", ".join(quote(str(t)) for t in m.tags)
         # conditions of one rule are told apart only where there are several
         tags.append(
-            f"IF({q.sql}, named_struct('rule_id', {quote(q.rule.key)}, 'rule_title', {quote(m.title)}, "
-            f"'level', {quote(m.level.value) if m.level else 'CAST(NULL AS STRING)'}, 'tags', CAST(array({labels}) AS ARRAY<STRING>)), NULL)"
+            f"named_struct('rule_id', {quote(q.rule.key)}, 'rule_title', {quote(m.title)}, "
+            f"'level', {quote(m.level.value) if m.level else 'CAST(NULL AS STRING)'}, 'tags', CAST(array({labels}) AS ARRAY<STRING>))"
         )
-    scan = source.frame.where(any_of).selectExpr(f"explode(array_compact(array({', '.join(tags)}))) AS _rule", *wanted)
-    return scan.selectExpr("_rule.rule_id AS rule_id", "_rule.rule_title AS rule_title", "_rule.level AS level", "_rule.tags AS tags", *wanted)
+    place, rule = (_unused(n, names) for n in ("_place", "_rule"))
+    scan = scan_filter(source.frame, [q.needed for q in queries])
+    # an outer explode, so that no filter on the places comes below it and evaluates them again
+    found = scan.selectExpr(*wanted, f"{hits([q.sql for q in queries])} AS {place}").withColumn(place, F.explode_outer(place)).where(f"{place} IS NOT NULL")
+    tagged = found.selectExpr(f"element_at(array({', '.join(tags)}), {place}) AS {rule}", *wanted)
+    return tagged.selectExpr(f"{rule}.rule_id AS rule_id", f"{rule}.rule_title AS rule_title", f"{rule}.level AS level", f"{rule}.tags AS tags", *wanted)
+
+
+def _unused(name: str, names: list[str]) -> str:
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name

@@ -176,15 +176,24 @@ def _as_time(ref: Ref) -> str:
     return f"try_to_timestamp({ref.sql})" if ref.textual else ref.sql
 
 
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
 def _network(column: str, value: Network) -> str:
+    """Whole octets of the prefix are a prefix of the text, which comes first; what is left of it bounds one more octet."""
     net = value.network
     if net.version == 6:
         return f"{NETWORK_UDF}({column}, {quote(str(net))})"
-    octets = [f"try_cast(split_part({column}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
-    address = " + ".join(f"{o} * {256 ** (4 - i)}" for i, o in enumerate(octets, 1))
-    low = int(net.network_address)
-    shaped = r"{} RLIKE '^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$'".format(column)
-    return f"({shaped} AND ({address}) BETWEEN {low}L AND {low + net.num_addresses - 1}L)"
+    whole, rest = divmod(net.prefixlen, 8)
+    octets = str(net.network_address).split(".")
+    if whole == 4:
+        return f"{column} = {quote(str(net.network_address))}"
+    tests = [f"startswith({column}, {quote('.'.join(octets[:whole]) + '.')})"] if whole else []
+    tests.append(f"{column} RLIKE '^{_OCTET}(?:\\\\.{_OCTET}){{3}}$'")
+    if rest:
+        low = int(octets[whole])
+        tests.append(f"try_cast(split_part({column}, '.', {whole + 1}) AS INT) BETWEEN {low} AND {low + 2 ** (8 - rest) - 1}")
+    return "(" + " AND ".join(tests) + ")"
 
 
 def _leaf(ref: Ref, value: Value, fields: Fields) -> str:
@@ -284,6 +293,27 @@ class Compiler:
                 return found[0] if len(found) == 1 else "(" + " OR ".join(found) + ")"
         raise PlanError(f"unknown node {tree}")
 
+    def needed(self, tree: object | None) -> str | None:
+        """A predicate that holds wherever the tree does, of comparisons that a scan can test; None if there is none."""
+        match tree:
+            case Leaf(name, value) if name is not None:
+                ref = self.fields.find(name)
+                plain = ref is not None and ref.sql.startswith("`") and not isinstance(ref.kind, T.ArrayType)
+                if plain and (isinstance(value, Text) and value.cased and ref.textual and not value.has_wildcards and not value.placeholders):
+                    return self._node(tree)
+                if plain and ref.numeric and isinstance(value, Number | Compare) and not (isinstance(value, Compare) and not isinstance(value.number, Number)):
+                    return self._node(tree)
+                if plain and ref.numeric and isinstance(value, Text) and value.literal() is not None and re.fullmatch(r"[+-]?\d+(?:\.\d+)?", value.literal() or ""):
+                    return self._node(tree)
+            case And(args):
+                found = [n for a in args if (n := self.needed(a))]
+                return "(" + " AND ".join(found) + ")" if found else None
+            case Or(args):
+                found = [self.needed(a) for a in args]
+                if all(found):
+                    return "(" + " OR ".join(found) + ")"  # type: ignore[arg-type]
+        return None
+
     def _with_lists(self, args: Iterable[object]) -> list[str]:
         """Alternatives; equalities of one field become one IN."""
         out: list[str] = []

@@ -11,6 +11,9 @@ from functools import lru_cache
 from vigil.errors import ConditionError
 
 
+_OF_FILTER = re.compile(r"_filter\d+_")
+
+
 @dataclass(frozen=True)
 class Name:
     name: str
@@ -24,8 +27,8 @@ class Selector:
     pattern: str | None  # None: them
 
     def matching(self, names: list[str]) -> list[str]:
-        """Names with a leading underscore are hidden unless the pattern has one too."""
-        shown = [n for n in names if not n.startswith("_") or (self.pattern or "").startswith("_")]
+        """Names with a leading underscore are hidden unless the pattern has one too; names that filters brought along always are."""
+        shown = [n for n in names if not _OF_FILTER.match(n) and (not n.startswith("_") or (self.pattern or "").startswith("_"))]
         return shown if self.pattern is None else [n for n in shown if fnmatch.fnmatchcase(n, self.pattern.replace("[", "[[]"))]
 
 

@@ -63,25 +63,31 @@ class Filter(AnyRule):
         # the detections come along, under names of their own, so that pipelines rewrite them too
         prefix = f"_filter{sum(n.startswith('_filter') for n in out.detections)}_"
         names = {n: prefix + n for n in self.detections}
-        out.detections |= {names[n]: d for n, d in copy.deepcopy(self.detections).items()}
         condition = _renamed(self.condition, names)
-        out.conditions = [f"({c}) and ({condition})" for c in out.conditions]
+        out.detections |= {names[n]: d for n, d in copy.deepcopy(self.detections).items()}
+        if condition is not None:
+            out.conditions = [f"({c}) and ({condition})" for c in out.conditions]
         return out
 
 
-def _renamed(condition: str, names: dict[str, str]) -> str:
-    """The condition with its names replaced; selectors become the names that they match."""
-    def text(node: object) -> str:
+def _renamed(condition: str, names: dict[str, str]) -> str | None:
+    """The condition with its names replaced; selectors become the names that they match, and vanish with none, as do empty parts."""
+
+    def joined(word: str, parts: list[str | None]) -> str | None:
+        found = [p for p in parts if p is not None]
+        return "(" + f" {word} ".join(found) + ")" if found else None
+
+    def text(node: object) -> str | None:
         match node:
             case Name(n):
                 return names.get(n, n)
             case Selector(every, _):
-                found = node.matching(list(names))
-                return "(" + (" and " if every else " or ").join(names[n] for n in found) + ")" if found else "()"
+                return joined("and" if every else "or", [names[n] for n in node.matching(list(names))])
             case Not(arg):
-                return f"not {text(arg)}"
+                inner = text(arg)
+                return None if inner is None else f"not {inner}"
             case And(args) | Or(args):
-                return "(" + (" and " if isinstance(node, And) else " or ").join(map(text, args)) + ")"
+                return joined("and" if isinstance(node, And) else "or", list(map(text, args)))
         raise RuleError(f"unknown node {node}")
 
     return text(parse(condition))

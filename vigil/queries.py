@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigil.operators.engine import Engine
 from vigil.operators.output import detections
 from vigil.plans.pipeline import Pipeline, bundled
+from vigil.plans.validate import Validator
 from vigil.sources.catalog import Catalog
 from vigil.sources.rules import Collection
 from vigil.streaming.detect import run_once, stream_correlation, stream_matches
@@ -22,6 +23,8 @@ IP6 = "concat('2001:db8:', substring(md5(CAST(user_id AS STRING)), 1, 4), '::',
 HASH = "concat('MD5=', md5(CAST(user_id AS STRING)), ',EXTRA=1')"
 DASHED = "concat(event_type, CASE user_id % 3 WHEN 0 THEN ' -' WHEN 1 THEN ' /' ELSE ' +' END, 'mode ', user_id % 5)"
 CODED = "base64(CAST(concat(substring('abc', 1, CAST(user_id % 3 AS INT)), event_type, '!') AS BINARY))"
+LE16 = "regexp_replace(event_type, '(.)', concat('$1', char(0)))"
+BE16 = "regexp_replace(event_type, '(.)', concat(char(0), '$1'))"
 SQL_IP = "('10.' || (user_id * 7) % 256 || '.' || (event_id * 31) % 256 || '.' || event_id % 256)"
 SQL_DASHED = "(event_type || CASE user_id % 3 WHEN 0 THEN ' -' WHEN 1 THEN ' /' ELSE ' +' END || 'mode ' || user_id % 5)"
 SQL_CODED = "to_base64((substring('abc', 1, CAST(user_id % 3 AS INT)) || event_type || '!')::BLOB)"
@@ -34,7 +37,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     out = Catalog()
     out.add(
         table("events"), product="app", service="events", name="events", time="ts", json_columns=("props",), keyword_columns=("event_type", "props"),
-        derived={"ip": (IP, "string"), "dashed": (DASHED, "string"), "coded": (CODED, "string"), "ip6": (IP6, "string"), "hash": ("md5(CAST(user_id AS STRING))", "string"), "flagged": ("user_id % 2 = 0", "boolean"), "words": ("array(event_type, CAST(user_id AS STRING))", "array<string>")},
+        derived={"ip": (IP, "string"), "dashed": (DASHED, "string"), "coded": (CODED, "string"), "ip6": (IP6, "string"), "hash": ("md5(CAST(user_id AS STRING))", "string"), "flagged": ("user_id % 2 = 0", "boolean"), "words": ("array(event_type, CAST(user_id AS STRING))", "array<string>"), "le16": (f"concat(char(255), char(254), {LE16})", "string"), "be16": (BE16, "string")},
     )
     out.add(table("orders"), category="sales", service="orders", name="orders", time="o_orderdate")
     out.add(table("lineitem"), category="sales", service="lineitem", name="lineitem", time="l_shipdate")
@@ -98,6 +101,8 @@ def one(item: str) -> str:
     return f"sel: {{{item}}}\ncondition: sel"
 
 
+EXTRA = "{type: add_condition, conditions: {user_id|lt: 75}"
+
 SPECS: dict[str, Spec] = {
     # leaf predicates
     "eq_string": Spec("events", one("event_type: ERROR"), "lower(event_type) = 'error'"),
@@ -180,6 +185,34 @@ SPECS: dict[str, Spec] = {
     "state_table": Spec("customer", one("event_type: error"), "event_type = 'error'", "transformations: [{type: set_state, key: table, val: events}, {type: set_field, fields: [event_id, user_id, event_type]}]"),
     "nested_pipeline": Spec("events", one("Type: ERR"), "event_type = 'error'", "transformations: [{type: nest, items: [{type: field_name_mapping, mapping: {Type: event_type}}, {type: map_string, mapping: {ERR: error}}]}]"),
     "condition_expression": Spec("events", one("event_type: error"), "event_type = 'error' AND user_id >= 100", "transformations: [{type: add_condition, conditions: {user_id|gte: 100}, rule_conditions: {a: {type: logsource, product: app}, b: {type: contains_field, field: nothing}}, rule_cond_expr: a and not b}]"),
+    "utf16": Spec("events", one("le16|utf16|startswith: er"), "starts_with(event_type, 'er')"),
+    "utf16be": Spec("events", one("be16|utf16be|contains: rro"), "contains(event_type, 'rro')"),
+    "cidr_v4_host": Spec("events", one("ip|cidr: [10.7.31.1/32, 10.64.0.0/10]"), f"{SQL_IP} = '10.7.31.1' OR CAST(split_part({SQL_IP}, '.', 2) AS INT) BETWEEN 64 AND 127"),
+    "cidr_v4_octets": Spec("events", one("ip|cidr: 10.14.0.0/16"), f"{SQL_IP} LIKE '10.14.%'"),
+    "empty_selector": Spec("events", "sel: {event_type: error}\n_a: {user_id: 1}\ncondition: sel and not 1 of x*", "event_type = 'error'"),
+    "filter_hidden_names": Spec("events", one("event_type: error"), "event_type = 'error'", extra="---\ntitle: f\nlogsource: {product: app}\nfilter:\n  rules: [filter_hidden_names]\n  _low: {user_id|lt: 50}\n  condition: not 1 of them\n"),
+    "filter_and_hidden_selectors": Spec("events", "_a: {event_type: error}\n_b: {value|gte: 20}\ncondition: all of _*", "event_type = 'error' AND value >= 20 AND user_id >= 50", extra="---\ntitle: f\nlogsource: {product: app}\nfilter:\n  rules: any\n  low: {user_id|lt: 50}\n  condition: not low\n"),
+    "hashes_of_unknown_kinds": Spec("events", one("Hashes: ['MD5=c4ca4238a0b923820dcc509a6f75849b', 'BLAKE9=1']"), "md5(CAST(user_id AS VARCHAR)) = 'c4ca4238a0b923820dcc509a6f75849b'", "transformations: [{type: hashes_fields, valid_hash_algos: [MD5], field_prefix: h}, {type: field_name_mapping, mapping: {hMD5: hash}}]"),
+    # conditions of pipelines
+    "when_field": Spec("events", one("event_type: error"), "event_type = 'error' AND user_id < 75", f"transformations: [{EXTRA}, rule_conditions: [{{type: contains_field, field: event_type}}]}}]"),
+    "when_no_field": Spec("events", one("event_type: error"), "event_type = 'error'", f"transformations: [{EXTRA}, rule_conditions: [{{type: contains_field, field: value}}]}}]"),
+    "when_item": Spec("events", one("event_type: error"), "event_type = 'error' AND user_id < 75", f"transformations: [{EXTRA}, rule_conditions: [{{type: contains_detection_item, field: event_type, value: error}}]}}]"),
+    "when_applied": Spec("events", one("Type: error"), "event_type = 'error' AND user_id < 75", f"transformations: [{{id: named, type: field_name_mapping, mapping: {{Type: event_type}}}}, {EXTRA}, rule_conditions: [{{type: processing_item_applied, processing_item_id: named}}]}}]"),
+    "when_state": Spec("events", one("event_type: error"), "event_type = 'error' AND user_id < 75", f"transformations: [{{type: set_state, key: depth, val: 3}}, {EXTRA}, rule_conditions: [{{type: processing_state, key: depth, val: 2, op: gt}}]}}]"),
+    "when_tag": Spec("events", one("event_type: error"), "event_type = 'error' AND user_id < 75", f"transformations: [{EXTRA}, rule_conditions: [{{type: tag, tag: attack.t1059}}]}}]", extra="tags: [attack.t1059]\n"),
+    "when_attribute": Spec("events", one("event_type: error"), "event_type = 'error' AND user_id < 75", f"transformations: [{EXTRA}, rule_conditions: [{{type: rule_attribute, attribute: level, value: medium, op: gte}}]}}]", extra="level: high\n"),
+    "when_detection_rule": Spec("events", one("event_type: error"), "event_type = 'error' AND user_id < 75", f"transformations: [{EXTRA}, rule_conditions: [{{type: is_detection_rule}}]}}]"),
+    "when_correlation_rule": Spec("events", one("event_type: error"), "event_type = 'error'", f"transformations: [{EXTRA}, rule_conditions: [{{type: is_correlation_rule}}]}}]"),
+    "item_matches": Spec("events", one("event_type: error, user_id: 4"), "user_id = 4", "transformations: [{type: drop_detection_item, detection_item_conditions: [{type: match_string, cond: any, pattern: '^err'}]}]"),
+    "item_has_value": Spec("events", one("event_type: error, user_id: 4"), "event_type = 'error'", "transformations: [{type: drop_detection_item, detection_item_conditions: [{type: match_value, cond: any, value: 4}]}]"),
+    "item_has_wildcard": Spec("events", one("event_type: 'e*', user_id: [4, 5]"), "user_id IN (4, 5)", "transformations: [{type: drop_detection_item, detection_item_conditions: [{type: contains_wildcard, cond: any}]}]"),
+    "item_is_null": Spec("events", one("nothing: null, user_id: 4"), "user_id = 4", "transformations: [{type: drop_detection_item, detection_item_conditions: [{type: is_null, cond: all}]}]"),
+    "item_was_applied": Spec("events", one("Type: error, user_id: 4"), "user_id = 4", "transformations: [{id: named, type: field_name_mapping, mapping: {Type: event_type}}, {type: drop_detection_item, detection_item_conditions: [{type: processing_item_applied, processing_item_id: named}]}]"),
+    "item_by_state": Spec("events", one("event_type: error, user_id: 4"), "event_type = 'error' AND user_id = 4", "transformations: [{type: drop_detection_item, detection_item_conditions: [{type: processing_state, key: depth, val: 3}]}]"),
+    "field_not_excluded": Spec("events", one("type: error, user_id: 4"), "event_type = 'error' AND user_id = 4", "transformations: [{type: field_name_prefix, prefix: event_, field_name_conditions: [{type: exclude_fields, fields: [user_id, event_id, event_type]}]}]"),
+    "field_was_applied": Spec("events", one("t: error"), "event_type = 'error'", "transformations: [{id: named, type: field_name_mapping, mapping: {t: type}}, {type: field_name_prefix, prefix: event_, field_name_conditions: [{type: processing_item_applied, processing_item_id: named}]}, {type: set_field, fields: [event_id, user_id, event_type]}]"),
+    "field_by_state": Spec("events", one("type: error"), "event_type = 'error'", "transformations: [{type: set_state, key: log, val: raw}, {type: field_name_prefix, prefix: event_, field_name_conditions: [{type: processing_state, key: log, val: raw}, {type: include_fields, fields: [type]}], field_name_cond_op: and}]"),
+    "added_and_removed_fields": Spec("events", one("event_type: error"), "event_type = 'error'", "transformations: [{type: remove_field, field: event_type}, {type: add_field, field: [event_type]}]"),
 }
 for _name in ("change_logsource", "state_table"):
     SPECS[_name].sql = lambda: "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error'"  # type: ignore[method-assign]
@@ -312,6 +345,50 @@ def hundred_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+def thousand_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rules over line items in one scan, counted by rule."""
+    text = "\n---\n".join(
+        f"title: rule {i}\nname: q{i}\nlogsource: {SOURCES['lineitem']}\ndetection: {{sel: {{l_quantity|gte: {i % 50}, l_discount|lt: {(i % 7) / 100 + 0.01:.2f}, l_returnflag: {'ANR'[i % 3]}}}, condition: sel}}" for i in range(1000)
+    )
+    tagged = Engine(spark, catalog(spark, sf_dir)).tagged(list(Collection.from_yaml(text)), ["l_orderkey"])  # type: ignore[arg-type]
+    return tagged.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def carried_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correlation with the values of a field that its rule asks for."""
+    text = (
+        f"title: error\nname: error\nlogsource: {SOURCES['events']}\nfields: [event_type]\ndetection: {{sel: {{value|gte: 50}}, condition: sel}}\n"
+        "---\ntitle: c\nname: c\ncorrelation: {type: event_count, rules: error, timespan: 1d, group-by: [user_id], condition: {gte: 2}}\n"
+    )
+    collection = Collection.from_yaml(text)
+    return _comparable(Engine(spark, catalog(spark, sf_dir), method="tumbling").matches(collection["c"], collection)[0])
+
+
+def as_text(pipeline: str) -> Query:
+    """The texts of two rules, finished by a pipeline, and run as SQL."""
+    text = "\n---\n".join(f"title: {n}\nname: {n}\nlogsource: {SOURCES['events']}\nfields: [event_id]\ndetection: {{sel: {{event_type: {n}}}, condition: sel}}" for n in ("error", "click"))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+        out = Engine(spark, catalog(spark, sf_dir), Pipeline.from_yaml(pipeline)).run(Collection.from_yaml(text), "sql")
+        found = [spark.sql(x if isinstance(x, str) else x[1]) for x in ([out] if isinstance(out, str) else out)]  # type: ignore[union-attr]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+    return run
+
+
+def rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of three rules, by check."""
+    text = (
+        "title: one\nid: 9f1f4d2e-4f0a-4a7e-8d39-1f4c3f6f0a01\nrlated: x\ntags: [nothing.here, tlp.purple, attack.t1059, attack.t1059]\nreferences: [a, a]\nlogsource: {product: windows, service: sysmon}\n"
+        "detection: {sel: {EventID: 22, a|all: [x, y]}, other: {b: 'a**b'}, condition: sel}\n---\n"
+        "title: one\nauthour: me\nlogsource: {product: app, service: events}\ndetection: {sel: {c: '7', d: '*x*'}, condition: all of them}\n---\n"
+        "title: two\nid: 9f1f4d2e-4f0a-4a7e-8d39-1f4c3f6f0a01\nlogsource: {product: app, where: x}\ndetection: {sel: {c|windash|contains|all: [-a, -b]}, condition: sel and gone}\n"
+    )
+    found = Validator().validate(Collection.from_yaml(text, collect_errors=True))
+    return spark.createDataFrame([(i.check, i.severity) for i in found], "issue string, severity string").groupBy("issue", "severity").agg(F.count("*").alias("n"))
+
+
 def multi_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule with two conditions gives a query for each."""
     text = "title: t\nlogsource: {product: app, service: events}\nfields: [event_id]\ndetection:\n  a: {event_type: error}\n  b: {value|gte: 80}\n  condition: [a and b, a and not b]\n"
@@ -388,6 +465,18 @@ STREAMS: dict[str, tuple[Query, str]] = {
 OTHERS: dict[str, tuple[Query, str]] = {
     "multi_rule_fused": (fused_rules, " UNION ALL ".join(f"SELECT 'r{i}' AS rule_id, 'rule {i}' AS rule_title, '{lv}' AS level, event_id FROM events WHERE {w}" for i, (w, lv) in enumerate(zip(_MANY_WHERE, _LEVELS, strict=True)))),
     "hundred_rules_fused": (hundred_rules, " UNION ALL ".join(f"SELECT 'q{i}' AS rule_id, count(*) AS n FROM lineitem WHERE l_quantity >= {i % 50} AND l_discount < {(i % 7) / 100 + 0.01:.2f}::DOUBLE AND l_returnflag = '{'ANR'[i % 3]}' HAVING count(*) > 0" for i in range(100))),
+    "thousand_rules_fused": (
+        thousand_rules,
+        "SELECT 'q' || i AS rule_id, count(*) AS n FROM range(1000) t(i) JOIN lineitem ON l_quantity >= i % 50 AND l_discount < round((i % 7) / 100.0 + 0.01, 2) AND l_returnflag = substr('ANR', (i % 3 + 1)::INT, 1) GROUP BY 1",
+    ),
+    "carried_fields": (
+        carried_fields,
+        "SELECT user_id, epoch_us(b) AS window_start, epoch_us(b) + 86400000000 AS ts, n AS value, k AS event_type FROM (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS b, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS k FROM events WHERE value >= 50 GROUP BY ALL) WHERE n >= 2",
+    ),
+    "text_embed": (as_text("postprocessing: [{type: embed, prefix: 'SELECT count(*) AS n FROM (', suffix: ')'}]"), "SELECT count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT count(*) FROM events WHERE event_type = 'click'"),
+    "text_template": (as_text("postprocessing: [{type: simple_template, template: \"SELECT '{rule.title}' AS rule, max(event_id) AS top FROM ({query})\"}]"), "SELECT event_type AS rule, max(event_id) AS top FROM events WHERE event_type IN ('error', 'click') GROUP BY 1"),
+    "text_replace": (as_text("postprocessing: [{type: replace, pattern: 'SELECT `event_id`', replacement: 'SELECT event_id + 1 AS next'}]"), "SELECT event_id + 1 AS next FROM events WHERE event_type IN ('error', 'click')"),
+    "text_concat": (as_text("postprocessing: [{type: nest, items: [{type: embed, prefix: '(', suffix: ')'}]}]\nfinalizers: [{type: concat, separator: ' UNION ALL ', prefix: 'SELECT count(*) AS n FROM (', suffix: ')'}]"), "SELECT count(*) AS n FROM events WHERE event_type IN ('error', 'click')"),
     "multi_condition": (multi_condition, "SELECT event_id, CASE WHEN value >= 80 THEN 0 ELSE 1 END::INT AS query FROM events WHERE event_type = 'error'"),
     "detections_table": (
         all_detections,

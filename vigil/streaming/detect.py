@@ -97,8 +97,12 @@ def _any_alternative(rule: Correlation) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigil-")
+    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise PlanError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="vigil-")
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
