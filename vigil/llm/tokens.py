@@ -51,11 +51,12 @@ INTERVAL = 128
 BLOCK_IDS = 1 << 18
 CACHE = 700_000
 CACHE_BYTES = 1 << 26
-SEGMENT = 1 << 20
+SEGMENT = 1 << 21
 _MAGIC = b"VHF1"
 
 # White space as the tokenizers library has it, without space and line break.
 _ODD_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ODD_ASCII = "\t\x0b\x0c\r"
 _SPACE = re.escape(_ODD_SPACE) + " \n"
 # The fixed pattern of byte-level pre-tokenisation.
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -167,7 +168,7 @@ class Encoder:
 
     def _plain(self, text: str) -> bool:
         """Whether cutting into chunks is exact."""
-        if not self.chunked or any(s in text for s in self.special) or any(s in text for s in _ODD_SPACE):
+        if not self.chunked or any(s in text for s in self.special) or any(s in text for s in (_ODD_ASCII if text.isascii() else _ODD_SPACE)):
             return False
         return not any(r in text for r in _RUNS) and not text[-2:].isspace() if len(text) > 1 else True
 
@@ -301,8 +302,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids = enc.encode_all([x or "" for x in part["text"].to_pylist()])
                 n = [len(x) // enc.dtype.itemsize for x in ids]
                 key = np.array([xxhash.xxh3_64_intdigest(x) for x in ids], np.uint64).view(np.int64)
