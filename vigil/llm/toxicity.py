@@ -78,8 +78,11 @@ class FactorizationMachine:
 def chi_square(docs: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Dependence of each term's presence on the label."""
     n, positive = len(y), y.sum()
-    both = np.bincount(np.concatenate([d for d, z in zip(docs, y, strict=True) if z] or [np.empty(0, np.int64)]), minlength=size)
-    every = np.bincount(np.concatenate(docs), minlength=size)
+    both, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for at in range(0, n, 1024):
+        part = list(zip(docs[at : at + 1024], y[at : at + 1024], strict=True))
+        every += np.bincount(np.concatenate([d for d, _ in part]), minlength=size)
+        both += np.bincount(np.concatenate([d for d, z in part if z] or [np.empty(0, np.int64)]), minlength=size)
     expected = every * positive / n
     spread = np.maximum(every * (n - every) / n * positive * (n - positive) / n, 1e-9)
     return np.where(every > 1, n * (both - expected) ** 2 / spread, 0)
@@ -189,13 +192,14 @@ def fit(
     if not len(y) or y.min() == y.max():
         empty.bias = 0.0 if not len(y) else 40.0 * (2 * float(y[0]) - 1)
         return empty
-    docs = [at.astype(np.int64) for _, at, _ in sample]
+    docs = [at for _, at, _ in sample]
     alone = np.flatnonzero(chi_square(docs, y, size) >= evidence)
     base = _descend(docs, y, alone, 0, epochs, rate, decay, seed)
     p = np.array([base.score(d) for d in docs])
-    words = [d if mark is None else d[mark.astype(bool)] for d, (_, _, mark) in zip(docs, sample, strict=True)]
     chosen = np.random.default_rng(seed).permutation(len(y))[:PAIR_SAMPLE]
-    kept = np.union1d(alone, paired_terms([words[i] for i in chosen], y[chosen], p[chosen], size))
+    marks = [(docs[i].astype(np.int64), sample[i][2]) for i in chosen]
+    words = [d if mark is None else d[mark.astype(bool)] for d, mark in marks]
+    kept = np.union1d(alone, paired_terms(words, y[chosen], p[chosen], size))
     return _descend(docs, y, kept, factors, epochs, rate, decay, seed)
 
 
