@@ -79,3 +79,40 @@ def test_last_stage_and_run(spark, stages):
         start += len(x)
     assert sorted(map(tuple, after.collect())) == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, AT).collect())) == want
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _row long, row_id string"
+
+
+def odd_rows(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    item = spark.read.parquet(f"{AT}/benchmark.parquet").where("length(text) > 120").orderBy("item_id").first().text
+    rows = [(1, text, "en", "a"), (2, text, "en", "a"), (2, "another text " + text[:40], None, None), (3, "said " + item, "en", "b"), (3, "a clean row with that id", "en", "b")]
+    rows += [(None, text + " more", "de", ""), (None, item, "de", "b"), (None, "a clean row without an id", "de", "b"), (5, None, None, None), (5, "", "fr", "a"), (5, "", "fr", "a"), (6, "long " * 50_000, "fr", "a")]
+    return spark.createDataFrame([(*r, len(r[1] or ""), 7, "x") for r in rows], ODD)
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_take_odd_rows_and_empty_tables(spark, at):
+    """Nulls, empty and very long texts, ids that repeat or are null, and columns with names that operators use."""
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = odd_rows(spark)
+    before = [tuple(r) for r in docs.collect()]
+    out = stage(spark, docs, AT)
+    rows = out.collect()
+    if name == "token_ids":
+        assert len(rows) == len(before) and sum(r.doc_id is None for r in rows) == 3
+    else:
+        assert out.columns == docs.columns and all(tuple(r) in before for r in rows)
+    texts = {(r[0], r[1]) for r in before}
+    if name == "neardup":
+        kept = sorted(((r.doc_id, r.text) for r in rows), key=str)
+        # the second copy goes, with its id's other text left alone, as does the near-copy without an id
+        gone = texts - set(kept)
+        assert gone == {x for x in texts if x[1] and x[1].startswith("word0 ") and x[0] != 1}
+        assert sum(x == (5, "") for x in kept) == 2
+    if name == "decontam":
+        assert sorted(r.text for r in rows if r.doc_id == 3) == ["a clean row with that id"]
+        assert sorted(r.text for r in rows if r.doc_id is None and "word" not in r.text) == ["a clean row without an id"]
+        assert len(rows) == len(before) - 2
+    assert stage(spark, docs.limit(0), AT).count() == 0
