@@ -51,7 +51,7 @@ INTERVAL = 128
 BLOCK_IDS = 1 << 18
 CACHE = 700_000
 CACHE_BYTES = 1 << 26
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 _MAGIC = b"VHF1"
 
 # White space as the tokenizers library has it, without space and line break.
@@ -172,24 +172,23 @@ class Encoder:
             return False
         return not any(r in text for r in _RUNS) and not text[-2:].isspace() if len(text) > 1 else True
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has. Where pieces end is told from the lengths of tokens."""
         ids, counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
-        groups = [[p.encode("utf-8").decode("latin-1").translate(_LETTERS) for p in pieces[i : i + 1000]] for i in range(0, len(pieces), 1000)]
+        groups = [[p.decode("latin-1").translate(_LETTERS) for p in pieces[i : i + 1000]] for i in range(0, len(pieces), 1000)]
         for group, e in zip(groups, self.model.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
             ids.append(np.array(e.ids, self.dtype))
             ends = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))) + 1
             counts.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, chunks: list[str], several: list[bool]) -> None:
+    def _learn(self, chunks: list[bytes], several: list[bool]) -> None:
         """Append chunks to what is known. Those that may be of several pieces are cut by the pattern."""
-        cut = [_PIECE.findall(c) if s else (c,) for c, s in zip(chunks, several, strict=True)]
+        cut = [[p.encode("utf-8") for p in _PIECE.findall(c.decode("utf-8"))] if s else (c,) for c, s in zip(chunks, several, strict=True)]
         ids, counts = self._encode_pieces([p for x in cut for p in x])
         pieces = np.cumsum([0, *map(len, cut)])
         ends = np.concatenate([[0], np.cumsum(counts)])[pieces]
-        raw = [c.encode("utf-8") for c in chunks]
-        sizes = np.fromiter(map(len, raw), np.int32, len(raw))
+        sizes = np.fromiter(map(len, chunks), np.int32, len(chunks))
         n, first = len(chunks), len(self.known) - len(chunks)
         while len(self.starts) < first + n:
             self.starts, self.counts, self.byte_starts, self.byte_counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.byte_starts, self.byte_counts))
@@ -198,7 +197,7 @@ class Encoder:
         size = int(sizes.sum())
         while len(self.bytes) < self.byte_used + size:
             self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
-        self.bytes[self.byte_used : self.byte_used + size] = np.frombuffer(b"".join(raw), np.uint8)
+        self.bytes[self.byte_used : self.byte_used + size] = np.frombuffer(b"".join(chunks), np.uint8)
         self.byte_starts[first : first + n] = self.byte_used + np.cumsum(sizes) - sizes
         self.byte_counts[first : first + n] = sizes
         self.byte_used += size
@@ -228,7 +227,7 @@ class Encoder:
         if len(new):
             at = first[new[np.argsort(numbers[new])]]
             several = (np.maximum.reduceat(kind, starts) >= _MARK)[at]
-            self._learn([joined[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], several.tolist())
+            self._learn([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], several.tolist())
         number = numbers[inverse]
         counts = self.counts[number]
         stops = np.cumsum(counts)
@@ -302,8 +301,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 ids = enc.encode_all([x or "" for x in part["text"].to_pylist()])
                 n = [len(x) // enc.dtype.itemsize for x in ids]
                 key = np.array([xxhash.xxh3_64_intdigest(x) for x in ids], np.uint64).view(np.int64)
@@ -410,13 +409,13 @@ class Decoder:
         padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
         window = padded[:-3] << np.uint32(24) | padded[1:-2] << np.uint32(16) | padded[2:-1] << np.uint32(8) | padded[3:]
         at = np.cumsum(steps) - steps
-        out = np.empty((len(steps), interval), np.uint32)
+        out = np.empty((interval, len(steps)), np.uint32)
         last, mask, shift = len(window) - 1, (1 << self.width) - 1, 32 - self.width
         for k in range(interval):
             value = window[np.minimum(at >> 3, last)].astype(np.int64) >> (shift - (at & 7)) & mask
-            out[:, k] = self.ids[value]
+            out[k] = self.ids[value]
             at += self.sizes[value]
-        return out.reshape(-1)[:count]
+        return out.T.reshape(-1)[:count]
 
     def block(self, payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         """Document ids, their lengths, and all ids of the block."""
