@@ -23,11 +23,12 @@ def brute(rows, wanted):
         return c, w, b
 
     out = {}
+    vocabulary = len({w for x in ids.values() for w in x[1:].tolist()}) + 1
     for i, (doc_id, _) in enumerate(rows):
         losses = []
         for members in ([j for j, (d, _) in enumerate(rows) if d in wanted], range(len(rows))):
             c, w, b = model(members, i)
-            total = sum(w.values()) + lm.UNIGRAM_SMOOTHING * lm.WORDS
+            total = sum(w.values()) + lm.UNIGRAM_SMOOTHING * vocabulary
             terms = [
                 -math.log((b[p] + lm.BIGRAM_SMOOTHING * (w[y] + lm.UNIGRAM_SMOOTHING) / total) / (c[x] + lm.BIGRAM_SMOOTHING))
                 for x, y, p in zip(ids[i][:-1].tolist(), ids[i][1:].tolist(), pairs[i].tolist(), strict=True)
@@ -76,8 +77,8 @@ def test_real_strings_are_counted_apart(spark, monkeypatch):
             c[0].update(texts[d][:-1])
             c[1].update(texts[d][1:])
             c[2].update(zip(texts[d], texts[d][1:], strict=False))
-    vocabulary = len(counts["background"][1])
-    assert vocabulary > lm.WORDS
+    vocabulary = len(counts["background"][1]) + 1
+    assert vocabulary > 1 << 18
     want = {}
     for d, words in texts.items():
         for name, (c, w, b) in counts.items():
@@ -93,3 +94,18 @@ def test_real_strings_are_counted_apart(spark, monkeypatch):
     assert len(got) == len(rows)
     for r in got:
         assert np.allclose([r.target_loss, r.background_loss], [want[r.doc_id, "target"], want[r.doc_id, "background"]], rtol=0, atol=1e-9)
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    words = "a b a c b a d a b".split()
+    one = lm.word_ids(" ".join(words))
+    distinct = sorted(set(one[1:].tolist()))
+    totals, vocabulary = len(words), len(distinct) + 1
+    for context in (0, *distinct):
+        sums = 0.0
+        for word in (*distinct, None):
+            c = sum(x == context for x in one[:-1].tolist())
+            b = sum(x == context and y == word for x, y in zip(one[:-1].tolist(), one[1:].tolist(), strict=True))
+            w = sum(y == word for y in one[1:].tolist())
+            sums += (b + lm.BIGRAM_SMOOTHING * (w + lm.UNIGRAM_SMOOTHING) / (totals + lm.UNIGRAM_SMOOTHING * vocabulary)) / (c + lm.BIGRAM_SMOOTHING)
+        assert abs(sums - 1) < 1e-12

@@ -7,8 +7,8 @@ grows with the corpus and is never in one place. Documents are gathered in chunk
 about ``CHUNK`` words. Each chunk asks with its distinct keys and own counts, so that
 a common key comes once a chunk; slices of the table, ranges of keys, sum them and
 answer each chunk with the totals. The number of slices grows with the words. The
-vocabulary is the distinct words of the corpus, but ``WORDS`` at least, so that small
-corpora leave room for unseen words.
+vocabulary is the distinct words of the corpus and one that stands for all others, so
+that the probabilities of each context sum to one.
 
 A document's score is the mean over its words of target loss less background loss:
 the lower, the more like the target. A document's own counts are taken out of the
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import U64, mix64, n_partitions, stored, working
 
-WORDS = 1 << 18
 UNIGRAM_SMOOTHING = 0.5
 BIGRAM_SMOOTHING = 20.0
 BROADCAST_IDS = 2_000_000
@@ -278,7 +277,7 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     number = F.col("chunk").bitwiseAND(2**33 - 1) * ((facts["last"] or 0) + 1) + F.shiftright("chunk", 33)
     tasks = max(parts, facts["n"] // 4)
     together = both.repartitionById(tasks, (number % tasks).cast("int")).sortWithinPartitions("chunk", "slice")
-    out = together.mapInArrow(_scores(totals, max(WORDS, distinct)), "doc_id long, n_words long, target_loss double, background_loss double")
+    out = together.mapInArrow(_scores(totals, distinct + 1), "doc_id long, n_words long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
