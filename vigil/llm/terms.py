@@ -17,7 +17,7 @@ def shape(word: str) -> str:
     out = []
     for c in word:
         out.append(("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c)
-    return _RUNS.sub(r"\1", "".join(out))[:12]
+    return _RUNS.sub(r"\1", "".join(out))
 
 
 def bucket(text: str, size: int) -> int:
