@@ -52,6 +52,21 @@ def test_chunks_with_equal_hashes_encode_as_the_library_does(path):
         assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(batch)] == direct(path, batch)
 
 
+def test_texts_whose_chunks_share_a_key_go_to_the_tokenizer(path, monkeypatch):
+    keys = tokens.Encoder._keys
+
+    def few(joined, words, starts, sizes):
+        found, long = keys(joined, words, starts, sizes)
+        found[long] = np.uint64(1) << np.uint64(63)
+        return found, long
+
+    monkeypatch.setattr(tokens.Encoder, "_keys", staticmethod(few))
+    texts = ["abcdefgh abcdefghi", "abcdefghi", "short words only", "x" * 90 + "y", "x" * 90 + "z", "abcdefgh"]
+    enc = tokens.Encoder(path)
+    for batch in (texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(batch)] == direct(path, batch)
+
+
 def test_cache_is_forgotten_when_full(path, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_BYTES", 40)
     enc = tokens.Encoder(path)

@@ -79,26 +79,14 @@ for _b in range(128):
     _c = chr(_b)
     _CLASS[_b] = _LETTER if _c.isalpha() else _DIGIT if _c.isdigit() else _BLANK if _c == " " else _BREAK if _c == "\n" else _MARK if _c == "'" or _c in _ODD_SPACE else _SIGN
 
-_RANDOM = np.random.default_rng(50257)
-_BYTE_VALUES = _RANDOM.integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the lowest bytes of a word
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FAR = 64  # bytes of a chunk beyond which the rest is looked at by itself
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, as many as were needed so far."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> None:
-        if len(cls.up) < n:
-            size = max(n, 1 << 20)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(cls, name, np.cumprod(factors, dtype=np.uint64))
+def _words(data: bytes | np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian words, but for the last seven places."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
 def _chunks(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +118,9 @@ class Encoder:
     Byte-level pre-tokenisation cuts texts into pieces that are encoded one by one.
     Texts in which white space comes in runs of three or more, in odd characters, or in a
     run at the end go to the tokenizer as they are. All others are cut into chunks
-    that begin and end with pieces; chunks are found by 64-bit hashes, all of a
-    batch at once, and only new ones are cut into pieces by the fixed pattern and
-    encoded by the tokenizer's model. The bytes of every chunk are then compared with
+    that begin and end with pieces. A chunk of less than eight bytes is its own key; longer
+    ones are found by 64-bit hashes. Only new ones are cut into pieces by the fixed pattern and
+    encoded by the tokenizer's model. The bytes of every longer chunk are then compared with
     those that its hash stands for; texts with a chunk that differs go to the tokenizer.
     """
 
@@ -195,7 +183,7 @@ class Encoder:
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         size = int(sizes.sum())
-        while len(self.bytes) < self.byte_used + size:
+        while len(self.bytes) < self.byte_used + size + 8:
             self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         self.bytes[self.byte_used : self.byte_used + size] = np.frombuffer(b"".join(chunks), np.uint8)
         self.byte_starts[first : first + n] = self.byte_used + np.cumsum(sizes) - sizes
@@ -209,15 +197,12 @@ class Encoder:
     def _cut_and_encode(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode("utf-8") for t in texts]
         sizes = np.array([len(r) for r in raw])
-        joined = b"".join(raw)
-        data = np.frombuffer(joined, np.uint8)
+        joined = b"".join([*raw, bytes(8)])
+        data, words = np.frombuffer(joined, np.uint8)[:-8], _words(joined)
         doc_starts = np.cumsum(sizes) - sizes
         starts, kind = _chunks(data, doc_starts)
         ends = np.append(starts[1:], len(data))
-        _Powers.upto(len(data))
-        running = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * _Powers.up[: len(data)], out=running[1:])
-        hashes = mix64((running[ends] - running[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
+        hashes, long = self._keys(joined, words, starts, ends - starts)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHE or self.byte_used > CACHE_BYTES:
             self._forget()
@@ -235,16 +220,46 @@ class Encoder:
         edges = np.concatenate([[0], stops])[np.append(np.searchsorted(starts, doc_starts), len(starts))] * self.dtype.itemsize
         packed = ids.tobytes()
         out = [packed[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        unlike = np.flatnonzero(~self._same(data, number, starts, ends - starts))
+        unlike = self._unlike(joined, words, number, starts, ends - starts, long)
         for i in np.unique(np.searchsorted(doc_starts, starts[unlike], side="right") - 1).tolist():
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
         return out
 
-    def _same(self, data: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Whether each chunk of ``data``, all of which is chunks, has the bytes that its number stands for."""
-        at = np.repeat(self.byte_starts[number] - starts.astype(np.int32), sizes) + np.arange(len(data), dtype=np.int32)
-        equal = self.bytes.take(at, mode="clip") == data
-        return (self.byte_counts[number] == sizes) & (True if equal.all() else np.logical_and.reduceat(equal, starts))
+    @staticmethod
+    def _keys(joined: bytes, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A key for each chunk: its bytes and length, or a hash where it has eight bytes or more; and which have."""
+        keys = (words[starts] & _MASKS[np.minimum(sizes, 8)]) | (np.minimum(sizes, 8) % 8).astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(sizes >= 8)
+        start, size = starts[long], sizes[long]
+        found = mix64(keys[long] * _FACTOR + size.astype(np.uint64))
+        for at in range(8, FAR, 8):
+            more = np.flatnonzero(size > at)
+            if not len(more):
+                break
+            word = words[start[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]
+            found[more] = mix64((found[more] ^ word) * _FACTOR)
+        for i in np.flatnonzero(size > FAR).tolist():
+            found[i] ^= np.uint64(xxhash.xxh3_64_intdigest(joined[start[i] + FAR : start[i] + size[i]]))
+        keys[long] = found
+        return keys, long
+
+    def _unlike(self, joined: bytes, words: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: np.ndarray, long: np.ndarray) -> np.ndarray:
+        """The chunks that don't have the bytes that their numbers stand for. A short key is the bytes, if lengths agree."""
+        same = self.byte_counts[number] == sizes
+        known = _words(self.bytes)
+        long = long[same[long]]
+        start, size, place = starts[long], sizes[long], self.byte_starts[number[long]]
+        equal = np.ones(len(long), bool)
+        for at in range(0, FAR, 8):
+            more = np.flatnonzero(size > at)
+            if not len(more):
+                break
+            mask = _MASKS[np.minimum(size[more] - at, 8)]
+            equal[more] &= (words[start[more] + at] & mask) == (known[place[more] + at] & mask)
+        for i in np.flatnonzero(size > FAR).tolist():
+            equal[i] &= joined[start[i] + FAR : start[i] + size[i]] == self.bytes[place[i] + FAR : place[i] + size[i]].tobytes()
+        same[long] = equal
+        return np.flatnonzero(~same)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
