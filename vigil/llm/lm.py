@@ -123,9 +123,9 @@ class Chunk:
     """The n-grams of a chunk: ``keys`` are its words, its contexts and its bigrams, and an occurrence is a place in each."""
 
     def __init__(self, wanted: bytes, sizes: bytes, vocabulary: bytes, at: bytes) -> None:
-        ids, places, lengths = _unpack(vocabulary, U64), _unpack(at, np.int32).astype(np.int64), _unpack(sizes, np.int64)
+        ids, places, lengths = _unpack(vocabulary, U64), _unpack(at, np.int32), _unpack(sizes, np.int64)
         self.n = lengths - 1
-        self.doc = np.repeat(np.arange(len(lengths)), self.n)
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), self.n)
         self.wanted = np.frombuffer(wanted, np.uint8).astype(bool)
         inside = np.ones(len(places), bool)
         inside[np.cumsum(lengths) - lengths] = False
@@ -134,8 +134,9 @@ class Chunk:
         pairs, pair = np.unique(bigram_keys(ids[context], ids[word]), return_inverse=True)
         self.n_ids = len(ids)
         self.keys = np.concatenate([ids, mix64(ids ^ _FOLLOWED), pairs])
-        self.word, self.context, self.pair = word, context + len(ids), pair + 2 * len(ids)
-        self.order = np.argsort(self.keys, kind="stable")
+        # places in the keys, of which a chunk has far less than 2^31
+        self.word, self.context, self.pair = word, context + np.int32(len(ids)), (pair + 2 * len(ids)).astype(np.int32)
+        self.order = np.argsort(self.keys, kind="stable").astype(np.int32)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """How often each key occurs in all and in the wanted documents."""
@@ -145,7 +146,7 @@ class Chunk:
 
     def losses(self, background: np.ndarray, target: np.ndarray, totals: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log probability of each document's words by the target and by the background."""
-        own = [times(self.doc * len(self.keys) + x) for x in (self.pair, self.context, self.word)]
+        own = [times(self.doc.astype(np.int64) * len(self.keys) + x).astype(np.int32) for x in (self.pair, self.context, self.word)]
         found = []
         for counts, total, out in ((target, totals[1], self.wanted[self.doc]), (background, totals[0], True)):
             bigrams, contexts, words = (counts[x] - o * out for x, o in zip((self.pair, self.context, self.word), own, strict=True))
@@ -226,7 +227,7 @@ def _scores(totals: tuple[int, int], vocabulary: int) -> object:
         counts = []
         for name in ("background", "target"):
             back = np.empty(len(own.keys), np.int64)
-            back[own.order] = np.concatenate([_unpack(a[name], np.int64) for a in answers])
+            back[own.order] = np.concatenate([_unpack(a.pop(name), np.int64) for a in answers])
             counts.append(back)
         target, background = own.losses(counts[0], counts[1], totals, vocabulary)
         return pa.RecordBatch.from_arrays([pa.array(part["docs"], pa.int64()), pa.array(own.n), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
