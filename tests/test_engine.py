@@ -264,6 +264,9 @@ def test_sums_are_added_in_order_of_time(spark):
     rows = [(1, 11, "a", 0.3), (1, 10, "a", 0.2), (1, 9, "a", 0.1)]
     assert correlate(spark, rows, "type: value_sum, rules: a, timespan: 10m, group-by: [k], condition: {gt: 0.6, field: v}") == [(1, 11, 0.1 + 0.2 + 0.3)]
     assert correlate(spark, rows, "type: value_avg, rules: a, timespan: 10m, group-by: [k], condition: {gt: 0.2, field: v}") == [(1, 11, (0.1 + 0.2 + 0.3) / 3)]
+    rows = [(k, t - 9, n, v) for k, t, n, v in rows]
+    assert correlate(spark, rows, "type: value_sum, rules: a, timespan: 10m, group-by: [k], condition: {gt: 0.6, field: v}", "tumbling") == [(1, 10, 0.1 + 0.2 + 0.3)]
+    assert correlate(spark, rows, "type: value_avg, rules: a, timespan: 10m, group-by: [k], condition: {gt: 0.2, field: v}", "tumbling") == [(1, 10, (0.1 + 0.2 + 0.3) / 3)]
 
 
 def test_sums_of_stretches_of_many_events(spark):

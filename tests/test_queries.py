@@ -32,6 +32,12 @@ def test_same_as_sql(spark, small, con, name):
     assert rows == other
 
 
+def test_ties_are_rounded_as_in_sql(spark, con):
+    ties = con.sql("SELECT k / 800.0::DOUBLE AS x, round(x, 4) AS value FROM range(-2000, 2000) t(k)").fetchall()
+    got = queries._comparable(spark.createDataFrame([(x, x) for x, _ in ties], "x double, value double").selectExpr("value", "struct(x) AS x"))
+    assert {r.x.x: r.value for r in got.collect()} == dict(ties)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

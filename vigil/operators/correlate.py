@@ -256,8 +256,15 @@ def tumbling(rule: Correlation, events: DataFrame, columns: dict[str, str], carr
             found = found.where(f"_value {OPERATORS[rule.threshold.operator]} {rule.threshold.value!r}")  # type: ignore[union-attr]
         end = F.timestamp_micros(F.unix_micros("_start") + _micros(rule.seconds))
         return found.select(*_named(rule, columns), F.col("_start").alias("window_start"), end.alias("ts"), F.col("_value").alias("value"))
-    extra = [F.array_sort(F.collect_set(c)).alias(c + "_set") for c in carried.values()]
-    grouped = events.groupBy(window, *keys).agg(_measure(rule, columns, None).alias("_value"), *extra)
+    if rule.kind in (Kind.VALUE_SUM, Kind.VALUE_AVG):
+        spec = Window.partitionBy("_window", *keys).orderBy(TIME, "_number")
+        whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        cut = events.withColumn("_window", window).withColumn("_number", _number(rule, columns))
+        sets = {c + "_set": F.array_sort(F.collect_set(c).over(whole)) for c in carried.values()}
+        grouped = cut.withColumns({"_value": _measure(rule, columns, whole), **sets, "_first": F.row_number().over(spec)}).where("_first = 1")
+    else:
+        extra = [F.array_sort(F.collect_set(c)).alias(c + "_set") for c in carried.values()]
+        grouped = events.groupBy(window, *keys).agg(_measure(rule, columns, None).alias("_value"), *extra)
     grouped = grouped.where(f"_value {OPERATORS[rule.threshold.operator]} {rule.threshold.value!r}")  # type: ignore[union-attr]
     return grouped.select(
         *_named(rule, columns), F.col("_window.start").alias("window_start"), F.col("_window.end").alias("ts"), F.col("_value").alias("value"), *[F.col(c + "_set").alias(n) for n, c in carried.items()]

@@ -249,10 +249,13 @@ def correlated(kind: str, rules: str, timespan: str, condition: str = "", group:
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """Times as seconds and values rounded, so that any system can compare them."""
+    """Times as microseconds and values rounded, so that any system can compare them.
+
+    Ties are rounded as the SQL does, by the product and not by the decimals of the double.
+    """
     kinds = dict(df.dtypes)
     times = {c: F.unix_micros(c) for c, t in kinds.items() if t == "timestamp"}
-    rounded = {c: F.round(c, 4) for c, t in kinds.items() if t == "double"}
+    rounded = {c: F.round(F.col(c) * 10000) / 10000 for c, t in kinds.items() if t == "double"}
     arrays = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c, t in kinds.items() if t.startswith("array")}
     return df.withColumns(times | rounded | arrays)
 
