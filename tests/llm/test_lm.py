@@ -1,9 +1,13 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vigil.llm import lm
+from vigil.llm.common import stored
 
 DOCS = "doc_id long, text string, wanted string, score int"
 
@@ -109,3 +113,33 @@ def test_probabilities_of_a_context_sum_to_one():
             w = sum(y == word for y in one[1:].tolist())
             sums += (b + lm.BIGRAM_SMOOTHING * (w + lm.UNIGRAM_SMOOTHING) / (totals + lm.UNIGRAM_SMOOTHING * vocabulary)) / (c + lm.BIGRAM_SMOOTHING)
         assert abs(sums - 1) < 1e-12
+
+
+def test_what_moves_between_tasks_is_small():
+    """A key with its counts takes less than its 8 bytes and a counter would, and totals come back as they went."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 50_000) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts), pa.array([i % 3 == 0 for i in range(300)])], ["doc_id", "text", "wanted"])
+    (chunk,) = lm._chunks(iter([batch]))
+    part = chunk.to_pylist()[0]
+    own = lm.Chunk(part["wanted"], part["sizes"], part["vocabulary"], part["at"])
+    assert len(part["at"]) < 2 * part["words"]
+    (asks,) = lm._asks(8)(iter([chunk.append_column("chunk", pa.array([0], pa.int64()))]))
+    bytes_asked = sum(len(x) for name in asks.schema.names if name not in ("chunk", "slice") for x in asks[name].to_pylist())
+    assert bytes_asked < 9 * len(own.keys)
+    assert len(own.keys) == len({w for t in texts for w in t.split()}) + 1 + len({p for t in texts for p in zip(["", *t.split()], t.split(), strict=False)})
+    (answer,) = lm._answers(iter([asks.slice(0, 1)]))
+    assert sum(lm._unpack(answer["totals"][0].as_py(), *lm._COUNTS)[0]) == own.counts()[0][own.order][: len(lm._unpack(asks["keys"][0].as_py(), np.uint64)[0])].sum()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Disk of a shuffle is free once its table is written."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum(f.getName().endswith(".data") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+    before = count()
+    rows = stored(spark.range(1000).repartitionById(3, (F.col("id") % 3).cast("int")), "rows")
+    for _ in range(50):
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before and rows.count() == 1000

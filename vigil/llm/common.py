@@ -32,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """Write ``df`` as Parquet. The shuffle files that this took are removed at its end, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
@@ -40,7 +54,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    write(df, path, codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

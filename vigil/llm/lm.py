@@ -5,7 +5,8 @@ marked as wanted. Both are bigram models with the same smoothing over one shared
 vocabulary. Words, contexts and bigrams are counted by 64-bit keys in a table that
 grows with the corpus and is never in one place. Documents are gathered in chunks of
 about ``CHUNK`` words. Each chunk asks with its distinct keys and own counts, so that
-a common key comes once a chunk; slices of the table, ranges of keys, sum them and
+a common key comes once a chunk; a word is one key with two counts, as word and as context.
+What moves between tasks is packed and compressed by the workers. Slices of the table, ranges of keys, sum them and
 answer each chunk with the totals. The number of slices grows with the words. The
 vocabulary is the distinct words of the corpus and one that stands for all others, so
 that the probabilities of each context sum to one.
@@ -21,6 +22,7 @@ and an id is wanted if any of its labels says so; other columns are not read.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,6 @@ BROADCAST_IDS = 2_000_000
 CHUNK = 1 << 20
 SLICE = 1 << 21  # words a slice of the table, in the mean
 _CACHE = 400_000
-_FOLLOWED = U64(0xA0761D6478BD642F)
 _FACTOR = U64(0xD6E8FEB86659FD93)
 
 
@@ -74,14 +75,26 @@ def times(values: np.ndarray) -> np.ndarray:
     return n[at]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """By planes of bytes, which compress better."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+_CODEC = pa.Codec("zstd", 1)
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length by planes of bytes, compressed here, so that the JVM only holds and moves what is left."""
+    planes = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns)
+    return struct.pack("<I", len(planes)) + _CODEC.compress(planes, asbytes=True)
+
+
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(x).itemsize for x in kinds]
+    (length,) = struct.unpack_from("<I", data)
+    planes = np.frombuffer(_CODEC.decompress(memoryview(data)[4:], length) if length else b"", np.uint8).reshape(sum(sizes), -1)
+    cuts = np.cumsum(sizes)[:-1]
+    return [np.ascontiguousarray(x.T).view(kind).reshape(-1) for x, kind in zip(np.split(planes, cuts), kinds, strict=True)]
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """The differences, whose high bytes are alike. Sums of them give the values again."""
+    return np.diff(ascending, prepend=U64(0))
 
 
 _CHUNK = "docs array<long>, wanted binary, sizes binary, vocabulary binary, at binary, words long, wanted_words long"
@@ -89,7 +102,7 @@ _CHUNK_NAMES = [x.split()[0] for x in _CHUNK.split(", ")]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as places in the ascending distinct word ids of their chunk."""
+    """Documents as places in the distinct word ids of their chunk, the most frequent first."""
     working("lm", _IDS.clear)
     docs: list[int | None] = []
     flags: list[bool] = []
@@ -98,9 +111,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def chunk() -> pa.RecordBatch:
         sizes = np.array([len(x) for x in texts], np.int64)
         wanted = np.array(flags, np.uint8)
-        vocabulary, at = np.unique(np.concatenate(texts), return_inverse=True)
+        vocabulary, at, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        often = np.argsort(-n, kind="stable")
+        rank = np.empty(len(often), np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
         row = [pa.array([docs], pa.list_(pa.int64()))]
-        row += [pa.array([x], pa.binary()) for x in (_pack(wanted), _pack(sizes), _pack(vocabulary), _pack(at.astype(np.int32)))]
+        row += [pa.array([x], pa.binary()) for x in (_pack(wanted), _pack(sizes), _pack(vocabulary[often]), _pack(rank[at]))]
         row += [pa.array([int(x)], pa.int64()) for x in ((sizes - 1).sum(), (sizes - 1)[wanted == 1].sum())]
         return pa.RecordBatch.from_arrays(row, _CHUNK_NAMES)
 
@@ -120,44 +136,45 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    """The n-grams of a chunk: ``keys`` are its words, its contexts and its bigrams, and an occurrence is a place in each."""
+    """The n-grams of a chunk: ``keys`` are its words and its bigrams, and an occurrence is a place of a word, a context and a bigram."""
 
     def __init__(self, wanted: bytes, sizes: bytes, vocabulary: bytes, at: bytes) -> None:
-        ids, places, lengths = _unpack(vocabulary, U64), _unpack(at, np.int32), _unpack(sizes, np.int64)
+        (ids,), (places,), (lengths,) = _unpack(vocabulary, U64), _unpack(at, np.int32), _unpack(sizes, np.int64)
         self.n = lengths - 1
         self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), self.n)
-        self.wanted = np.frombuffer(wanted, np.uint8).astype(bool)
+        self.wanted = _unpack(wanted, np.uint8)[0].astype(bool)
         inside = np.ones(len(places), bool)
         inside[np.cumsum(lengths) - lengths] = False
         at_word = np.flatnonzero(inside)
         word, context = places[at_word], places[at_word - 1]
         pairs, pair = np.unique(bigram_keys(ids[context], ids[word]), return_inverse=True)
         self.n_ids = len(ids)
-        self.keys = np.concatenate([ids, mix64(ids ^ _FOLLOWED), pairs])
+        self.keys = np.concatenate([ids, pairs])
         # places in the keys, of which a chunk has far less than 2^31
-        self.word, self.context, self.pair = word, context + np.int32(len(ids)), (pair + 2 * len(ids)).astype(np.int32)
+        self.word, self.context, self.pair = word, context, (pair + len(ids)).astype(np.int32)
         self.order = np.argsort(self.keys, kind="stable").astype(np.int32)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """How often each key occurs in all and in the wanted documents."""
-        every = np.concatenate([self.word, self.context, self.pair])
-        flag = np.tile(self.wanted[self.doc], 3)
-        return tuple(np.bincount(x, minlength=len(self.keys)).astype(np.int64) for x in (every, every[flag]))  # type: ignore[return-value]
+    def counts(self) -> list[np.ndarray]:
+        """How often each key occurs in all and in the wanted documents; then by how much less a word is a context, as after the last word of a document."""
+        flag = self.wanted[self.doc]
+        found = [[np.bincount(x[f], minlength=len(self.keys)).astype(np.int64) for f in (slice(None), flag)] for x in (self.word, self.context, self.pair)]
+        return [w + p for w, _, p in zip(*found, strict=True)] + [w - c for w, c, _ in zip(*found, strict=True)]
 
-    def losses(self, background: np.ndarray, target: np.ndarray, totals: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-        """Mean negative log probability of each document's words by the target and by the background."""
+    def losses(self, counts: np.ndarray, totals: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean negative log probability of each document's words by the target and by the background, from the sums of all chunks' counts."""
         own = [times(self.doc.astype(np.int64) * len(self.keys) + x).astype(np.int32) for x in (self.pair, self.context, self.word)]
         found = []
-        for counts, total, out in ((target, totals[1], self.wanted[self.doc]), (background, totals[0], True)):
-            bigrams, contexts, words = (counts[x] - o * out for x, o in zip((self.pair, self.context, self.word), own, strict=True))
+        for (every, less), total, out in ((counts[1::2], totals[1], self.wanted[self.doc]), (counts[::2], totals[0], True)):
+            bigrams, contexts, words = (x - o * out for x, o in zip((every[self.pair], every[self.context] - less[self.context], every[self.word]), own, strict=True))
             unigram = (words + UNIGRAM_SMOOTHING) / (total - self.n[self.doc] * out + UNIGRAM_SMOOTHING * vocabulary)
             p = (bigrams + BIGRAM_SMOOTHING * unigram) / (contexts + BIGRAM_SMOOTHING)
             found.append(np.bincount(self.doc, -np.log(p), len(self.n)) / np.maximum(self.n, 1))
         return found[0], found[1]
 
 
-_ASK = "chunk long, slice int, words binary, keys binary, background binary, target binary"
+_ASK = "chunk long, slice int, keys binary, counts binary"
 _ASK_NAMES = [x.split()[0] for x in _ASK.split(", ")]
+_COUNTS = (np.int64,) * 4
 
 
 def _asks(slices: int) -> object:
@@ -173,13 +190,14 @@ def _asks(slices: int) -> object:
                 words = (own.order < own.n_ids).astype(np.uint8)
                 ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
                 used = [i for i in range(slices) if ends[i + 1] > ends[i]]
-                columns = [pa.array([_pack(x[ends[i] : ends[i + 1]]) for i in used], pa.binary()) for x in (words, keys, *counts)]
+                parts = [slice(ends[i], ends[i + 1]) for i in used]
+                columns = [pa.array([_pack(_steps(keys[x])) for x in parts], pa.binary()), pa.array([_pack(words[x], *(y[x] for y in counts)) for x in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array([part["chunk"]] * len(used), pa.int64()), pa.array(used, pa.int32()), *columns], _ASK_NAMES)
 
     return run
 
 
-_ANSWER = "chunk long, slice int, background binary, target binary, distinct long"
+_ANSWER = "chunk long, slice int, totals binary, distinct long"
 _ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
 
 
@@ -187,25 +205,24 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The totals of what chunks ask for, in their order. Rows come by slice."""
 
     def answer(rows: list[dict]) -> pa.RecordBatch:
-        asked = [_unpack(r["keys"], U64) for r in rows]
+        asked = [np.cumsum(_unpack(r["keys"], U64)[0]) for r in rows]
+        words, *counts = (np.concatenate(x) for x in zip(*(_unpack(r["counts"], np.uint8, *_COUNTS) for r in rows), strict=True))
         keys = np.concatenate(asked)
         order = np.argsort(keys, kind="stable")
         ascending = keys[order]
         first = np.concatenate([[True], ascending[1:] != ascending[:-1]])
         at, group = np.flatnonzero(first), np.cumsum(first) - 1
-        totals = []
-        for name in ("background", "target"):
-            sums = np.add.reduceat(np.concatenate([_unpack(r[name], np.int64) for r in rows])[order], at)
-            back = np.empty(len(keys), np.int64)
-            back[order] = sums[group]
-            totals.append((sums, back))
-        is_word = np.concatenate([np.frombuffer(r["words"], np.uint8) for r in rows])[order][at]
+        sums = [np.add.reduceat(x[order], at) for x in counts]
+        totals = np.empty((len(sums), len(keys)), np.int64)
+        for x, back in zip(sums, totals, strict=True):
+            back[order] = x[group]
+        is_word = words[order][at]
         # the beginning is no word: it is never counted as one
-        distinct = int((is_word.astype(bool) & (totals[0][0] > 0)).sum())
+        distinct = int((is_word.astype(bool) & (sums[0] > 0)).sum())
         cuts = np.cumsum([len(x) for x in asked])[:-1]
-        columns = [pa.array([_pack(x) for x in np.split(back, cuts)], pa.binary()) for _, back in totals]
+        packed = [_pack(*x) for x in np.split(totals, cuts, axis=1)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["slice"] for r in rows], pa.int32()), *columns, pa.array([distinct] + [0] * (len(rows) - 1), pa.int64())], _ANSWER_NAMES
+            [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["slice"] for r in rows], pa.int32()), pa.array(packed, pa.binary()), pa.array([distinct] + [0] * (len(rows) - 1), pa.int64())], _ANSWER_NAMES
         )
 
     rows: list[dict] = []
@@ -224,12 +241,15 @@ def _scores(totals: tuple[int, int], vocabulary: int) -> object:
 
     def scored(part: dict, answers: list[dict]) -> pa.RecordBatch:
         own = Chunk(part["wanted"], part["sizes"], part["vocabulary"], part["at"])
-        counts = []
-        for name in ("background", "target"):
-            back = np.empty(len(own.keys), np.int64)
-            back[own.order] = np.concatenate([_unpack(a.pop(name), np.int64) for a in answers])
-            counts.append(back)
-        target, background = own.losses(counts[0], counts[1], totals, vocabulary)
+        counts = np.empty((len(_COUNTS), len(own.keys)), np.int64)
+        at = 0
+        for a in answers:
+            found = _unpack(a.pop("totals"), *_COUNTS)
+            counts[:, own.order[at : at + len(found[0])]] = found
+            at += len(found[0])
+        if at != len(own.keys):
+            raise ValueError(f"a chunk asked for {len(own.keys)} keys and {at} were answered")
+        target, background = own.losses(counts, totals, vocabulary)
         return pa.RecordBatch.from_arrays([pa.array(part["docs"], pa.int64()), pa.array(own.n), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,16 +284,16 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ``wanted`` has the ``doc_id`` of target documents.
     """
     parts = n_partitions(docs.sparkSession)
-    chunks = stored(_flagged(docs, wanted).mapInArrow(_chunks, _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+    chunks = stored(_flagged(docs, wanted).mapInArrow(_chunks, _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks", "none")
     facts = chunks.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("wanted_words").alias("wanted"), F.max(F.shiftright("chunk", 33)).alias("last")).first()
     totals = facts["words"] or 0, facts["wanted"] or 0
     slices = parts * (1 + totals[0] // (parts * SLICE))
     asks = chunks.select("chunk", "wanted", "sizes", "vocabulary", "at").mapInArrow(_asks(slices), _ASK)
     dealt = asks.repartitionById(parts, F.col("slice") % parts).sortWithinPartitions("slice")
-    answers = stored(dealt.mapInArrow(_answers, _ANSWER), "lm-answers")
+    answers = stored(dealt.mapInArrow(_answers, _ANSWER), "lm-answers", "none")
     distinct = answers.agg(F.sum("distinct")).first()[0] or 0
     each = chunks.select("chunk", F.lit(-1).alias("slice"), "docs", "wanted", "sizes", "vocabulary", "at")
-    both = each.unionByName(answers.select("chunk", "slice", "background", "target"), allowMissingColumns=True)
+    both = each.unionByName(answers.select("chunk", "slice", "totals"), allowMissingColumns=True)
     # chunks are numbered across tasks, and dealt in turn
     number = F.col("chunk").bitwiseAND(2**33 - 1) * ((facts["last"] or 0) + 1) + F.shiftright("chunk", 33)
     tasks = max(parts, facts["n"] // 4)
