@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all
 but the last return the columns of documents. Between stages the rows are written as
-Parquet in the shared folder and read again.
+Parquet in the shared folder and read again; what a stage has read is then removed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import decontam, mixing, neardup, quality, tokens
-from vigil.llm.common import stored, table
+from vigil.llm.common import passing, remove, stored, table
 from vigil.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -61,6 +61,12 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    read: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", "snappy")
+        with passing() as paths:
+            kept = stage(spark, docs, sf_dir)
+        with passing() as written:
+            docs = stored(kept, f"stage-{name}", "snappy")
+        remove(spark, [*read, *paths])
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)

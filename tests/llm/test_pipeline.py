@@ -1,4 +1,6 @@
+import os
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 from test_neardup import sets_of
 from test_tokens import direct
 
-from vigil.llm import decontam, mixing, quality
+from vigil.llm import common, decontam, mixing, neardup, quality
 
 AT = "/root/testdata/sf0.001"
 
@@ -117,3 +119,41 @@ def test_stages_take_odd_rows_and_empty_tables(spark, at):
         assert sorted(r.text for r in rows if r.doc_id is None and "word" not in r.text) == ["a clean row without an id"]
         assert len(rows) == len(before) - 2
     assert stage(spark, docs.limit(0), AT).count() == 0
+
+
+def left(spark, call):
+    """Names of the tables that a call leaves in the shared folder, and what it returns."""
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(os.listdir(folder)) if folder.exists() else set()
+    out = call()
+    # not the folder of Spark's own checkpoints, whose name is a UUID alone
+    return sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if x.count("-") < 4), out
+
+
+def test_stages_leave_no_copies(spark):
+    """Rows of files are numbered where they are, and tables that only decide are removed."""
+    docs = spark.read.parquet(f"{AT}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("neardup", "decontam"):
+            tables, out = left(spark, lambda stage=stage: stage(spark, docs, AT))
+            assert tables == ["spare"]
+            assert out.columns == docs.columns and 0 < out.count() < docs.count()
+        if name == "token_ids":
+            tables, out = left(spark, lambda stage=stage: stage(spark, docs, AT))
+            assert tables == ["token-files"] and out.count() == docs.count()
+
+
+def test_rows_are_told_apart_wherever_they_come_from(spark, tmp_path):
+    """Files read once or twice, several files, and rows of no file: all rows get numbers of their own, equal ones too."""
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (None, "a b c d e f g h"), (2, "x y z"), (3, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    one = f"{tmp_path}/with space.parquet"
+    made.repartition(3).write.parquet(one)
+    read = spark.read.parquet
+    for docs, times in ((read(one), 1), (read(one, one), 2), (read(one).unionByName(read(one)), 2), (made, 1), (read(one).where("doc_id IS NULL OR doc_id > 0"), 1)):
+        numbered, row = common.with_rows(docs, "rows")
+        numbers = [r[row] for r in numbered.collect()]
+        assert len(set(numbers)) == len(numbers) == times * len(rows)
+    assert common._scanned(read(one)) and not common._scanned(read(one, one))
+    kept = sorted(neardup.keep_first(read(one)).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.text) for r in kept] == [(1, "a b c d e f g h"), (2, "x y z"), (3, None)]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,26 @@ def write(df: DataFrame, path: str, codec: str = "zstd") -> None:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing() -> Iterator[list[str]]:
+    """The paths of tables that are stored within, to ``remove`` when nothing reads them any more."""
+    paths: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), paths))
+    try:
+        yield paths
+    finally:
+        _PASSING.reset(token)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
@@ -54,6 +76,8 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _PASSING.get():
+        paths.append(path)
     write(df, path, codec)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,11 +112,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _scanned(df: DataFrame) -> bool:
+    """Whether ``df`` is just what a folder of Parquet files holds, each once, so that a row is told by its file and place."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and plan.relation().location().rootPaths().size() == 1
+
+
 def with_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written with a number for each row, and the name of that column, which no other column has."""
+    """``df`` with a number for each row, and the name of that column, which no other column has.
+
+    The rows of files are numbered where they are, by file and place; others are written first.
+    """
     row = "_row"
     while row.lower() in {c.lower() for c in df.columns}:
         row += "_"
+    if _scanned(df):
+        at = df.metadataColumn("_metadata")
+        paths = sorted(r[0] for r in df.select(at["file_path"]).distinct().collect())
+        files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{row}file long, {row}path string")
+        numbered = df.select("*", at["file_path"].alias(f"{row}at"), at["row_index"].alias(row)).join(F.broadcast(files), F.col(f"{row}at") == F.col(f"{row}path"))
+        return numbered.select(*[df[c] for c in df.columns], (F.shiftleft(f"{row}file", 40) + F.col(row)).alias(row)), row
     return stored(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 

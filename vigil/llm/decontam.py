@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, stored, with_rows, without_rows, working
+from vigil.llm.common import U64, mix64, passing, remove, stored, with_rows, without_rows, working
 
 WORDS = 5
 SHARE = 0.8
@@ -425,5 +425,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -
     """The rows whose text holds no item, with all their columns."""
     numbered, row = with_rows(docs, "uncut")
     rows = numbered.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, found = matches(rows, _bench(items).select("row_id", "text"), share)
-    return without_rows(numbered, row, found.select("row_id"), BROADCAST_ROWS)
+    with passing() as paths:
+        _, found = matches(rows, _bench(items).select("row_id", "text"), share)
+    out = without_rows(numbered, row, found.select("row_id"), BROADCAST_ROWS)
+    remove(docs.sparkSession, paths)
+    return out

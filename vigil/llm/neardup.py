@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, stored, with_rows, without_rows, working
+from vigil.llm.common import U64, mix64, passing, remove, stored, with_rows, without_rows, working
 from vigil.llm.components import connected_components
 
 WORDS = 5
@@ -313,10 +313,11 @@ def _links(rows: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int)
     reps = wanted.select("rep").distinct()
     few = wanted.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(reps) if few else reps, rows["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-    # an id may have other texts too, and a text may come several times
-    sets = texts.mapInArrow(_sets, "digest binary, shingles binary").join(wanted.select("digest", "class"), "digest").dropDuplicates(["class"]).select("class", "shingles")
+    # an id may have other texts too, and a text may come several times. All is by digest, so that sets are dealt once, then to their groups
+    sets = texts.mapInArrow(_sets, "digest binary, shingles binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     links = (
-        groups.join(sets, "class")
+        groups.join(wanted.select("class", "digest"), "class")
+        .join(sets, "digest")
         .groupBy("grp")
         .agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
         .select("members")
@@ -348,16 +349,18 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
     # equal sets have equal sketches, so any row of a class will do
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")
     firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("sketch", "sketch"), ("tokens", "tokens"))]
-    classes = stored(features.where("digest IS NOT NULL").groupBy("digest").agg(least, *firsts).withColumn("class", F.monotonically_increasing_id()), "classes")
-    nodes, large = _nodes(classes)
-    links = _links(rows, classes, nodes, percent)
-    roots = connected_components(links)
-    if large is not None:
-        links = stored(links.unionByName(_links(rows, classes, _rest(large, roots), percent)), "links")
+    with passing() as paths:
+        classes = stored(features.where("digest IS NOT NULL").groupBy("digest").agg(least, *firsts).withColumn("class", F.monotonically_increasing_id()), "classes")
+        nodes, large = _nodes(classes)
+        links = _links(rows, classes, nodes, percent)
         roots = connected_components(links)
-    named = stored(classes.select("digest", "class", "least").join(roots, F.col("class") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "class").alias("root")), "named")
-    first = stored(named.groupBy("root").agg(F.min("least").alias("first")), "least")
+        if large is not None:
+            links = stored(links.unionByName(_links(rows, classes, _rest(large, roots), percent)), "links")
+            roots = connected_components(links)
+        named = stored(classes.select("digest", "class", "least").join(roots, F.col("class") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "class").alias("root")), "named")
+        first = stored(named.groupBy("root").agg(F.min("least").alias("first")), "least")
     named = stored(named.join(first, "root").select("digest", F.col("least.doc_id").alias("class_id"), F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "class-roots")
+    remove(rows.sparkSession, paths)
     return features.select("row", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
 
 
@@ -373,8 +376,11 @@ def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each component, the one with the least id, with all its columns. Texts without words stay."""
     numbered, row = with_rows(docs, "all-rows")
     rows = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _components(rows, percent)
-    return without_rows(numbered, row, found.where("first_row IS NOT NULL AND row <> first_row").select("row"), BROADCAST_IDS)
+    with passing() as paths:
+        found = _components(rows, percent)
+    out = without_rows(numbered, row, found.where("first_row IS NOT NULL AND row <> first_row").select("row"), BROADCAST_IDS)
+    remove(docs.sparkSession, paths)
+    return out
 
 
 def oracle(percent: int = 85) -> str:

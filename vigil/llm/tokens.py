@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import mix64, n_partitions, shared_dir, stored, working
+from vigil.llm.common import mix64, n_partitions, passing, remove, shared_dir, stored, working, write
 
 MAX_BITS = 17
 WIDEST = 25  # a window of 32 bits, less the 7 that a code may start behind a byte
@@ -508,7 +508,8 @@ def _blocks(lengths: np.ndarray, interval: int, block_ids: int):
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits: int = MAX_BITS, interval: int = INTERVAL, block_ids: int = BLOCK_IDS) -> None:
     """Encode, count, code and write. Texts are tokenised once; only packed ids are shuffled."""
     spark = docs.sparkSession
-    tokens = stored(tokenize(docs, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "ids")
+    with passing() as paths:
+        tokens = stored(tokenize(docs, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "ids")
     lengths = code_lengths(id_counts(tokens), max_bits)
     spark.createDataFrame(pd.DataFrame({"lengths": [lengths.tobytes()]}), "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     ordered = (
@@ -516,7 +517,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_b
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
         .select("doc_id", "ids", "width", F.spark_partition_id().alias("part"))
     )
-    ordered.mapInArrow(_blocks(lengths, interval, block_ids), "part int, block long, offset long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    write(ordered.mapInArrow(_blocks(lengths, interval, block_ids), "part int, block long, offset long, n_ids long, payload binary"), f"{path}/blocks", "none")
+    remove(spark, paths)
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
